@@ -1,0 +1,81 @@
+"""Order-preserving chunks, so that one key never has to be one task.
+
+A window over ``(key, order)`` puts every row of a key into one task. When a key holds a
+large share of the table that task never ends. ``plan_chunks`` finds such keys with a
+map-side-combined count and cuts each at approximate quantiles of its order column;
+``tag_chunks`` then numbers the pieces so that all rows of a piece sort before all rows of
+the next. Operators run their window per (key, chunk) and bring across what the earlier
+chunks contribute, which is one small row per chunk.
+
+Keys below ``rows_per_chunk`` keep chunk 0, and with no hot key at all adaptive execution
+drops the empty branches. The table of cuts is broadcast: it has at most ``MAX_HOT_KEYS``
+rows of ``CHUNKS_PER_KEY`` numbers. The limit is only about routing: a key it leaves out is
+still computed, in one piece.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from trackside.functions.scalars import micros
+from trackside.operators.joins import null_safe_join
+
+ROWS_PER_CHUNK = 5_000_000
+MAX_HOT_KEYS = 256
+CHUNKS_PER_KEY = 1024
+
+CUTS = "_cuts"
+CHUNK = "_chunk"
+
+
+def order_number(df: DataFrame, column: str) -> Column | None:
+    """The order column as a number, or None when it has no natural one."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return micros(F.col(column))
+    if isinstance(kind, T.DateType):
+        return F.unix_date(F.col(column)).cast("bigint")
+    if isinstance(kind, T.IntegralType):
+        return F.col(column).cast("bigint")
+    if isinstance(kind, T.NumericType):
+        return F.col(column).cast("double")
+    return None
+
+
+def plan_chunks(
+    df: DataFrame,
+    by: list[str],
+    position: Column,
+    rows_per_chunk: int = ROWS_PER_CHUNK,
+    chunks_per_key: int = CHUNKS_PER_KEY,
+) -> DataFrame:
+    """One row per hot key: its columns and ``_cuts``, ascending cut points of ``position``."""
+    hot = (
+        df.groupBy(*by)
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .where(F.col("_rows") > rows_per_chunk)
+        .orderBy(F.desc("_rows"))
+        .limit(MAX_HOT_KEYS)
+        .select(*by)
+    )
+    fractions = [i / chunks_per_key for i in range(1, chunks_per_key)]
+    keyed = df.select(*by, position.alias("_position"))
+    return (
+        null_safe_join(keyed, F.broadcast(hot), by, "inner")
+        .groupBy(*by)
+        .agg(F.percentile_approx("_position", fractions, 20 * chunks_per_key).alias(CUTS))
+    )
+
+
+def tag_chunks(df: DataFrame, by: list[str], cuts: DataFrame, position: Column, how: str = "left") -> DataFrame:
+    """Add ``_cuts`` and the chunk number ``_chunk``; ``how="inner"`` keeps hot keys only."""
+    tagged = null_safe_join(df, F.broadcast(cuts), by, how)
+    below = F.size(F.filter(F.col(CUTS), lambda c: c < position))
+    return tagged.withColumn(CHUNK, F.when(F.col(CUTS).isNull(), F.lit(0)).otherwise(below))
+
+
+def tie_spread(position: Column) -> Column:
+    """How many chunks' worth of rows share exactly this position (0 or 1 when few do)."""
+    return F.coalesce(F.size(F.filter(F.col(CUTS), lambda c: c == position)), F.lit(0))
