@@ -77,8 +77,7 @@ def compound_penalty(compound: Column) -> Column:
 
 
 def base_lap_seconds(session_key: Column) -> Column:
-    table = {F_key: seconds for F_key, seconds in K.BASE_LAP_SECONDS.items()}
-    return lookup(session_key.cast("int"), table, K.DEFAULT_BASE_LAP_SECONDS)
+    return lookup(session_key.cast("string"), {str(k): v for k, v in K.BASE_LAP_SECONDS.items()}, K.DEFAULT_BASE_LAP_SECONDS)
 
 
 def path_token(text: Column) -> Column:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackside.functions.scalars import micros
 from trackside.operators.hotkeys import CHUNK, CUTS, ROWS_PER_CHUNK, plan_chunks, tag_chunks, tie_spread
 from trackside.operators.joins import all_not_null
 
-_TIME, _SIDE, _TIE, _LEFT, _RIGHT, _SUB, _HASH = "_time", "_side", "_tie", "_left", "_right", "_sub", "_hash"
+_TIME, _SIDE, _TIE, _LEFT, _RIGHT, _SUB = "_time", "_side", "_tie", "_left", "_right", "_sub"
 _POSITION = F.col("_position")
 
 
@@ -62,10 +62,32 @@ def asof_join(
     position = micros(F.col(_TIME))
     keys = left_side.select(*by, _TIME).unionByName(right_side.select(*by, _TIME))
     cuts = plan_chunks(keys, by, position, rows_per_chunk)
+    chunk_keys = list(by)
+    if cuts is not None:
+        chunk_keys += [CHUNK, _SUB]
+        line = _in_chunks(line, by, cuts, position)
+    running = (
+        Window.partitionBy(*chunk_keys)
+        .orderBy(F.asc_nulls_first(_TIME), _SIDE, F.asc_nulls_first(_TIE))
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    matched = line.withColumn("_match", F.last(_RIGHT, ignorenulls=True).over(running)).where(
+        F.col(_LEFT).isNotNull()
+    )
+    fields = [F.col(f"_match.{name}").alias(name) for name in renames.values()]
+    if how == "inner":
+        return matched.where(F.col("_match").isNotNull()).select(f"{_LEFT}.*", *fields)
+    unmatched = left.where(~usable_left)
+    return matched.select(f"{_LEFT}.*", *fields).unionByName(unmatched, allowMissingColumns=True)
+
+
+def _in_chunks(line: DataFrame, by: list[str], cuts: DataFrame, position: Column) -> DataFrame:
+    """The time line with chunk numbers, and for each chunk of a hot key a first row that
+    carries the last right row of the chunks before it."""
     spread = tie_spread(_POSITION)
 
-    def chunked(how_: str) -> DataFrame:
-        tagged = tag_chunks(line.withColumn("_position", position), by, cuts, _POSITION, how_)
+    def chunked(how: str) -> DataFrame:
+        tagged = tag_chunks(line.withColumn("_position", position), by, cuts, _POSITION, how)
         slot = F.pmod(F.xxhash64(_LEFT, _RIGHT), spread) + 1
         sub = F.when(spread < 2, F.lit(0)).otherwise(slot + F.when(F.col(_SIDE) == 1, spread).otherwise(0))
         return tagged.withColumn(_SUB, sub.cast("int")).drop(CUTS, "_position")
@@ -81,17 +103,4 @@ def asof_join(
         .where(F.col(_RIGHT).isNotNull())
         .select(*chunk_keys, F.lit(0).alias(_SIDE), _RIGHT)
     )
-    timeline = chunked("left").unionByName(carried, allowMissingColumns=True)
-    running = (
-        Window.partitionBy(*chunk_keys)
-        .orderBy(F.asc_nulls_first(_TIME), _SIDE, F.asc_nulls_first(_TIE))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    matched = timeline.withColumn("_match", F.last(_RIGHT, ignorenulls=True).over(running)).where(
-        F.col(_LEFT).isNotNull()
-    )
-    fields = [F.col(f"_match.{name}").alias(name) for name in renames.values()]
-    if how == "inner":
-        return matched.where(F.col("_match").isNotNull()).select(f"{_LEFT}.*", *fields)
-    unmatched = left.where(~usable_left)
-    return matched.select(f"{_LEFT}.*", *fields).unionByName(unmatched, allowMissingColumns=True)
+    return chunked("left").unionByName(carried, allowMissingColumns=True)

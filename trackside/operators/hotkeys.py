@@ -7,10 +7,11 @@ map-side-combined count and cuts each at approximate quantiles of its order colu
 the next. Operators run their window per (key, chunk) and bring across what the earlier
 chunks contribute, which is one small row per chunk.
 
-Keys below ``rows_per_chunk`` keep chunk 0, and with no hot key at all adaptive execution
-drops the empty branches. The table of cuts is broadcast: it has at most ``MAX_HOT_KEYS``
-rows of ``CHUNKS_PER_KEY`` numbers. The limit is only about routing: a key it leaves out is
-still computed, in one piece.
+The check runs when the plan is built and costs one aggregate over the key columns; tables
+of at most ``rows_per_chunk`` rows skip even that. What comes back is bounded: at most
+``MAX_HOT_KEYS`` keys of ``CHUNKS_PER_KEY`` cut points, which become a literal table and may
+be broadcast. That limit is only about routing: a key it leaves out is still computed, in one
+piece. Without any hot key operators use their plain one-shuffle plan.
 """
 
 from __future__ import annotations
@@ -48,10 +49,17 @@ def plan_chunks(
     df: DataFrame,
     by: list[str],
     position: Column,
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    rows_per_chunk: int | None = ROWS_PER_CHUNK,
     chunks_per_key: int = CHUNKS_PER_KEY,
-) -> DataFrame:
-    """One row per hot key: its columns and ``_cuts``, ascending cut points of ``position``."""
+) -> DataFrame | None:
+    """One row per hot key with ``_cuts``, ascending cut points of ``position``; None without any.
+
+    ``rows_per_chunk=None`` says that no key is large and skips the check.
+    """
+    if rows_per_chunk is None or df.count() <= rows_per_chunk:
+        return None
+    spark = df.sparkSession
+    key_schema = df.select(*by).schema
     hot = (
         df.groupBy(*by)
         .agg(F.count(F.lit(1)).alias("_rows"))
@@ -59,14 +67,16 @@ def plan_chunks(
         .orderBy(F.desc("_rows"))
         .limit(MAX_HOT_KEYS)
         .select(*by)
+        .collect()
     )
+    if not hot:
+        return None
+    hot_keys = spark.createDataFrame(hot, key_schema)
     fractions = [i / chunks_per_key for i in range(1, chunks_per_key)]
-    keyed = df.select(*by, position.alias("_position"))
-    return (
-        null_safe_join(keyed, F.broadcast(hot), by, "inner")
-        .groupBy(*by)
-        .agg(F.percentile_approx("_position", fractions, 20 * chunks_per_key).alias(CUTS))
-    )
+    cuts = null_safe_join(df.select(*by, position.alias("_position")), F.broadcast(hot_keys), by, "inner").groupBy(
+        *by
+    ).agg(F.percentile_approx("_position", fractions, 20 * chunks_per_key).alias(CUTS))
+    return spark.createDataFrame(cuts.collect(), cuts.schema)
 
 
 def tag_chunks(df: DataFrame, by: list[str], cuts: DataFrame, position: Column, how: str = "left") -> DataFrame:

@@ -23,38 +23,42 @@ def rank_rows(
     """
     position = order_number(df, order[0])
     ordered = [F.asc_nulls_last(c) for c in order]
-    if position is None:
-        group = Window.partitionBy(*by)
+    cuts = None
+    if position is not None:
+        # A NULL position sorts last: it belongs to the chunk after every cut.
+        position = F.coalesce(position.cast("double"), F.lit(float("inf")))
+        cuts = plan_chunks(df, by, position, rows_per_chunk)
+    key = Window.partitionBy(*by)
+    if cuts is None:
         return df.withColumns(
-            {"rn": F.row_number().over(group.orderBy(*ordered)).cast("bigint"), "n": F.count(F.lit(1)).over(group)}
+            {"rn": F.row_number().over(key.orderBy(*ordered)).cast("bigint"), "n": F.count(F.lit(1)).over(key)}
         )
 
-    cuts = plan_chunks(df, by, position, rows_per_chunk)
-    # A NULL position sorts last: it belongs to the chunk after every cut.
-    slot = F.coalesce(position, F.lit(float("inf")))
-    tagged = tag_chunks(df, by, cuts, slot).drop(CUTS)
-
-    key = Window.partitionBy(*by)
     before = key.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     sizes = (
-        tag_chunks(df.select(*dict.fromkeys([*by, order[0]])), by, cuts, slot, "inner")
+        tag_chunks(df.select(*dict.fromkeys([*by, order[0]])), by, cuts, position, "inner")
         .groupBy(*by, CHUNK)
         .agg(F.count(F.lit(1)).alias("_size"))
         .select(
             *by,
             CHUNK,
             F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"),
-            F.sum("_size").over(key).alias("_total"),
+            F.sum("_size").over(key).alias("n"),
         )
     )
     piece = Window.partitionBy(*by, CHUNK)
-    numbered = tagged.withColumns(
-        {"rn": F.row_number().over(piece.orderBy(*ordered)).cast("bigint"), "n": F.count(F.lit(1)).over(piece)}
+    numbered = tag_chunks(df, by, cuts, position).withColumn(
+        "rn", F.row_number().over(piece.orderBy(*ordered)).cast("bigint")
     )
+    is_hot = F.col(CUTS).isNotNull()
     placed = null_safe_join(numbered, F.broadcast(sizes), [*by, CHUNK], "left")
+    counted = F.count(F.lit(1)).over(piece)
     return placed.withColumns(
-        {"rn": F.col("rn") + F.coalesce("_before", F.lit(0)), "n": F.coalesce("_total", "n")}
-    ).drop("_before", "_total", CHUNK)
+        {
+            "rn": F.col("rn") + F.coalesce("_before", F.lit(0)),
+            "n": F.when(is_hot, F.col("n")).otherwise(counted),
+        }
+    ).drop("_before", CHUNK, CUTS)
 
 
 def downsample(
@@ -65,14 +69,18 @@ def downsample(
     target: int,
     rounding: str = "half_even",
     cap: int | None = None,
+    size: str | None = None,
     rows_per_chunk: int = ROWS_PER_CHUNK,
 ) -> DataFrame:
     """Keep every step-th row of each key, about ``target`` rows; adds ``rn``.
 
     ``half_even`` rounds the step (1 up to ``target`` rows), ``floor`` cuts it off. ``cap``
-    bounds the rows kept per key, in order.
+    bounds the rows kept per key, in order. ``size`` names a column to take the key's row
+    count from instead of counting the rows given.
     """
     ranked = rank_rows(df, by=by, order=order, rows_per_chunk=rows_per_chunk)
+    if size is not None:
+        ranked = ranked.withColumn("n", F.col(size))
     ratio = F.col("n") / F.lit(float(target))
     if rounding == "half_even":
         step = F.when(F.col("n") > target, F.rint(ratio).cast("bigint")).otherwise(F.lit(1).cast("bigint"))
