@@ -10,7 +10,7 @@ from trackside.operators.hotkeys import CHUNK, CUTS, ROWS_PER_CHUNK, plan_chunks
 from trackside.operators.joins import all_not_null
 
 _TIME, _SIDE, _TIE, _LEFT, _RIGHT, _SUB = "_time", "_side", "_tie", "_left", "_right", "_sub"
-_POSITION = F.col("_position")
+_POSITION = "_position"
 
 
 def asof_join(
@@ -84,13 +84,13 @@ def asof_join(
 def _in_chunks(line: DataFrame, by: list[str], cuts: DataFrame, position: Column) -> DataFrame:
     """The time line with chunk numbers, and for each chunk of a hot key a first row that
     carries the last right row of the chunks before it."""
-    spread = tie_spread(_POSITION)
+    spread = tie_spread(F.col(_POSITION))
 
     def chunked(how: str) -> DataFrame:
-        tagged = tag_chunks(line.withColumn("_position", position), by, cuts, _POSITION, how)
+        tagged = tag_chunks(line.withColumn(_POSITION, position), by, cuts, F.col(_POSITION), how)
         slot = F.pmod(F.xxhash64(_LEFT, _RIGHT), spread) + 1
         sub = F.when(spread < 2, F.lit(0)).otherwise(slot + F.when(F.col(_SIDE) == 1, spread).otherwise(0))
-        return tagged.withColumn(_SUB, sub.cast("int")).drop(CUTS, "_position")
+        return tagged.withColumn(_SUB, sub.cast("int")).drop(CUTS, _POSITION)
 
     chunk_keys = [*by, CHUNK, _SUB]
     newest = F.when(F.col(_SIDE) == 0, F.struct(_TIME, _TIE))

@@ -31,6 +31,7 @@ def interval_aggregate(
     after_seconds: float,
     before_seconds: float = 0.0,
     how: str = "left",
+    few_events: bool = False,
 ) -> DataFrame:
     """Join each event with measures over series rows of its key in ``[t - before, t + after]``.
 
@@ -39,7 +40,9 @@ def interval_aggregate(
     per bucket, one forwards and one backwards, give both parts in a single pass. Series
     rows of one instant are combined before the shuffle, events of one instant are computed
     once. ``how="inner"`` drops events without any series row. With ``by=[]`` all rows
-    belong together and the time bucket alone distributes the work.
+    belong together and the time bucket alone distributes the work. ``few_events`` says that
+    the events were seen to be few: their keys and buckets are then broadcast to drop series
+    rows nobody asks for before the shuffle.
     """
     before, width = int(before_seconds * 1e6), int((before_seconds + after_seconds) * 1e6)
     if width <= 0:
@@ -58,12 +61,6 @@ def interval_aggregate(
             parts[f"_{m.how}_{m.column}"] = (m.how, getattr(F, m.how)(m.column))
     merge = {name: getattr(F, fn) for name, (fn, _) in parts.items()}
 
-    instants = (
-        series.where(all_not_null([*by, series_ts]))
-        .groupBy(*by, micros(F.col(series_ts)).alias("_at"))
-        .agg(*[expr.alias(name) for name, (_, expr) in parts.items()])
-        .withColumns({"_bucket": F.floor(F.col("_at") / F.lit(width)), "_point": F.lit(0)})
-    )
     opened = micros(F.col(event_ts)) - F.lit(before)
     starts = (
         events.where(all_not_null([*by, event_ts]))
@@ -81,6 +78,17 @@ def interval_aggregate(
             }
         )
     )
+    at = micros(F.col(series_ts))
+    timed = series.where(all_not_null([*by, series_ts])).withColumns(
+        {"_at": at, "_bucket": F.floor(at / F.lit(width))}
+    )
+    if few_events:
+        timed = timed.join(F.broadcast(starts.select(*by, "_bucket").distinct()), [*by, "_bucket"], "left_semi")
+    instants = (
+        timed.groupBy(*by, "_bucket", "_at")
+        .agg(*[expr.alias(name) for name, (_, expr) in parts.items()])
+        .withColumn("_point", F.lit(0))
+    )
     line = starts.unionByName(instants, allowMissingColumns=True)
     group = Window.partitionBy(*by, "_bucket")
     frame = (Window.unboundedPreceding, Window.currentRow)

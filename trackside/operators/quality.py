@@ -13,12 +13,13 @@ def within(column: str, bounds: tuple[float, float]) -> Column:
     return F.col(column).between(low, high)
 
 
-# Row rules: a row fails when its condition is false or NULL.
-TELEMETRY_RULES = {
-    "speed_range": within("speed", K.SPEED_RANGE),
-    "gear_range": within("n_gear", K.GEAR_RANGE),
-    "rpm_range": within("rpm", K.RPM_RANGE),
-}
+def telemetry_rules() -> dict[str, Column]:
+    """Physical limits of telemetry rows."""
+    return {
+        "speed_range": within("speed", K.SPEED_RANGE),
+        "gear_range": within("n_gear", K.GEAR_RANGE),
+        "rpm_range": within("rpm", K.RPM_RANGE),
+    }
 
 
 def quality_report(
@@ -29,6 +30,7 @@ def quality_report(
 ) -> DataFrame:
     """(rule, failing, total) with one row per rule from a single aggregate.
 
+    A row fails a rule when its condition is false or NULL.
     ``table_rules`` are aggregate conditions, e.g. a mean inside a range; they fail for the
     whole table (failing = 1) or not at all. ``not_empty`` is always reported.
     """

@@ -83,7 +83,7 @@ def _check(field: Field, kind: T.DataType | None, strict: bool) -> tuple[Column,
     if field.required:
         text = "field required" if strict else "null in required column"
         problems.append(F.when(raw.isNull(), F.lit(f"{field.name}: {text}")))
-    elif not strict and isinstance(field.type, T.LongType):
+    elif not strict and not field.nullable and isinstance(field.type, T.LongType):
         problems.append(F.when(raw.isNull(), F.lit(f"{field.name}: null in integer column")))
     if field.between:
         low, high = field.between

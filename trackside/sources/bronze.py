@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackside.functions.scalars import int_or_zero
+from trackside.functions.scalars import int_or_zero, path_token
 from trackside.sources import files
 from trackside.sources.lakehouse import replace_partitions
 
@@ -29,16 +29,23 @@ def bronze_path(root: str, kind: str) -> str:
     return f"{root.rstrip('/')}/bronze/{kind}"
 
 
-def land_bronze(df: DataFrame, root: str, kind: str, year: int, gp: str, session: str) -> str:
-    """Write one batch of a record kind to its season / event / session partition."""
-    tokens = {"year": str(year), "gp": gp.replace(" ", "_"), "session": session.replace(" ", "_")}
+def land_bronze(
+    df: DataFrame, root: str, kind: str, year: int | Column, gp: str | Column, session: str | Column
+) -> str:
+    """Write a batch of a record kind to its season / event / session partitions.
+
+    Each key is a value for the whole batch or a column, so that one job lands many sessions.
+    """
     path = bronze_path(root, kind)
+    given = {"_year": year, "_gp": gp, "_session": session}
+    df = df.withColumns({k: v if isinstance(v, Column) else F.lit(v) for k, v in given.items()})
+    tokens = {k: path_token(F.col(f"_{k}").cast("string")) for k in PARTITION}
     raw = stringify_mixed(df)
     if kind == "location":
         raw = coerce_numbers(raw)
     # A raw column named like a partition key moves aside; ``read_bronze`` moves it back.
     raw = raw.withColumnsRenamed({c: f"raw_{c}" for c in PARTITION if c in raw.columns})
-    replace_partitions(raw.withColumns({k: F.lit(v) for k, v in tokens.items()}), path, PARTITION)
+    replace_partitions(raw.withColumns(tokens).drop(*given), path, PARTITION)
     return path
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import uuid
 from datetime import datetime, timezone
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trackside.sources.lakehouse import table_path
 from trackside.specs import RUNS
@@ -26,16 +27,10 @@ def run_record(name: str, session_key: int | None, seconds: float, rows: int, er
     }
 
 
-def log_runs(spark: SparkSession, root: str, records: list[dict]) -> None:
-    rows = [tuple(r[f] for f in RUNS.schema.fieldNames()) for r in records]
-    (
-        spark.createDataFrame(rows, RUNS.schema)
-        .coalesce(1)
-        .write.mode("append")
-        .partitionBy("session_key")
-        .parquet(table_path(root, RUNS.name))
-    )
-
-
-def log_run(spark: SparkSession, root: str, record: dict) -> None:
-    log_runs(spark, root, [record])
+def log_runs(spark: SparkSession, root: str, record: dict, session_keys: DataFrame | None = None) -> None:
+    """Append the record, once per session of ``session_keys`` when given."""
+    row = spark.createDataFrame([tuple(record[f] for f in RUNS.schema.fieldNames())], RUNS.schema)
+    if session_keys is not None:
+        values = {f: F.lit(v) for f, v in record.items() if f != "session_key"}
+        row = session_keys.select("session_key").distinct().withColumns(values)
+    row.coalesce(1).write.mode("append").partitionBy("session_key").parquet(table_path(root, RUNS.name))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import types as T
 
@@ -23,6 +23,7 @@ class Field:
     type: T.DataType
     required: bool = True
     between: tuple[float, float] | None = None
+    nullable: bool = False
 
 
 @dataclass(frozen=True)
@@ -47,6 +48,11 @@ class TableSpec:
         return T.StructType([T.StructField(f.name, f.type, True) for f in self.fields])
 
 
+def relaxed(spec: TableSpec) -> TableSpec:
+    """The same table with NULL allowed in optional integer columns."""
+    return replace(spec, fields=tuple(f if f.required else replace(f, nullable=True) for f in spec.fields))
+
+
 def _fields(*rows) -> tuple[Field, ...]:
     return tuple(Field(*row) for row in rows)
 
