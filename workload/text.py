@@ -1,0 +1,126 @@
+"""Text search over documents with the benchmark items as questions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from trackside.operators.textsearch import ASCII_WORDS, tfidf, tfidf_match
+from trackside.plans.hybrid import hybrid_search
+from workload.registry import query, table
+from workload.serving import over_views, racing_views
+
+# A short list of our own, so that the SQL can state it too.
+STOP_WORDS = ["the", "and", "of", "to", "in", "is", "it", "that", "for", "on", "with", "as", "was", "at", "by", "an"]
+CORPUS = {"stop_words": STOP_WORDS, "token_pattern": ASCII_WORDS}
+_STOP_SQL = ", ".join(f"'{w}'" for w in STOP_WORDS)
+
+
+def _tokens_sql(source: str, keys: str, text: str = "text") -> str:
+    return (
+        f"SELECT {keys}, term, count(*) AS tf FROM (SELECT {keys}, unnest(regexp_extract_all(lower({text}), "
+        f"'{ASCII_WORDS}')) AS term FROM {source}) WHERE term NOT IN ({_STOP_SQL}) GROUP BY ALL"
+    )
+
+
+_WEIGHTS = f"""
+    tf AS ({_tokens_sql('documents', 'doc_id')}),
+    df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+    idf AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1 AS idf FROM df),
+    w AS (SELECT doc_id, term, tf * idf AS w FROM tf JOIN idf USING (term)),
+    u AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM w)
+"""
+
+
+@query(f"WITH {_WEIGHTS} SELECT doc_id, term, round(weight, 8) AS weight FROM u")
+def tfidf_weights(spark, sf_dir):
+    weights = tfidf(table(spark, sf_dir, "documents"), id="doc_id", text="text", **CORPUS)
+    return weights.withColumn("weight", F.round("weight", 8))
+
+
+@query(
+    f"""
+    WITH {_WEIGHTS},
+    qtf AS ({_tokens_sql('benchmark', 'item_id')}),
+    qw AS (SELECT item_id, term, tf * idf AS w FROM qtf JOIN idf USING (term)),
+    qu AS (SELECT item_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS weight FROM qw),
+    s AS (SELECT item_id, doc_id, round(sum(qu.weight * u.weight), 12) AS score FROM qu JOIN u USING (term) GROUP BY ALL),
+    b AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rn FROM s)
+    SELECT q.item_id, coalesce(b.doc_id, (SELECT min(doc_id) FROM documents)) AS doc_id,
+           round(coalesce(b.score, 0.0), 8) AS score, coalesce(b.score, 0.0) >= 0.02 AS matched
+    FROM benchmark q LEFT JOIN b ON b.item_id = q.item_id AND b.rn = 1
+    """
+)
+def tfidf_top_match(spark, sf_dir):
+    found = tfidf_match(
+        table(spark, sf_dir, "benchmark"),
+        table(spark, sf_dir, "documents"),
+        q_id="item_id",
+        q_text="text",
+        id="doc_id",
+        text="text",
+        order=["doc_id"],
+        **CORPUS,
+    )
+    return found.select("item_id", "doc_id", F.round("score", 8).alias("score"), "matched")
+
+
+# The documents fall into the first week, so that is the session asked about.
+_SESSION = 9001
+_HYBRID_HOURS = 6
+
+
+@query(
+    over_views("").rstrip()
+    + f""",
+    docs AS (SELECT session_key, message, md5(message) AS id, count(*) AS copies, min(date) AS date
+             FROM fact_race_control WHERE message IS NOT NULL GROUP BY session_key, message),
+    detail AS (SELECT d.*, r.driver_number, r.category, r.flag FROM docs d
+               JOIN fact_race_control r ON r.session_key = d.session_key AND r.message = d.message AND r.date = d.date),
+    tf AS ({_tokens_sql('detail', 'session_key, id, copies', 'message')}),
+    size AS (SELECT session_key, sum(copies) AS n FROM docs GROUP BY session_key),
+    idf AS (SELECT session_key, term, ln((1 + n) / (1 + sum(copies))) + 1 AS idf
+            FROM tf JOIN size USING (session_key) GROUP BY session_key, term, n),
+    w AS (SELECT session_key, id, term, tf * idf AS w FROM tf JOIN idf USING (session_key, term)),
+    u AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY session_key, id)) AS weight FROM w),
+    q AS (SELECT item_id, CAST({_SESSION} AS BIGINT) AS session_key, text AS question FROM benchmark),
+    qtf AS ({_tokens_sql('q', 'session_key, item_id', 'question')}),
+    qw AS (SELECT session_key, item_id, term, tf * idf AS w FROM qtf JOIN idf USING (session_key, term)),
+    qu AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY session_key, item_id)) AS weight FROM qw),
+    s AS (SELECT session_key, item_id, id, round(sum(qu.weight * u.weight), 12) AS score
+          FROM qu JOIN u USING (session_key, term) GROUP BY session_key, item_id, id),
+    b AS (SELECT s.*, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, d.date, s.id) AS rn
+          FROM s JOIN docs d USING (session_key, id)),
+    h AS (SELECT q.item_id, q.session_key, q.question, coalesce(b.score, 0.0) AS score, d.*  EXCLUDE (session_key)
+          FROM q JOIN b ON b.item_id = q.item_id AND b.rn = 1
+          JOIN detail d ON d.session_key = q.session_key AND d.id = b.id WHERE b.score >= 0.02),
+    own AS (SELECT h.item_id, avg(t.speed) AS avg_speed, max(t.rpm) AS max_rpm, min(t.n_gear) AS min_gear
+            FROM h JOIN fact_car_telemetry t ON t.session_key = h.session_key AND t.driver_number = h.driver_number
+             AND h.driver_number <> 0 AND t.date BETWEEN h.date AND h.date + INTERVAL {_HYBRID_HOURS} HOURS GROUP BY h.item_id),
+    field AS (SELECT h.item_id, avg(t.speed) AS avg_speed, min(t.speed) AS min_speed
+              FROM h JOIN fact_car_telemetry t ON t.session_key = h.session_key AND coalesce(h.driver_number, 0) = 0
+               AND t.date BETWEEN h.date AND h.date + INTERVAL {_HYBRID_HOURS} HOURS GROUP BY h.item_id)
+    SELECT h.item_id, h.session_key, h.message, strftime(h.date, '%Y-%m-%dT%H:%M:%S.%f') AS date, h.category, h.flag,
+           h.driver_number, round(h.score, 8) AS relevance,
+           CASE WHEN coalesce(h.driver_number, 0) = 0 THEN 'N/A'
+                ELSE d.full_name || ' (' || d.team_name || ')' END AS driver_name,
+           round(coalesce(own.avg_speed, field.avg_speed), 1) AS avg_speed, own.max_rpm, own.min_gear, field.min_speed
+    FROM h LEFT JOIN dim_drivers d ON d.driver_number = h.driver_number
+    LEFT JOIN own ON own.item_id = h.item_id LEFT JOIN field ON field.item_id = h.item_id
+    """
+)
+def hybrid_answers(spark, sf_dir):
+    """Each benchmark item asked about the first week's messages, answered with the six hours after the match."""
+    v = racing_views(spark, sf_dir)
+    questions = table(spark, sf_dir, "benchmark").select(
+        "item_id", F.lit(_SESSION).cast("bigint").alias("session_key"), F.col("text").alias("question")
+    )
+    found = hybrid_search(
+        questions,
+        v["fact_race_control"],
+        v["dim_drivers"],
+        v["fact_car_telemetry"],
+        question_id="item_id",
+        after_seconds=_HYBRID_HOURS * 3600,
+        **CORPUS,
+    )
+    return found.where(F.col("message").isNotNull()).drop("question", "answer").withColumn("relevance", F.round("relevance", 8))
