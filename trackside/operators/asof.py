@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackside.functions.scalars import micros
-from trackside.operators.hotkeys import CHUNK, CUTS, ROWS_PER_CHUNK, plan_chunks, tag_chunks, tie_spread
+from trackside.operators.hotkeys import CHUNK, CUTS, ROWS_PER_CHUNK, ChunkPlan, plan_time_chunks, tag_chunks, tie_spread
 from trackside.operators.joins import all_not_null
 
 _TIME, _SIDE, _TIE, _LEFT, _RIGHT, _SUB = "_time", "_side", "_tie", "_left", "_right", "_sub"
@@ -24,6 +24,7 @@ def asof_join(
     tie_break: list[str] | None = None,
     how: str = "inner",
     rows_per_chunk: int = ROWS_PER_CHUNK,
+    chunks: ChunkPlan | None = None,
 ) -> DataFrame:
     """Backward, inclusive as-of join.
 
@@ -34,7 +35,8 @@ def asof_join(
 
     Keys with more than ``rows_per_chunk`` rows are cut along time (``hotkeys``); each chunk
     is started with the last right row of the chunks before it. An instant that alone fills
-    several chunks is spread by hash: right rows first, left rows after them.
+    several chunks is spread by hash: right rows first, left rows after them. ``chunks``
+    takes a plan that was made before.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"how must be 'inner' or 'left', not {how!r}")
@@ -59,13 +61,12 @@ def asof_join(
     )
     line = left_side.unionByName(right_side, allowMissingColumns=True)
 
-    position = micros(F.col(_TIME))
-    keys = left_side.select(*by, _TIME).unionByName(right_side.select(*by, _TIME))
-    cuts = plan_chunks(keys, by, position, rows_per_chunk)
+    if chunks is None:
+        chunks = plan_time_chunks([(left_side, _TIME), (right_side, _TIME)], by, rows_per_chunk)
     chunk_keys = list(by)
-    if cuts is not None:
+    if chunks.cuts is not None:
         chunk_keys += [CHUNK, _SUB]
-        line = _in_chunks(line, by, cuts, position)
+        line = _in_chunks(line, by, chunks.cuts, micros(F.col(_TIME)))
     running = (
         Window.partitionBy(*chunk_keys)
         .orderBy(F.asc_nulls_first(_TIME), _SIDE, F.asc_nulls_first(_TIE))

@@ -16,6 +16,9 @@ piece. Without any hot key operators use their plain one-shuffle plan.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,19 +48,31 @@ def order_number(df: DataFrame, column: str) -> Column | None:
     return None
 
 
+@dataclass(frozen=True)
+class ChunkPlan:
+    """Hot keys with ``_cuts``, ascending cut points of the order column; None without any."""
+
+    cuts: DataFrame | None
+
+
+# For callers who know that no key is large.
+NO_CHUNKS = ChunkPlan(None)
+
+
 def plan_chunks(
     df: DataFrame,
     by: list[str],
     position: Column,
-    rows_per_chunk: int | None = ROWS_PER_CHUNK,
+    rows_per_chunk: int = ROWS_PER_CHUNK,
     chunks_per_key: int = CHUNKS_PER_KEY,
-) -> DataFrame | None:
-    """One row per hot key with ``_cuts``, ascending cut points of ``position``; None without any.
+) -> ChunkPlan:
+    """Find keys above ``rows_per_chunk`` rows and cut them.
 
-    ``rows_per_chunk=None`` says that no key is large and skips the check.
+    A plan made for a table also serves for any table derived from it by dropping rows, so
+    one cheap look at the source can replace a look at an expensive result.
     """
-    if rows_per_chunk is None or df.count() <= rows_per_chunk:
-        return None
+    if df.count() <= rows_per_chunk:
+        return NO_CHUNKS
     spark = df.sparkSession
     key_schema = df.select(*by).schema
     hot = (
@@ -70,13 +85,20 @@ def plan_chunks(
         .collect()
     )
     if not hot:
-        return None
+        return NO_CHUNKS
     hot_keys = spark.createDataFrame(hot, key_schema)
     fractions = [i / chunks_per_key for i in range(1, chunks_per_key)]
     cuts = null_safe_join(df.select(*by, position.alias("_position")), F.broadcast(hot_keys), by, "inner").groupBy(
         *by
     ).agg(F.percentile_approx("_position", fractions, 20 * chunks_per_key).alias(CUTS))
-    return spark.createDataFrame(cuts.collect(), cuts.schema)
+    return ChunkPlan(spark.createDataFrame(cuts.collect(), cuts.schema))
+
+
+def plan_time_chunks(frames: list[tuple[DataFrame, str]], by: list[str], rows_per_chunk: int = ROWS_PER_CHUNK) -> ChunkPlan:
+    """One plan for several tables that share keys and a time line; each comes with its time column."""
+    lines = [df.select(*by, F.col(ts).alias("_time")) for df, ts in frames]
+    line = reduce(lambda a, b: a.unionByName(b), lines).where(F.col("_time").isNotNull())
+    return plan_chunks(line, by, micros(F.col("_time")), rows_per_chunk)
 
 
 def tag_chunks(df: DataFrame, by: list[str], cuts: DataFrame, position: Column, how: str = "left") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackside.operators.hotkeys import CHUNK, CUTS, ROWS_PER_CHUNK, order_number, plan_chunks, tag_chunks
+from trackside.operators.hotkeys import CHUNK, CUTS, ROWS_PER_CHUNK, ChunkPlan, order_number, plan_chunks, tag_chunks
 from trackside.operators.joins import null_safe_join
 
 
@@ -15,11 +15,13 @@ def rank_rows(
     by: list[str],
     order: list[str],
     rows_per_chunk: int = ROWS_PER_CHUNK,
+    chunks: ChunkPlan | None = None,
 ) -> DataFrame:
     """Add ``rn`` (1-based position in its key) and ``n`` (rows of the key).
 
     Hot keys are numbered chunk by chunk; the number of rows in earlier chunks is added
-    back from a table of chunk sizes, which the chunk limits keep small.
+    back from a table of chunk sizes, which the chunk limits keep small. ``chunks`` takes a
+    plan that was made before.
     """
     position = order_number(df, order[0])
     ordered = [F.asc_nulls_last(c) for c in order]
@@ -27,7 +29,7 @@ def rank_rows(
     if position is not None:
         # A NULL position sorts last: it belongs to the chunk after every cut.
         position = F.coalesce(position.cast("double"), F.lit(float("inf")))
-        cuts = plan_chunks(df, by, position, rows_per_chunk)
+        cuts = (chunks or plan_chunks(df, by, position, rows_per_chunk)).cuts
     key = Window.partitionBy(*by)
     if cuts is None:
         return df.withColumns(
@@ -71,6 +73,7 @@ def downsample(
     cap: int | None = None,
     size: str | None = None,
     rows_per_chunk: int = ROWS_PER_CHUNK,
+    chunks: ChunkPlan | None = None,
 ) -> DataFrame:
     """Keep every step-th row of each key, about ``target`` rows; adds ``rn``.
 
@@ -78,7 +81,7 @@ def downsample(
     bounds the rows kept per key, in order. ``size`` names a column to take the key's row
     count from instead of counting the rows given.
     """
-    ranked = rank_rows(df, by=by, order=order, rows_per_chunk=rows_per_chunk)
+    ranked = rank_rows(df, by=by, order=order, rows_per_chunk=rows_per_chunk, chunks=chunks)
     if size is not None:
         ranked = ranked.withColumn("n", F.col(size))
     ratio = F.col("n") / F.lit(float(target))

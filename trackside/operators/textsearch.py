@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackside.constants import MIN_RELEVANCE
-from trackside.operators.joins import null_safe_join, within_rows
+from trackside.operators.joins import within_rows
 
 # A token is two or more word characters.
 WORDS = r"(?U)\b\w\w+\b"
@@ -22,12 +22,15 @@ def english_stop_words() -> tuple[str, ...]:
     return tuple(StopWordsRemover.loadDefaultStopWords("english"))
 
 
-def tokens(df: DataFrame, keep: list[str], text: str, stop_words, pattern: str) -> DataFrame:
-    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(pattern), F.lit(0))
+def _explode_words(df: DataFrame, keep: list[str], words: Column, stop_words) -> DataFrame:
     exploded = df.select(*keep, F.explode(words).alias("term"))
     return exploded.where(~F.col("term").isin(list(stop_words))) if stop_words else exploded
 
 
+def _words(text: str, pattern: str) -> Column:
+    return F.regexp_extract_all(F.lower(F.col(text)), F.lit(pattern), F.lit(0))
+
+
 def _corpus_size(docs: DataFrame, by: list[str], copies: Column) -> DataFrame:
     return docs.groupBy(*by).agg(F.sum(copies).alias("_docs"))
 
@@ -35,7 +38,7 @@ def _corpus_size(docs: DataFrame, by: list[str], copies: Column) -> DataFrame:
 class Corpus:
     """Term statistics of a set of documents, separately per ``by`` group.
 
-    ``id`` is unique within a group. ``copies`` names a column that says for how many equal
+    ``id`` is unique within a group; keys are not NULL. ``copies`` names a column that says for how many equal
     documents a row stands, so that repeated texts need to be tokenised only once.
     """
 
@@ -55,15 +58,23 @@ class Corpus:
         self.pattern = token_pattern
         count = F.col(copies) if copies else F.lit(1)
         doc_keys = [*self.by, id]
+        # Texts move once, to a partition per document hash: large files are spread, counting
+        # terms and later the length of a document need no further exchange of their own.
+        spread = docs.withColumn("_copies", count).select(*doc_keys, "_copies", text).repartition(*doc_keys)
+        words = _words(text, token_pattern)
         self.postings = (
-            tokens(docs.withColumn("_copies", count), [*doc_keys, "_copies"], text, self.stop_words, token_pattern)
+            _explode_words(spread, doc_keys, words, self.stop_words)
             .groupBy(*doc_keys, "term")
-            .agg(F.count(F.lit(1)).alias("tf"), F.first("_copies").alias("_copies"))
+            .agg(F.count(F.lit(1)).alias("tf"))
+        )
+        frequency = (
+            _explode_words(spread, [*self.by, "_copies"], F.array_distinct(words), self.stop_words)
+            .groupBy(*self.by, "term")
+            .agg(F.sum("_copies").alias("df"))
         )
-        frequency = self.postings.groupBy(*self.by, "term").agg(F.sum("_copies").alias("df"))
         size = _corpus_size(docs, self.by, count)
         if self.by:
-            counted = null_safe_join(frequency, size, self.by, "inner")
+            counted = frequency.join(size, self.by)
         else:
             counted = frequency.withColumn("_docs", size.scalar())
         self.idf = counted.select(
@@ -81,19 +92,19 @@ class Corpus:
         The join runs on the term. A term found in a large share of the documents makes a
         skewed partition, which adaptive execution splits.
         """
-        joined = null_safe_join(self.postings, self.idf, [*self.by, "term"], "inner")
+        joined = self.postings.join(self.idf, [*self.by, "term"])
         weighted = joined.select(*self.by, self.id, "term", (F.col("tf") * F.col("idf")).alias("weight"))
         return self._unit(weighted, [*self.by, self.id])
 
     def question_weights(self, questions: DataFrame, q_id: str, q_text: str) -> tuple[DataFrame, bool]:
         """(by, q_id, term, q_weight) over known terms, and whether it is small enough to broadcast."""
         terms = (
-            tokens(questions, [*self.by, q_id], q_text, self.stop_words, self.pattern)
+            _explode_words(questions, [*self.by, q_id], _words(q_text, self.pattern), self.stop_words)
             .groupBy(*self.by, q_id, "term")
             .agg(F.count(F.lit(1)).alias("tf"))
         )
         small = within_rows(terms)
-        known = null_safe_join(self.idf, F.broadcast(terms) if small else terms, [*self.by, "term"], "inner")
+        known = self.idf.join(F.broadcast(terms) if small else terms, [*self.by, "term"])
         weighted = known.select(*self.by, q_id, "term", (F.col("tf") * F.col("idf")).alias("weight"))
         unit = self._unit(weighted, [*self.by, q_id]).withColumnRenamed("weight", "q_weight")
         return unit, small
@@ -133,21 +144,21 @@ def tfidf_match(
     by = list(by or [])
     stats = Corpus(docs, id=id, text=text, by=by, **corpus)
     asked, small = stats.question_weights(questions, q_id, q_text)
-    shared = null_safe_join(stats.weights(), F.broadcast(asked) if small else asked, [*by, "term"], "inner")
+    shared = stats.weights().join(F.broadcast(asked) if small else asked, [*by, "term"])
     scored = shared.groupBy(*by, id, q_id).agg(F.sum(F.col("weight") * F.col("q_weight")).alias("score"))
     scored = scored.withColumn("score", F.round("score", SCORE_DIGITS))
     ranks = [c for c in order if c != id]
     if ranks:
         places = docs.select(*by, id, *ranks)
-        scored = null_safe_join(scored, places, [*by, id], "inner")
+        scored = scored.join(places, [*by, id])
     place = [part for c in [*ranks, id] for part in (F.col(c).isNull(), F.col(c))]
     best = scored.groupBy(*by, q_id).agg(
         F.min_by(F.struct(id, "score"), F.struct(-F.col("score"), *place)).alias("_best")
     )
     opening = docs.groupBy(*by).agg(F.min_by(id, F.struct(*place)).alias("_first"))
-    found = null_safe_join(questions, best, [*by, q_id], "left")
+    found = questions.join(best, [*by, q_id], "left")
     if by:
-        found = null_safe_join(found, opening, by, "left")
+        found = found.join(opening, by, "left")
     else:
         found = found.withColumn("_first", opening.scalar())
     score = F.when(F.coalesce(F.col("_best")[id], F.col("_first")).isNotNull(), F.coalesce("_best.score", F.lit(0.0)))

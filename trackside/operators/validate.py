@@ -7,6 +7,7 @@ it, so it is valid or quarantined exactly once however many columns fail.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql import types as T
 from trackside.functions.scalars import null_if_nan, parse_iso
 from trackside.specs import Field, TableSpec
 
-ERRORS, TYPED = "_errors", "_typed"
+ERRORS, TYPED, _BAD = "_errors", "_typed", "_bad"
 
 # Texts accepted as flags.
 TRUE_TEXTS = ["true", "t", "yes", "y", "on", "1"]
@@ -70,29 +71,28 @@ def coerce(raw: Column, kind: T.DataType, target: T.DataType, strict: bool) -> C
     return raw.cast("string")
 
 
-def _check(field: Field, kind: T.DataType | None, strict: bool) -> tuple[Column, list[Column]]:
-    """The typed column and the error texts (NULL when fine) of one field."""
+def _check(field: Field, kind: T.DataType | None, strict: bool) -> tuple[Column, list[tuple[Column, str]]]:
+    """The typed column of a field, and (condition, text) for everything that can be wrong with it."""
+    name = field.name
     if kind is None:
-        message = F.lit(f"{field.name}: field required") if strict and field.required else F.lit(None).cast("string")
-        return F.lit(None).cast(field.type), [message]
-    raw = _present(F.col(field.name), kind)
+        missing = [(F.lit(True), f"{name}: field required")] if strict and field.required else []
+        return F.lit(None).cast(field.type), missing
+    raw = _present(F.col(name), kind)
     value = coerce(raw, kind, field.type, strict)
-    type_name = field.type.simpleString()
-    failed = F.when(raw.isNotNull() & value.isNull(), F.lit(f"{field.name}: cannot be read as {type_name}"))
-    problems = [failed]
+    problems = []
+    if kind != field.type:
+        problems.append((raw.isNotNull() & value.isNull(), f"{name}: cannot be read as {field.type.simpleString()}"))
     if field.required:
-        text = "field required" if strict else "null in required column"
-        problems.append(F.when(raw.isNull(), F.lit(f"{field.name}: {text}")))
+        problems.append((raw.isNull(), f"{name}: {'field required' if strict else 'null in required column'}"))
     elif not strict and not field.nullable and isinstance(field.type, T.LongType):
-        problems.append(F.when(raw.isNull(), F.lit(f"{field.name}: null in integer column")))
+        problems.append((raw.isNull(), f"{name}: null in integer column"))
     if field.between:
         low, high = field.between
-        problems.append(F.when(~value.between(low, high), F.lit(f"{field.name}: outside [{low}, {high}]")))
+        problems.append((F.coalesce(~value.between(low, high), F.lit(False)), f"{name}: outside [{low}, {high}]"))
     return value, problems
 
 
-def validate(df: DataFrame, spec: TableSpec) -> DataFrame:
-    """The input rows plus ``_typed`` (struct of typed fields) and ``_errors`` (array of text)."""
+def _checks(df: DataFrame, spec: TableSpec) -> tuple[list[Column], list[tuple[Column, str]]]:
     strict = spec.mode == "contract"
     kinds = {f.name: f.dataType for f in df.schema.fields}
     if not strict:
@@ -103,10 +103,21 @@ def validate(df: DataFrame, spec: TableSpec) -> DataFrame:
     for field in spec.fields:
         if field.name not in kinds and not (strict and field.required):
             continue
-        value, texts = _check(field, kinds.get(field.name), strict)
+        value, found = _check(field, kinds.get(field.name), strict)
         typed.append(value.alias(field.name))
-        problems.extend(texts)
-    return df.withColumns({TYPED: F.struct(*typed), ERRORS: F.array_compact(F.array(*problems))})
+        problems.extend(found)
+    return typed, problems
+
+
+def _any(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions, F.lit(False))
+
+
+def validate(df: DataFrame, spec: TableSpec) -> DataFrame:
+    """The input rows plus ``_typed`` (struct of typed fields) and ``_errors`` (array of text)."""
+    typed, problems = _checks(df, spec)
+    texts = F.array(*[F.when(bad, F.lit(text)) for bad, text in problems]).cast("array<string>")
+    return df.withColumns({TYPED: F.struct(*typed), ERRORS: F.array_compact(texts)})
 
 
 @dataclass
@@ -114,6 +125,7 @@ class Validated:
     valid: DataFrame
     quarantine: DataFrame
     counts: Observation
+    rejected: Observation
 
     def counters(self) -> dict[str, int]:
         """Rows read, valid and quarantined; available once ``valid`` has been written."""
@@ -123,24 +135,36 @@ class Validated:
 def split_valid(df: DataFrame, spec: TableSpec, reason: str) -> Validated:
     """Typed valid rows (extra columns kept) and raw quarantined rows with the reasons.
 
-    The counters are observed on the way to ``valid``: no extra pass.
+    Counters are observed while either side is written: no extra pass. The observation also
+    keeps the checks in one place, evaluated once per row; error texts are built for
+    quarantined rows only.
     """
-    checked = validate(df, spec)
-    counts = Observation(f"validate_{spec.name}")
-    clean = F.size(ERRORS) == 0
-    observed = checked.observe(
-        counts,
-        F.count(F.lit(1)).alias("read"),
-        F.count_if(clean).alias("valid"),
-        F.count_if(~clean).alias("quarantined"),
+    typed, problems = _checks(df, spec)
+    counts, rejected = Observation(f"valid_{spec.name}"), Observation(f"quarantined_{spec.name}")
+    bad = _any([condition for condition, _ in problems])
+    is_bad = F.col(_BAD)
+    names = {f.name for f in spec.fields}
+    extra = [c for c in df.columns if c not in names]
+    valid = (
+        df.select(*typed, *extra, bad.alias(_BAD))
+        .observe(
+            counts,
+            F.count(F.lit(1)).alias("read"),
+            F.count_if(~is_bad).alias("valid"),
+            F.count_if(is_bad).alias("quarantined"),
+        )
+        .where(~is_bad)
+        .drop(_BAD)
     )
-    typed = checked.schema[TYPED].dataType.fieldNames()
-    extra = [c for c in df.columns if c not in typed]
-    valid = observed.where(clean).select(f"{TYPED}.*", *extra)
-    quarantine = checked.where(~clean).select(
-        *df.columns,
-        F.array_join(ERRORS, "; ").alias("error_detail"),
-        F.current_timestamp().cast("timestamp_ntz").alias("quarantine_timestamp"),
-        F.lit(reason).alias("quarantine_reason"),
+    quarantine = (
+        df.withColumn(_BAD, bad)
+        .observe(rejected, F.count_if(is_bad).alias("quarantined"))
+        .where(is_bad)
+        .select(
+            *df.columns,
+            F.concat_ws("; ", *[F.when(condition, F.lit(text)) for condition, text in problems]).alias("error_detail"),
+            F.current_timestamp().cast("timestamp_ntz").alias("quarantine_timestamp"),
+            F.lit(reason).alias("quarantine_reason"),
+        )
     )
-    return Validated(valid, quarantine, counts)
+    return Validated(valid, quarantine, counts, rejected)

@@ -10,7 +10,7 @@ from trackside.functions.scalars import iso_micros, percent_text
 from trackside.operators.interval import Measure, interval_aggregate
 from trackside.operators.joins import within_rows
 from trackside.operators.textsearch import tfidf_match
-from trackside.session import shared_dir
+from trackside.session import materialise
 
 _DETAIL = ["date", "driver_number", "category", "flag"]
 
@@ -29,7 +29,8 @@ def hybrid_search(
     """Answers for any number of (``question_id``, session_key, question) rows in one plan.
 
     Equal messages of a session are one document that counts as often as it occurs; the
-    earliest of them is the one reported.
+    earliest of them is the one reported. The distinct messages and the hits are written to
+    the shared folder, because several branches read them.
     """
     place = [part for c in _DETAIL for part in (F.col(c).isNull(), F.col(c))]
     texts = (
@@ -41,6 +42,7 @@ def hybrid_search(
         )
         .select("session_key", "message", F.md5("message").alias("message_id"), "copies", "_detail.*")
     )
+    texts = materialise(texts, "messages")
     found = tfidf_match(
         questions,
         texts,
@@ -62,8 +64,7 @@ def hybrid_search(
         "_driver", F.when(F.col("matched") & (F.col("driver_number") != 0), F.col("driver_number"))
     )
     # One row per question from here on: kept, so that the search is not run once per branch.
-    shared_dir(hits.sparkSession)
-    hits = hits.checkpoint()
+    hits = materialise(hits, "hits")
     clock = {
         "event_ts": "date",
         "series_ts": "date",

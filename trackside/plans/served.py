@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from trackside import constants as K
 from trackside.functions.scalars import iso_micros, parse_with_format, pct_true
 from trackside.operators.asof import asof_join
+from trackside.operators.hotkeys import plan_time_chunks
 from trackside.operators.sampling import downsample
 
 Views = dict[str, DataFrame]
@@ -141,16 +142,17 @@ def duel_location(
     """
     lead = _lead(session_key, ("driver_number", driver_number))
     key = ["session_key", "driver_number"]
-    telemetry_rows = v["fact_car_telemetry"]
+    telemetry_rows = _slice(v["fact_car_telemetry"], session_key, driver_number)
+    location_rows = _slice(v["fact_car_location"], session_key, driver_number)
+    chunks = plan_time_chunks([(location_rows, "date"), (telemetry_rows, "date")], key)
     moving = (
-        _slice(telemetry_rows, session_key)
+        _slice(v["fact_car_telemetry"], session_key)
         .where(F.col("speed") > K.MOVING_SPEED)
         .groupBy("session_key")
         .agg(F.min("date").alias("_start"))
     )
     positions = (
-        _slice(v["fact_car_location"], session_key, driver_number)
-        .select(*key, "date", "x", "y")
+        location_rows.select(*key, "date", "x", "y")
         .join(moving, "session_key")
         .where(F.col("date") >= F.col("_start"))
         .drop("_start")
@@ -158,11 +160,12 @@ def duel_location(
     measured = ["speed", "n_gear", "throttle", "brake"]
     aligned = asof_join(
         positions,
-        _slice(telemetry_rows, session_key, driver_number).select(*key, "date", *measured),
+        telemetry_rows.select(*key, "date", *measured),
         by=key,
         on="date",
         right_cols=measured,
         tie_break=measured,
+        chunks=chunks,
     )
     counts = positions.groupBy(*key).agg(F.count(F.lit(1)).alias("_positions"))
     sampled = downsample(
@@ -172,6 +175,7 @@ def duel_location(
         target=points,
         rounding="floor",
         size="_positions",
+        chunks=chunks,
     )
     return (
         sampled.where(F.col("x").isNotNull() & F.col("y").isNotNull())

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trackside.functions.scalars import clean_gear, iso_micros, micros, pct_true
 from trackside.operators.asof import asof_join
+from trackside.operators.hotkeys import plan_time_chunks
 from trackside.operators.interval import Measure, interval_aggregate
 from trackside.operators.sampling import downsample
 from workload.registry import query, table
@@ -183,7 +184,8 @@ def first_date_then_sample(spark, sf_dir):
     events = _events(spark, sf_dir).select("event_id", "user_id", "ts", "value")
     starts = events.where(F.col("value") > 100).groupBy("user_id").agg(F.min("ts").alias("t0"))
     later = events.join(starts, "user_id").where(F.col("ts") >= F.col("t0"))
-    kept = downsample(later, by=["user_id"], order=["ts", "event_id"], target=15, rounding="floor")
+    chunks = plan_time_chunks([(events, "ts")], ["user_id"])
+    kept = downsample(later, by=["user_id"], order=["ts", "event_id"], target=15, rounding="floor", chunks=chunks)
     return kept.select("event_id", "user_id", "rn")
 
 

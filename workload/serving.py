@@ -18,38 +18,43 @@ TELEMETRY_POINTS = 4
 TRAJECTORY_POINTS = 3
 
 
-def racing_views(spark, sf_dir) -> dict[str, DataFrame]:
-    """Sessions are calendar weeks, drivers are customers, events are what the cars report."""
-    k, value = F.col("k"), F.col("value")
-    e = table(spark, sf_dir, "events").select(
-        "event_id",
-        F.col("ts").alias("date"),
-        F.col("user_id").alias("driver_number"),
-        "event_type",
-        "value",
-        k_of().alias("k"),
-        (F.weekofyear("ts") + 9000).cast("bigint").alias("session_key"),
-    )
-    key = ["session_key", "driver_number"]
-
-    def kind(*names: str) -> DataFrame:
-        return e.where(F.col("event_type").isin(*names))
-
-    def whole(number) -> F.Column:
-        return F.floor(number)
-
-    places = table(spark, sf_dir, "nation").join(
-        table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")
-    )
-    weeks = e.select("session_key").distinct()
-    compounds = F.array(*[F.lit(c) for c in ("SOFT", "MEDIUM", "HARD", "INTERMEDIATE", "WET", "soft")])
-    results = (
-        e.groupBy(*key)
-        .agg(F.round(F.sum("value"), 2).alias("points"), F.count(F.lit(1)).alias("number_of_laps"))
-        .withColumn("_behind", -F.col("points"))
-    )
-    return {
-        "dim_sessions": weeks.join(places, F.col("n_nationkey") == F.col("session_key") - 9000).select(
+class RacingViews:
+    """Sessions are calendar weeks, drivers are customers, events are what the cars report.
+
+    A view is built when it is asked for, by the method of its name.
+    """
+
+    KEY = ["session_key", "driver_number"]
+    COMPOUNDS = ["SOFT", "MEDIUM", "HARD", "INTERMEDIATE", "WET", "soft"]
+
+    def __init__(self, spark, sf_dir):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return getattr(self, name)()
+
+    def _table(self, name: str) -> DataFrame:
+        return table(self.spark, self.sf_dir, name)
+
+    def _events(self, *kinds: str) -> DataFrame:
+        events = self._table("events").select(
+            "event_id",
+            F.col("ts").alias("date"),
+            F.col("user_id").alias("driver_number"),
+            "event_type",
+            "value",
+            k_of().alias("k"),
+            (F.weekofyear("ts") + 9000).cast("bigint").alias("session_key"),
+        )
+        return events.where(F.col("event_type").isin(*kinds)) if kinds else events
+
+    def _compound(self):
+        return F.array(*[F.lit(c) for c in self.COMPOUNDS])[(F.col("k") % 6).cast("int")].alias("compound")
+
+    def dim_sessions(self) -> DataFrame:
+        places = self._table("nation").join(self._table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        weeks = self._events().select("session_key").distinct()
+        return weeks.join(places, F.col("n_nationkey") == F.col("session_key") - 9000).select(
             "session_key",
             F.lit(2024).cast("bigint").alias("year"),
             F.lit("Race").alias("session_name"),
@@ -57,23 +62,31 @@ def racing_views(spark, sf_dir) -> dict[str, DataFrame]:
             (F.col("session_key") - 9000).alias("circuit_key"),
             F.col("r_name").alias("circuit_short_name"),
             F.col("n_name").alias("country_name"),
-        ),
-        "dim_drivers": table(spark, sf_dir, "customer").select(
+        )
+
+    def dim_drivers(self) -> DataFrame:
+        return self._table("customer").select(
             F.col("c_custkey").alias("driver_number"),
             F.col("c_name").alias("full_name"),
             F.substring("c_mktsegment", 1, 3).alias("name_acronym"),
             F.col("c_mktsegment").alias("team_name"),
             F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("country_code"),
-        ),
-        "dim_stints": kind("signup").select(
-            *key,
+        )
+
+    def dim_stints(self) -> DataFrame:
+        k = F.col("k")
+        return self._events("signup").select(
+            *self.KEY,
             k.alias("stint_number"),
-            compounds[(k % 6).cast("int")].alias("compound"),
+            self._compound(),
             k.alias("lap_start"),
-            F.when(k % 9 != 0, whole(value / 4)).alias("lap_end"),
+            F.when(k % 9 != 0, F.floor(F.col("value") / 4)).alias("lap_end"),
             (k % 5).alias("tyre_age_at_start"),
-        ),
-        "dim_weather": kind("view").select(
+        )
+
+    def dim_weather(self) -> DataFrame:
+        k, value = F.col("k"), F.col("value")
+        return self._events("view").select(
             "session_key",
             "date",
             (value / 10).alias("air_temperature"),
@@ -81,71 +94,98 @@ def racing_views(spark, sf_dir) -> dict[str, DataFrame]:
             k.cast("double").alias("humidity"),
             (value / 50).alias("wind_speed"),
             (k % 2).alias("rainfall"),
-        ),
-        "fact_intervals": kind("view").select(
-            *key,
-            F.when(k % 10 == 0, F.lit("None"))
-            .when(k % 10 != 1, F.concat(F.lit("+"), k.cast("string"), F.lit("s")))
-            .alias("gap_to_leader"),
+        )
+
+    def fact_intervals(self) -> DataFrame:
+        k = F.col("k")
+        gap = F.when(k % 10 == 0, F.lit("None")).when(k % 10 != 1, F.concat(F.lit("+"), k.cast("string"), F.lit("s")))
+        return self._events("view").select(
+            *self.KEY,
+            gap.alias("gap_to_leader"),
             F.concat(F.lit("+"), (k % 7).cast("string"), F.lit("s")).alias("interval"),
             "date",
-        ),
-        "fact_pit_stops": kind("error").select(
-            *key,
-            k.alias("lap_number"),
+        )
+
+    def fact_pit_stops(self) -> DataFrame:
+        value = F.col("value")
+        return self._events("error").select(
+            *self.KEY,
+            F.col("k").alias("lap_number"),
             (value / 100).alias("stop_duration"),
             (value / 50).alias("lane_duration"),
             (value / 20).alias("pit_duration"),
             "date",
-        ),
-        "fact_race_control": e.join(
-            table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "event_id"), "event_id"
-        ).select(
-            "session_key",
-            F.when(F.col("event_type") != "signup", F.col("driver_number")).alias("driver_number"),
-            F.col("source").alias("category"),
-            F.col("lang").alias("flag"),
-            F.col("text").alias("message"),
-            "date",
-        ),
-        "fact_overtakes": kind("error").select(
+        )
+
+    def fact_race_control(self) -> DataFrame:
+        documents = self._table("documents").withColumnRenamed("doc_id", "event_id")
+        return (
+            self._events()
+            .join(documents, "event_id")
+            .select(
+                "session_key",
+                F.when(F.col("event_type") != "signup", F.col("driver_number")).alias("driver_number"),
+                F.col("source").alias("category"),
+                F.col("lang").alias("flag"),
+                F.col("text").alias("message"),
+                "date",
+            )
+        )
+
+    def fact_overtakes(self) -> DataFrame:
+        return self._events("error").select(
             "session_key",
             F.col("driver_number").alias("overtaking_driver_number"),
-            whole(value * 10).alias("overtaken_driver_number"),
-            (k % 20 + 1).alias("position"),
+            F.floor(F.col("value") * 10).alias("overtaken_driver_number"),
+            (F.col("k") % 20 + 1).alias("position"),
             "date",
-        ),
-        "fact_session_results": rank_rows(results, by=["session_key"], order=["_behind", "driver_number"]).select(
-            *key, F.col("rn").alias("position"), "points", "number_of_laps"
-        ),
-        "fact_car_telemetry": kind("click", "view").select(
-            *key,
+        )
+
+    def fact_session_results(self) -> DataFrame:
+        totals = (
+            self._events()
+            .groupBy(*self.KEY)
+            .agg(F.round(F.sum("value"), 2).alias("points"), F.count(F.lit(1)).alias("number_of_laps"))
+            .withColumn("_behind", -F.col("points"))
+        )
+        placed = rank_rows(totals, by=["session_key"], order=["_behind", "driver_number"])
+        return placed.select(*self.KEY, F.col("rn").alias("position"), "points", "number_of_laps")
+
+    def fact_car_telemetry(self) -> DataFrame:
+        k, value = F.col("k"), F.col("value")
+        return self._events("click", "view").select(
+            *self.KEY,
             "date",
-            whole(value).alias("speed"),
-            whole(value * 30).alias("rpm"),
+            F.floor(value).alias("speed"),
+            F.floor(value * 30).alias("rpm"),
             (k % 12 - 2).alias("n_gear"),
             k.cast("double").alias("throttle"),
             (100 - k).cast("double").alias("brake"),
             (k % 3).alias("drs"),
-        ),
-        "fact_car_location": kind("purchase").select(
-            *key,
+        )
+
+    def fact_car_location(self) -> DataFrame:
+        k = F.col("k")
+        return self._events("purchase").select(
+            *self.KEY,
             "date",
-            F.when(k != 0, whole(value * 10)).alias("x"),
+            F.when(k != 0, F.floor(F.col("value") * 10)).alias("x"),
             (k * 10).alias("y"),
             F.col("event_id").alias("z"),
-        ),
-        "gold_lap_predictions": kind("signup").select(
-            *key,
+        )
+
+    def gold_lap_predictions(self) -> DataFrame:
+        k, value = F.col("k"), F.col("value")
+        return self._events("signup").select(
+            *self.KEY,
             (k % 7).alias("stint_number"),
             k.alias("lap_number"),
-            compounds[(k % 6).cast("int")].alias("compound"),
+            self._compound(),
             (k % 5).alias("tyre_age_at_start"),
             (value / 10 + 85).alias("lap_duration_seconds"),
             (k / 10 + 85).alias("predicted_lap_duration_seconds"),
             (value / 10 - k / 10).alias("delta_performance_seconds"),
-        ),
-    }
+        )
 
 
 COMPOUND_SQL = (
@@ -206,7 +246,7 @@ def over_views(select: str) -> str:
 
 @query(over_views("SELECT session_key, year, session_name, session_type, circuit_short_name, country_name FROM dim_sessions"))
 def served_sessions(spark, sf_dir):
-    return served.sessions(racing_views(spark, sf_dir))
+    return served.sessions(RacingViews(spark, sf_dir))
 
 
 @query(
@@ -218,7 +258,7 @@ def served_sessions(spark, sf_dir):
     )
 )
 def served_drivers(spark, sf_dir):
-    return served.drivers(racing_views(spark, sf_dir))
+    return served.drivers(RacingViews(spark, sf_dir))
 
 
 @query(
@@ -231,7 +271,7 @@ def served_drivers(spark, sf_dir):
     )
 )
 def served_intervals(spark, sf_dir):
-    return served.intervals(racing_views(spark, sf_dir))
+    return served.intervals(RacingViews(spark, sf_dir))
 
 
 @query(
@@ -244,7 +284,7 @@ def served_intervals(spark, sf_dir):
     )
 )
 def served_pit_stops(spark, sf_dir):
-    return served.pit_stops(racing_views(spark, sf_dir))
+    return served.pit_stops(RacingViews(spark, sf_dir))
 
 
 @query(
@@ -256,7 +296,7 @@ def served_pit_stops(spark, sf_dir):
     )
 )
 def served_weather(spark, sf_dir):
-    return served.weather(racing_views(spark, sf_dir))
+    return served.weather(RacingViews(spark, sf_dir))
 
 
 @query(
@@ -269,7 +309,7 @@ def served_weather(spark, sf_dir):
     )
 )
 def served_stints(spark, sf_dir):
-    return served.stints(racing_views(spark, sf_dir))
+    return served.stints(RacingViews(spark, sf_dir))
 
 
 @query(
@@ -281,7 +321,7 @@ def served_stints(spark, sf_dir):
     )
 )
 def served_race_control(spark, sf_dir):
-    return served.race_control(racing_views(spark, sf_dir))
+    return served.race_control(RacingViews(spark, sf_dir))
 
 
 @query(
@@ -294,7 +334,7 @@ def served_race_control(spark, sf_dir):
     )
 )
 def served_winner(spark, sf_dir):
-    return served.winner(racing_views(spark, sf_dir))
+    return served.winner(RacingViews(spark, sf_dir))
 
 
 @query(
@@ -313,7 +353,7 @@ def served_winner(spark, sf_dir):
     ).replace("\n\n        , m AS", ",\n m AS")
 )
 def served_duel_location(spark, sf_dir):
-    return served.duel_location(racing_views(spark, sf_dir), points=TRAJECTORY_POINTS)
+    return served.duel_location(RacingViews(spark, sf_dir), points=TRAJECTORY_POINTS)
 
 
 @query(
@@ -332,7 +372,7 @@ def served_duel_location(spark, sf_dir):
     )
 )
 def served_duel_metrics(spark, sf_dir):
-    return served.duel_metrics(racing_views(spark, sf_dir))
+    return served.duel_metrics(RacingViews(spark, sf_dir))
 
 
 @query(
@@ -346,7 +386,7 @@ def served_duel_metrics(spark, sf_dir):
     )
 )
 def served_lap_predictions(spark, sf_dir):
-    return served.lap_predictions(racing_views(spark, sf_dir))
+    return served.lap_predictions(RacingViews(spark, sf_dir))
 
 
 @query(
@@ -361,7 +401,7 @@ def served_lap_predictions(spark, sf_dir):
     )
 )
 def served_overtakes(spark, sf_dir):
-    return served.overtakes(racing_views(spark, sf_dir))
+    return served.overtakes(RacingViews(spark, sf_dir))
 
 
 @query(
@@ -376,12 +416,12 @@ def served_overtakes(spark, sf_dir):
     ).replace("\n\n        , r AS", ",\n r AS")
 )
 def served_telemetry(spark, sf_dir):
-    return served.telemetry(racing_views(spark, sf_dir), points=TELEMETRY_POINTS)
+    return served.telemetry(RacingViews(spark, sf_dir), points=TELEMETRY_POINTS)
 
 
 @query(over_views("SELECT date AS timestamp, air_temperature, track_temperature, humidity FROM dim_weather"))
 def dashboard_weather(spark, sf_dir):
-    rows = racing_views(spark, sf_dir)["dim_weather"]
+    rows = RacingViews(spark, sf_dir)["dim_weather"]
     return served.dashboard_weather(rows.withColumn("date", iso_micros(F.col("date"))))
 
 
@@ -396,14 +436,14 @@ def dashboard_weather(spark, sf_dir):
     )
 )
 def dashboard_gaps(spark, sf_dir):
-    v = racing_views(spark, sf_dir)
+    v = RacingViews(spark, sf_dir)
     as_text = v["fact_intervals"].withColumn("driver_number", F.col("driver_number").cast("string"))
     return served.dashboard_gaps(as_text, v["dim_drivers"])
 
 
 @query(over_views("SELECT DISTINCT driver_number, full_name, team_name, country_code FROM dim_drivers"))
 def dashboard_grid(spark, sf_dir):
-    return served.dashboard_grid(racing_views(spark, sf_dir)["dim_drivers"])
+    return served.dashboard_grid(RacingViews(spark, sf_dir)["dim_drivers"])
 
 
 @query(
@@ -415,7 +455,7 @@ def dashboard_grid(spark, sf_dir):
     )
 )
 def dashboard_telemetry(spark, sf_dir):
-    rows = served.dashboard_telemetry(racing_views(spark, sf_dir)["fact_car_telemetry"])
+    rows = served.dashboard_telemetry(RacingViews(spark, sf_dir)["fact_car_telemetry"])
     return rows.withColumn("date", iso_micros(F.col("date")))
 
 
@@ -431,7 +471,7 @@ def dashboard_telemetry(spark, sf_dir):
 )
 def silver_alignment(spark, sf_dir):
     """Positions with the car data in force, as published to silver."""
-    v = racing_views(spark, sf_dir)
+    v = RacingViews(spark, sf_dir)
     aligned = align_telemetry(v["fact_car_location"], v["fact_car_telemetry"])
     return aligned.withColumn("date", iso_micros(F.col("date")))
 
@@ -459,7 +499,7 @@ _FEATURES_SQL = """
 
 
 def _features(spark, sf_dir):
-    v = racing_views(spark, sf_dir)
+    v = RacingViews(spark, sf_dir)
     return gold.lap_features(v["dim_stints"], v["fact_car_telemetry"])
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from trackside.operators.textsearch import ASCII_WORDS, tfidf, tfidf_match
 from trackside.plans.hybrid import hybrid_search
 from workload.registry import query, table
-from workload.serving import over_views, racing_views
+from workload.serving import RacingViews, over_views
 
 # A short list of our own, so that the SQL can state it too.
 STOP_WORDS = ["the", "and", "of", "to", "in", "is", "it", "that", "for", "on", "with", "as", "was", "at", "by", "an"]
@@ -110,7 +110,7 @@ _HYBRID_HOURS = 6
 )
 def hybrid_answers(spark, sf_dir):
     """Each benchmark item asked about the first week's messages, answered with the six hours after the match."""
-    v = racing_views(spark, sf_dir)
+    v = RacingViews(spark, sf_dir)
     questions = table(spark, sf_dir, "benchmark").select(
         "item_id", F.lit(_SESSION).cast("bigint").alias("session_key"), F.col("text").alias("question")
     )
