@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackside.functions.scalars import micros
+from trackside.operators.hotkeys import ROWS_PER_CHUNK
 from trackside.operators.joins import all_not_null
 
 
@@ -20,6 +22,10 @@ class Measure:
     column: str | None = None
 
 
+# Window lengths are divided by one of these where a single bucket would be too large.
+SLICES = (10, 100, 1000, 10_000)
+
+
 def interval_aggregate(
     events: DataFrame,
     series: DataFrame,
@@ -32,6 +38,7 @@ def interval_aggregate(
     before_seconds: float = 0.0,
     how: str = "left",
     few_events: bool = False,
+    rows_per_bucket: int = ROWS_PER_CHUNK,
 ) -> DataFrame:
     """Join each event with measures over series rows of its key in ``[t - before, t + after]``.
 
@@ -39,86 +46,153 @@ def interval_aggregate(
     so a window covers the tail of one bucket and the head of the next. Running aggregates
     per bucket, one forwards and one backwards, give both parts in a single pass. Series
     rows of one instant are combined before the shuffle, events of one instant are computed
-    once. ``how="inner"`` drops events without any series row. With ``by=[]`` all rows
-    belong together and the time bucket alone distributes the work. ``few_events`` says that
-    the events were seen to be few: their keys and buckets are then broadcast to drop series
-    rows nobody asks for before the shuffle.
+    once. With ``by=[]`` all rows belong together and the time buckets distribute the work.
+
+    Where a bucket of some key holds more than ``rows_per_bucket`` rows, buckets become a
+    fraction of the window; the whole buckets inside a window are then summed up by the same
+    method one level up, over one row per bucket.
+
+    ``how="inner"`` drops events without any series row. ``few_events`` says that the events
+    were seen to be few: their keys and buckets are then broadcast to drop series rows nobody
+    asks for before the shuffle.
     """
     before, width = int(before_seconds * 1e6), int((before_seconds + after_seconds) * 1e6)
     if width <= 0:
         raise ValueError("the window must have a length")
-    for m in measures:
-        if m.how not in ("avg", "sum", "min", "max", "count"):
-            raise ValueError(f"unknown measure {m.how!r}")
+    parts = _parts(measures)
+    merge = {name: getattr(F, fn) for name, (fn, _) in parts.items()}
+
+    at = micros(F.col(series_ts))
+    timed = series.where(all_not_null([*by, series_ts])).withColumn("_at", at)
+    slices = _slices(timed, by, width, rows_per_bucket)
+    grain = width // slices
+    timed = timed.withColumn("_bucket", F.floor(F.col("_at") / F.lit(grain)))
+
+    opened = micros(F.col(event_ts)) - F.lit(before)
+    windows = (
+        events.where(all_not_null([*by, event_ts]))
+        .select(*by, opened.alias("_opened"))
+        .distinct()
+        .withColumn("_from", F.floor(F.col("_opened") / F.lit(grain)))
+    )
+    if few_events:
+        span = windows.select(*by, F.explode(F.sequence("_from", F.col("_from") + slices)).alias("_bucket"))
+        timed = timed.join(F.broadcast(span.distinct()), [*by, "_bucket"], "left_semi")
+    instants = timed.groupBy(*by, "_bucket", "_at").agg(*[e.alias(n) for n, (_, e) in parts.items()])
+
+    pieces = [
+        _edges(
+            instants,
+            windows,
+            by,
+            merge,
+            starts={"_at": F.col("_opened"), "_bucket": F.col("_from")},
+            ends={"_at": F.col("_opened") + width, "_bucket": F.col("_from") + slices},
+        )
+    ]
+    if slices > 1:
+        # Whole buckets first..last inside the window, in blocks of as many buckets.
+        inner = slices - 1
+        first, last = F.col("_from") + 1, F.col("_from") + inner
+        block = lambda bucket: F.floor(bucket / F.lit(inner))
+        buckets = (
+            instants.groupBy(*by, F.col("_bucket").alias("_at"))
+            .agg(*[fn(name).alias(name) for name, fn in merge.items()])
+            .withColumn("_bucket", block(F.col("_at")))
+        )
+        pieces.append(
+            _edges(
+                buckets,
+                windows,
+                by,
+                merge,
+                starts={"_at": first, "_bucket": block(first)},
+                ends={"_at": last, "_bucket": block(last)},
+                # A run that starts with its block is that block: its tail says everything.
+                needs_end=first % inner != 0,
+            )
+        )
+    summed = (
+        reduce(lambda a, b: a.unionByName(b), pieces)
+        .groupBy(*by, "_opened")
+        .agg(*[fn(name).alias(name) for name, fn in merge.items()])
+        .where(F.col("_rows") > 0)
+    )
+    return (
+        events.withColumn("_opened", opened)
+        .join(summed, [*by, "_opened"], how)
+        .select(*[F.col(c) for c in events.columns], *[_output(m) for m in measures])
+    )
 
+
+def _parts(measures: list[Measure]) -> dict[str, tuple[str, Column]]:
+    """Partial aggregates needed: name -> (function that merges it, expression over rows)."""
     parts = {"_rows": ("sum", F.count(F.lit(1)))}
     for m in measures:
+        if m.how not in ("avg", "sum", "min", "max", "count"):
+            raise ValueError(f"unknown measure {m.how!r}")
         if m.how in ("avg", "sum"):
             parts[f"_sum_{m.column}"] = ("sum", F.sum(m.column))
         if m.how == "avg":
             parts[f"_cnt_{m.column}"] = ("sum", F.count(m.column))
         if m.how in ("min", "max"):
             parts[f"_{m.how}_{m.column}"] = (m.how, getattr(F, m.how)(m.column))
-    merge = {name: getattr(F, fn) for name, (fn, _) in parts.items()}
+    return parts
 
-    opened = micros(F.col(event_ts)) - F.lit(before)
-    starts = (
-        events.where(all_not_null([*by, event_ts]))
-        .select(*by, opened.alias("_opened"))
-        .distinct()
-        .select(
-            *by,
-            "_opened",
-            F.explode(F.array(F.lit(1), F.lit(2))).alias("_point"),
-        )
-        .withColumns(
-            {
-                "_at": F.col("_opened") + F.when(F.col("_point") == 2, F.lit(width)).otherwise(F.lit(0)),
-                "_bucket": F.floor(F.col("_opened") / F.lit(width)) + F.col("_point") - 1,
-            }
-        )
-    )
-    at = micros(F.col(series_ts))
-    timed = series.where(all_not_null([*by, series_ts])).withColumns(
-        {"_at": at, "_bucket": F.floor(at / F.lit(width))}
+
+def _output(m: Measure) -> Column:
+    if m.how == "count":
+        value = F.coalesce(F.col("_rows"), F.lit(0))
+    elif m.how == "avg":
+        count = F.col(f"_cnt_{m.column}")
+        value = F.col(f"_sum_{m.column}") / F.when(count > 0, count)
+    else:
+        value = F.col(f"_{m.how}_{m.column}")
+    return value.alias(m.name)
+
+
+def _slices(timed: DataFrame, by: list[str], width: int, rows_per_bucket: int) -> int:
+    """Into how many buckets to cut a window, from the largest (key, window-wide bucket)."""
+    if timed.count() <= rows_per_bucket:
+        return 1
+    bucket = F.floor(F.col("_at") / F.lit(width)).alias("_bucket")
+    largest = timed.groupBy(*by, bucket).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).head().n
+    fitting = [s for s in SLICES if width % s == 0]
+    if not largest or largest <= rows_per_bucket or not fitting:
+        return 1
+    enough = [s for s in fitting if largest / s <= rows_per_bucket]
+    return enough[0] if enough else fitting[-1]
+
+
+def _edges(
+    rows: DataFrame,
+    windows: DataFrame,
+    by: list[str],
+    merge: dict,
+    starts: dict[str, Column],
+    ends: dict[str, Column],
+    needs_end: Column | None = None,
+) -> DataFrame:
+    """(by, ``_opened``, parts): what ``rows`` add up to from each start to the end of its bucket,
+    and from the beginning of each end's bucket to that end; two rows per window."""
+    points = F.array(
+        F.struct(F.lit(1).alias("_point"), *[c.alias(n) for n, c in starts.items()]),
+        F.when(
+            F.lit(True) if needs_end is None else needs_end,
+            F.struct(F.lit(2).alias("_point"), *[c.alias(n) for n, c in ends.items()]),
+        ),
     )
-    if few_events:
-        timed = timed.join(F.broadcast(starts.select(*by, "_bucket").distinct()), [*by, "_bucket"], "left_semi")
-    instants = (
-        timed.groupBy(*by, "_bucket", "_at")
-        .agg(*[expr.alias(name) for name, (_, expr) in parts.items()])
-        .withColumn("_point", F.lit(0))
+    marks = windows.select(*by, "_opened", F.explode(points).alias("_p")).where(F.col("_p").isNotNull())
+    line = marks.select(*by, "_opened", "_p.*").unionByName(
+        rows.withColumn("_point", F.lit(0)), allowMissingColumns=True
     )
-    line = starts.unionByName(instants, allowMissingColumns=True)
     group = Window.partitionBy(*by, "_bucket")
     frame = (Window.unboundedPreceding, Window.currentRow)
     head = group.orderBy(F.asc("_at")).rangeBetween(*frame)
     tail = group.orderBy(F.desc("_at")).rangeBetween(*frame)
     heads = line.withColumns({f"h{name}": fn(name).over(head) for name, fn in merge.items()})
     both = heads.withColumns({f"t{name}": fn(name).over(tail) for name, fn in merge.items()})
-    windows = (
-        both.where(F.col("_point") > 0)
-        .select(
-            *by,
-            "_opened",
-            *[
-                F.when(F.col("_point") == 1, F.col(f"t{name}")).otherwise(F.col(f"h{name}")).alias(name)
-                for name in merge
-            ],
-        )
-        .groupBy(*by, "_opened")
-        .agg(*[fn(name).alias(name) for name, fn in merge.items()])
-        .where(F.col("_rows") > 0)
-    )
-    outputs = {
-        "avg": lambda m: F.col(f"_sum_{m.column}") / F.when(F.col(f"_cnt_{m.column}") > 0, F.col(f"_cnt_{m.column}")),
-        "sum": lambda m: F.col(f"_sum_{m.column}"),
-        "min": lambda m: F.col(f"_min_{m.column}"),
-        "max": lambda m: F.col(f"_max_{m.column}"),
-        "count": lambda m: F.coalesce(F.col("_rows"), F.lit(0)),
-    }
-    return (
-        events.withColumn("_opened", opened)
-        .join(windows, [*by, "_opened"], how)
-        .select(*[F.col(c) for c in events.columns], *[outputs[m.how](m).alias(m.name) for m in measures])
-    )
+    chosen = [
+        F.when(F.col("_point") == 1, F.col(f"t{name}")).otherwise(F.col(f"h{name}")).alias(name) for name in merge
+    ]
+    return both.where(F.col("_point") > 0).select(*by, "_opened", *chosen)

@@ -67,24 +67,20 @@ class SilverRun:
         self.counts = {"read": 0, "valid": 0, "quarantined": 0}
         self.year = self._season(year)
 
-    def _batch(self, kind: str, year: int) -> DataFrame:
-        rows = bronze.read_bronze(self.spark, self.root, kind).where(
-            (F.col("_year") == year) & (F.col("_session") == self.session)
-        )
-        return rows if self.gp is None else rows.where(F.col("_gp") == self.gp.replace(" ", "_"))
+    def _batch(self, kind: str) -> DataFrame:
+        return bronze.read_bronze(self.spark, self.root, kind, self.year, self.gp, self.session)
 
     def _season(self, year: int) -> int:
-        if bronze.has_bronze(self.spark, self.root, "sessions"):
-            for candidate in (year, SEASON_FALLBACK.get(year)):
-                if candidate is not None and not self._batch("sessions", candidate).isEmpty():
-                    return candidate
+        for candidate in (year, SEASON_FALLBACK.get(year)):
+            if candidate and bronze.has_bronze(self.spark, self.root, "sessions", candidate, self.gp, self.session):
+                return candidate
         raise FileNotFoundError(f"no bronze sessions for {year} / {self.gp or 'all events'} / {self.session}")
 
     def _checked(self, spec: S.TableSpec):
         """Validated rows of one record kind and its quarantine; None where nothing has landed."""
-        if not bronze.has_bronze(self.spark, self.root, spec.bronze):
+        if not bronze.has_bronze(self.spark, self.root, spec.bronze, self.year, self.gp, self.session):
             return None
-        rows = self._batch(spec.bronze, self.year)
+        rows = self._batch(spec.bronze)
         if self.lenient:
             spec = S.relaxed(spec)
             if spec.name == S.OVERTAKES.name and "position" in rows.columns:
@@ -121,7 +117,7 @@ class SilverRun:
         store(self.spark, self.root, S.LOCATION, location.valid.where(followed).drop(*_KEYS))
         self._finish(S.LOCATION, location)
         stored = read_table(self.spark, self.root, S.LOCATION)
-        batch = self._batch("location", self.year).select(F.col("session_key").try_cast("bigint")).distinct()
+        batch = self._batch("location").select(F.col("session_key").try_cast("bigint")).distinct()
         positions = stored.join(batch, "session_key", "left_semi")
         store(
             self.spark, self.root, S.TELEMETRY, align_telemetry(positions, car.valid.where(followed))
@@ -164,7 +160,7 @@ def run_medallion(
         counts = run.run()
         if with_gold:
             run_gold(spark, root, lap_times, **(forest or {}))
-        keys = run._batch("sessions", run.year).select(F.col("session_key").try_cast("bigint").alias("session_key"))
+        keys = run._batch("sessions").select(F.col("session_key").try_cast("bigint").alias("session_key"))
         record = run_record(name, None, time.time() - started, counts["valid"])
         log_runs(spark, root, record, keys.where(F.col("session_key").isNotNull()))
         return counts

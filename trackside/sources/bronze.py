@@ -49,13 +49,40 @@ def land_bronze(
     return path
 
 
-def has_bronze(spark: SparkSession, root: str, kind: str) -> bool:
-    return files.has_data(spark, bronze_path(root, kind))
-
-
-def read_bronze(spark: SparkSession, root: str, kind: str) -> DataFrame:
-    """All partitions of a kind; partition keys are ``_year``, ``_gp`` and ``_session``."""
-    found = spark.read.option("mergeSchema", "true").parquet(bronze_path(root, kind))
+def _batches(root: str, kind: str, year: int | None, gp: str | None, session: str | None) -> str:
+    given = zip(PARTITION, (year, gp, session))
+    folders = [f"{k}={'*' if v is None else str(v).replace(' ', '_')}" for k, v in given]
+    return "/".join([bronze_path(root, kind), *folders])
+
+
+def has_bronze(
+    spark: SparkSession,
+    root: str,
+    kind: str,
+    year: int | None = None,
+    gp: str | None = None,
+    session: str | None = None,
+) -> bool:
+    return files.matches(spark, _batches(root, kind, year, gp, session))
+
+
+def read_bronze(
+    spark: SparkSession,
+    root: str,
+    kind: str,
+    year: int | None = None,
+    gp: str | None = None,
+    session: str | None = None,
+) -> DataFrame:
+    """The partitions asked for; their keys are ``_year``, ``_gp`` and ``_session``.
+
+    Only the folders named are listed, and columns are merged over their files alone.
+    """
+    found = (
+        spark.read.option("basePath", bronze_path(root, kind))
+        .option("mergeSchema", "true")
+        .parquet(_batches(root, kind, year, gp, session))
+    )
     keyed = found.withColumnsRenamed({k: f"_{k}" for k in PARTITION})
     return keyed.withColumnsRenamed({f"raw_{k}": k for k in PARTITION if f"raw_{k}" in found.columns})
 

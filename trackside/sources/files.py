@@ -26,6 +26,11 @@ def has_data(spark: SparkSession, path: str) -> bool:
     return any(not s.getPath().getName().startswith(("_", ".")) for s in fs.listStatus(target))
 
 
+def matches(spark: SparkSession, pattern: str) -> bool:
+    fs, target = _at(spark, pattern)
+    return bool(fs.globStatus(target))
+
+
 def delete_files(spark: SparkSession, paths: Iterable[str]) -> int:
     gone = 0
     for path in paths:

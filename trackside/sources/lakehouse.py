@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trackside.operators.tables import upsert
@@ -21,16 +20,16 @@ def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
 
 
 def read_table(spark: SparkSession, root: str, spec: TableSpec) -> DataFrame:
-    """The table with its declared types; typed and empty when nothing has been published."""
+    """The table with its declared types; typed and empty when nothing has been published.
+
+    Declared columns are read by name from every file (NULL where a file lacks one); further
+    columns are those of the file Spark samples, so that no job has to open all footers.
+    """
     path = table_path(root, spec.name)
     if not files.has_data(spark, path):
         return empty(spark, spec.schema)
-    found = spark.read.option("mergeSchema", "true").parquet(path)
-    typed = [
-        (F.col(f.name) if f.name in found.columns else F.lit(None)).cast(f.type).alias(f.name) for f in spec.fields
-    ]
-    extra = [c for c in found.columns if c not in spec.schema.fieldNames()]
-    return found.select(*typed, *extra)
+    extra = [f for f in spark.read.parquet(path).schema.fields if f.name not in spec.schema.fieldNames()]
+    return spark.read.schema(T.StructType(spec.schema.fields + extra)).parquet(path)
 
 
 def replace_partitions(df: DataFrame, path: str, keys: list[str]) -> None:

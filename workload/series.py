@@ -94,7 +94,7 @@ _MEASURES = [
 
 @query(
     """
-    SELECT e.event_id, e.user_id, count(s.event_id) AS n, round(avg(s.value), 6) AS avg_value,
+    SELECT e.event_id, e.user_id, count(s.event_id) AS n, round(avg(s.value), 9) AS avg_value,
            max(s.value) AS max_value, min(s.value) AS min_value
     FROM (SELECT * FROM events WHERE event_type = 'error') e
     LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') s
@@ -113,12 +113,12 @@ def interval_join_agg(spark, sf_dir):
         after_seconds=6 * 3600,
         measures=_MEASURES,
     )
-    return joined.drop("ts").withColumn("avg_value", F.round("avg_value", 6))
+    return joined.drop("ts").withColumn("avg_value", F.round("avg_value", 9))
 
 
 @query(
     """
-    SELECT e.event_id, count(*) AS n, round(avg(s.value), 6) AS avg_value,
+    SELECT e.event_id, count(*) AS n, round(avg(s.value), 9) AS avg_value,
            max(s.value) AS max_value, min(s.value) AS min_value
     FROM (SELECT * FROM events WHERE event_type = 'error') e
     JOIN events s ON s.ts BETWEEN e.ts AND e.ts + INTERVAL 15 MINUTES
@@ -137,7 +137,7 @@ def interval_join_global(spark, sf_dir):
         measures=_MEASURES,
         how="inner",
     )
-    return joined.drop("ts").withColumn("avg_value", F.round("avg_value", 6))
+    return joined.drop("ts").withColumn("avg_value", F.round("avg_value", 9))
 
 
 @query(
