@@ -27,7 +27,10 @@ def archive_json(spark: SparkSession, root: str, dst: str | None = None) -> Data
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.json")
         .text(root, wholetext=True)
-        .select("value", F.col("_metadata.file_path").alias("path"))
+        # The path comes URL-encoded, except that a plus sign stands for itself.
+        .select(
+            "value", F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("path")
+        )
         .where(~F.col("path").contains("/archive/"))
     )
     base = F.regexp_replace(F.lit(root), r"^[a-z0-9]+:/*", "/")
