@@ -101,13 +101,14 @@ def test_downsample_floor(spark, n):
     assert sorted(r.i for r in kept.collect()) == [i for i in range(1, n + 1) if i % step == 0]
 
 
-@pytest.mark.parametrize("rows_per_chunk", [10**9, 30])
+@pytest.mark.parametrize("rows_per_chunk", [10**9, 30, 5])
 def test_rank_with_hot_and_null_keys_and_null_times(spark, rows_per_chunk):
     rng = random.Random(5)
     rows = []
     for i in range(500):
         key = rng.choice([None, 1, 1, 1, 2, 3])
-        rows.append((key, None if rng.random() < 0.1 else T0 + timedelta(seconds=rng.randint(0, 60)), i))
+        second = 30 if rng.random() < 0.4 else rng.randint(0, 60)
+        rows.append((key, None if rng.random() < 0.1 else T0 + timedelta(seconds=second), i))
     df = spark.createDataFrame(rows, "k long, ts timestamp_ntz, i long")
     got = {r.i: (r.rn, r.n) for r in rank_rows(df, by=["k"], order=["ts", "i"], rows_per_chunk=rows_per_chunk).collect()}
     expected = {}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trackside.functions.scalars import micros
 from trackside.operators.hotkeys import ROWS_PER_CHUNK
-from trackside.operators.joins import all_not_null
+from trackside.operators.joins import all_not_null, within_rows
 
 
 @dataclass(frozen=True)
@@ -53,8 +53,8 @@ def interval_aggregate(
     method one level up, over one row per bucket.
 
     ``how="inner"`` drops events without any series row. ``few_events`` says that the events
-    were seen to be few: their keys and buckets are then broadcast to drop series rows nobody
-    asks for before the shuffle.
+    may be few: if a check of the size confirms it, their keys and buckets are broadcast to
+    drop series rows nobody asks for before the shuffle.
     """
     before, width = int(before_seconds * 1e6), int((before_seconds + after_seconds) * 1e6)
     if width <= 0:
@@ -76,8 +76,10 @@ def interval_aggregate(
         .withColumn("_from", F.floor(F.col("_opened") / F.lit(grain)))
     )
     if few_events:
-        span = windows.select(*by, F.explode(F.sequence("_from", F.col("_from") + slices)).alias("_bucket"))
-        timed = timed.join(F.broadcast(span.distinct()), [*by, "_bucket"], "left_semi")
+        reach = F.explode(F.sequence("_from", F.col("_from") + slices)).alias("_bucket")
+        asked = windows.select(*by, reach).distinct()
+        if within_rows(asked):
+            timed = timed.join(F.broadcast(asked), [*by, "_bucket"], "left_semi")
     instants = timed.groupBy(*by, "_bucket", "_at").agg(*[e.alias(n) for n, (_, e) in parts.items()])
 
     pieces = [

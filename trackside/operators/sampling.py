@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackside.operators.hotkeys import CHUNK, CUTS, ROWS_PER_CHUNK, ChunkPlan, order_number, plan_chunks, tag_chunks
+from trackside.operators.hotkeys import (
+    CHUNK,
+    CUTS,
+    ROWS_PER_CHUNK,
+    ChunkPlan,
+    order_number,
+    plan_chunks,
+    tag_chunks,
+    tie_spread,
+)
 from trackside.operators.joins import null_safe_join
 
+_SUB = "_sub"
+
 
 def rank_rows(
     df: DataFrame,
@@ -20,8 +31,9 @@ def rank_rows(
     """Add ``rn`` (1-based position in its key) and ``n`` (rows of the key).
 
     Hot keys are numbered chunk by chunk; the number of rows in earlier chunks is added
-    back from a table of chunk sizes, which the chunk limits keep small. ``chunks`` takes a
-    plan that was made before.
+    back from a table of chunk sizes, which the chunk limits keep small. A single position
+    that fills several chunks is cut along the second order column. ``chunks`` takes a plan
+    that was made before.
     """
     position = order_number(df, order[0])
     ordered = [F.asc_nulls_last(c) for c in order]
@@ -36,31 +48,53 @@ def rank_rows(
             {"rn": F.row_number().over(key.orderBy(*ordered)).cast("bigint"), "n": F.count(F.lit(1)).over(key)}
         )
 
-    before = key.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    ties = _tie_cuts(df, by, order, cuts, position, rows_per_chunk)
+
+    def chunked(rows: DataFrame, how: str) -> DataFrame:
+        tagged = tag_chunks(rows, by, cuts, position, how).withColumnRenamed(CUTS, "_hot")
+        if ties is None:
+            return tagged.withColumn(_SUB, F.lit(0))
+        # Rows of a split instant come after the earlier rows of their chunk.
+        split = tag_chunks(tagged.withColumnRenamed(CHUNK, "_outer"), [*by, order[0]], ties, order_number(df, order[1]))
+        sub = F.when(F.col(CUTS).isNull(), F.lit(0)).otherwise(F.col(CHUNK) + 1)
+        return split.withColumn(_SUB, sub).drop(CUTS, CHUNK).withColumnRenamed("_outer", CHUNK)
+
+    before = key.orderBy(CHUNK, _SUB).rowsBetween(Window.unboundedPreceding, -1)
     sizes = (
-        tag_chunks(df.select(*dict.fromkeys([*by, order[0]])), by, cuts, position, "inner")
-        .groupBy(*by, CHUNK)
+        chunked(df.select(*dict.fromkeys([*by, *order])), "inner")
+        .groupBy(*by, CHUNK, _SUB)
         .agg(F.count(F.lit(1)).alias("_size"))
         .select(
             *by,
             CHUNK,
+            _SUB,
             F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"),
             F.sum("_size").over(key).alias("n"),
         )
     )
-    piece = Window.partitionBy(*by, CHUNK)
-    numbered = tag_chunks(df, by, cuts, position).withColumn(
-        "rn", F.row_number().over(piece.orderBy(*ordered)).cast("bigint")
-    )
-    is_hot = F.col(CUTS).isNotNull()
-    placed = null_safe_join(numbered, F.broadcast(sizes), [*by, CHUNK], "left")
+    piece = Window.partitionBy(*by, CHUNK, _SUB)
+    numbered = chunked(df, "left").withColumn("rn", F.row_number().over(piece.orderBy(*ordered)).cast("bigint"))
+    is_hot = F.col("_hot").isNotNull()
+    placed = null_safe_join(numbered, F.broadcast(sizes), [*by, CHUNK, _SUB], "left")
     counted = F.count(F.lit(1)).over(piece)
     return placed.withColumns(
         {
             "rn": F.col("rn") + F.coalesce("_before", F.lit(0)),
             "n": F.when(is_hot, F.col("n")).otherwise(counted),
         }
-    ).drop("_before", CHUNK, CUTS)
+    ).drop("_before", "_hot", CHUNK, _SUB)
+
+
+def _tie_cuts(
+    df: DataFrame, by: list[str], order: list[str], cuts: DataFrame, position: Column, rows_per_chunk: int
+) -> DataFrame | None:
+    """Cuts along the second order column for single positions that fill several chunks."""
+    second = order_number(df, order[1]) if len(order) > 1 else None
+    if second is None:
+        return None
+    rows = tag_chunks(df.select(*dict.fromkeys([*by, *order[:2]])), by, cuts, position, "inner")
+    tied = rows.where(tie_spread(position) > 1).drop(CUTS, CHUNK)
+    return plan_chunks(tied, [*by, order[0]], second, rows_per_chunk).cuts
 
 
 def downsample(

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from trackside import constants as K
 from trackside.functions.scalars import iso_micros, percent_text
 from trackside.operators.interval import Measure, interval_aggregate
-from trackside.operators.joins import within_rows
 from trackside.operators.textsearch import tfidf_match
 from trackside.session import materialise
 
@@ -69,7 +68,7 @@ def hybrid_search(
         "event_ts": "date",
         "series_ts": "date",
         "after_seconds": after_seconds,
-        "few_events": within_rows(hits),
+        "few_events": True,
     }
     own = interval_aggregate(
         hits.where(F.col("_driver").isNotNull()),

@@ -12,7 +12,7 @@ from trackside import specs as S
 from trackside.constants import FOCUS_DRIVERS, SEASON_FALLBACK
 from trackside.functions.scalars import clean_gear
 from trackside.operators.asof import asof_join
-from trackside.operators.tables import dedup_first
+from trackside.operators.tables import dedup_first, latest
 from trackside.operators.validate import split_valid
 from trackside.plans import gold
 from trackside.sources import bronze
@@ -101,10 +101,11 @@ class SilverRun:
         for spec in PLAIN:
             checked = self._checked(spec)
             if checked is not None:
-                rows = checked.valid.drop(*_KEYS)
+                rows = checked.valid
                 if spec.keys:
-                    rows = dedup_first(rows, list(spec.keys), list(spec.keys))
-                store(self.spark, self.root, spec, rows)
+                    # As if the events were published one after the other, in order of their name.
+                    rows = latest(rows, list(spec.keys), ["_gp"])
+                store(self.spark, self.root, spec, rows.drop(*_KEYS))
                 self._finish(spec, checked)
         self._telemetry()
         return self.counts
