@@ -9,7 +9,7 @@ from trackside.functions.scalars import micros
 from trackside.operators.hotkeys import CHUNK, CUTS, ROWS_PER_CHUNK, ChunkPlan, plan_time_chunks, tag_chunks, tie_spread
 from trackside.operators.joins import all_not_null
 
-_TIME, _SIDE, _TIE, _LEFT, _RIGHT, _SUB = "_time", "_side", "_tie", "_left", "_right", "_sub"
+_TIME, _SIDE, _LEFT, _RIGHT, _SUB = "_time", "_side", "_left", "_right", "_sub"
 _POSITION = "_position"
 
 
@@ -49,15 +49,17 @@ def asof_join(
         raise ValueError(f"right columns also on the left, rename them: {sorted(clash)}")
 
     usable_left, usable_right = all_not_null([*by, on]), all_not_null([*by, right_on])
-    tie = F.struct(*[F.col(c) for c in tie_break]) if tie_break else F.struct(F.lit(0).alias("none"))
-    payload = F.struct(*[F.col(c).alias(name) for c, name in renames.items()])
-    row = F.struct(*[F.col(c) for c in left.columns])
+    # Keys and times travel as columns of their own; only the rest is packed.
+    packed = [c for c in left.columns if c not in (*by, on)]
+    extra_ties = [c for c in tie_break or [] if c not in renames]
+    payload = [F.col(c).alias(name) for c, name in renames.items()] + [F.col(c).alias(f"_tie_{c}") for c in extra_ties]
+    ties = [f"{_RIGHT}.{renames.get(c, f'_tie_{c}')}" for c in tie_break or []]
 
     right_side = right.where(usable_right).select(
-        *by, F.col(right_on).alias(_TIME), F.lit(0).alias(_SIDE), tie.alias(_TIE), payload.alias(_RIGHT)
+        *by, F.col(right_on).alias(_TIME), F.lit(0).alias(_SIDE), F.struct(*(payload or [F.lit(0)])).alias(_RIGHT)
     )
     left_side = left.where(usable_left).select(
-        *by, F.col(on).alias(_TIME), F.lit(1).alias(_SIDE), row.alias(_LEFT)
+        *by, F.col(on).alias(_TIME), F.lit(1).alias(_SIDE), F.struct(*(packed or [F.lit(0)])).alias(_LEFT)
     )
     line = left_side.unionByName(right_side, allowMissingColumns=True)
 
@@ -66,35 +68,35 @@ def asof_join(
     chunk_keys = list(by)
     if chunks.cuts is not None:
         chunk_keys += [CHUNK, _SUB]
-        line = _in_chunks(line, by, chunks.cuts, micros(F.col(_TIME)))
+        line = _in_chunks(line, by, chunks.cuts, ties)
     running = (
         Window.partitionBy(*chunk_keys)
-        .orderBy(F.asc_nulls_first(_TIME), _SIDE, F.asc_nulls_first(_TIE))
+        .orderBy(F.asc_nulls_first(_TIME), _SIDE, *[F.asc_nulls_first(t) for t in ties])
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    matched = line.withColumn("_match", F.last(_RIGHT, ignorenulls=True).over(running)).where(
-        F.col(_LEFT).isNotNull()
-    )
+    matched = line.withColumn("_match", F.last(_RIGHT, ignorenulls=True).over(running)).where(F.col(_SIDE) == 1)
+    own = [F.col(_TIME if c == on else c if c in by else f"{_LEFT}.{c}").alias(c) for c in left.columns]
     fields = [F.col(f"_match.{name}").alias(name) for name in renames.values()]
     if how == "inner":
-        return matched.where(F.col("_match").isNotNull()).select(f"{_LEFT}.*", *fields)
+        return matched.where(F.col("_match").isNotNull()).select(*own, *fields)
     unmatched = left.where(~usable_left)
-    return matched.select(f"{_LEFT}.*", *fields).unionByName(unmatched, allowMissingColumns=True)
+    return matched.select(*own, *fields).unionByName(unmatched, allowMissingColumns=True)
 
 
-def _in_chunks(line: DataFrame, by: list[str], cuts: DataFrame, position: Column) -> DataFrame:
+def _in_chunks(line: DataFrame, by: list[str], cuts: DataFrame, ties: list[str]) -> DataFrame:
     """The time line with chunk numbers, and for each chunk of a hot key a first row that
     carries the last right row of the chunks before it."""
-    spread = tie_spread(F.col(_POSITION))
+    position = F.col(_POSITION)
+    spread = tie_spread(position)
 
     def chunked(how: str) -> DataFrame:
-        tagged = tag_chunks(line.withColumn(_POSITION, position), by, cuts, F.col(_POSITION), how)
+        tagged = tag_chunks(line.withColumn(_POSITION, micros(F.col(_TIME))), by, cuts, position, how)
         slot = F.pmod(F.xxhash64(_LEFT, _RIGHT), spread) + 1
         sub = F.when(spread < 2, F.lit(0)).otherwise(slot + F.when(F.col(_SIDE) == 1, spread).otherwise(0))
         return tagged.withColumn(_SUB, sub.cast("int")).drop(CUTS, _POSITION)
 
     chunk_keys = [*by, CHUNK, _SUB]
-    newest = F.when(F.col(_SIDE) == 0, F.struct(_TIME, _TIE))
+    newest = F.when(F.col(_SIDE) == 0, F.struct(_TIME, *ties))
     earlier = Window.partitionBy(*by).orderBy(CHUNK, _SUB).rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         chunked("inner")
