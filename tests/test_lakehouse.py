@@ -122,6 +122,14 @@ def test_medallion(spark, lake):
     assert read_table(spark, lake, S.RUNS).count() == 3
 
 
+def test_one_plan_over_many_files(spark):
+    paths = [scratch_path(spark, f"car_data_{n}") for n in (1, 44)]
+    spark.createDataFrame([(1, 300)], "driver_number long, speed long").write.parquet(paths[0])
+    spark.createDataFrame([(44, 310, 1)], "driver_number long, speed long, drs long").write.parquet(paths[1])
+    rows = bronze.read_files(spark, paths).collect()
+    assert sorted((r.driver_number, r.speed, r.drs) for r in rows) == [(1, 300, None), (44, 310, 1)]
+
+
 def test_failed_run_is_logged(spark):
     root = scratch_path(spark, "failed")
     with pytest.raises(FileNotFoundError):
@@ -168,6 +176,8 @@ def test_gateway_reads(gateway, text):
         "SELECT * FROM spark_catalog /* */ .default.t",
         "SELECT reflect('java.lang.System', 'getenv', 'HOME')",
         "SELECT `java_method` /* */ ('java.lang.System', 'getenv', 'HOME')",
+        "SELECT * FROM IDENTIFIER('spark_' || 'catalog.default.t')",
+        "SELECT IDENTIFIER('ref' || 'lect')('java.lang.System', 'getenv', 'HOME')",
         "SELECT * FROM unknown_table",
     ],
 )

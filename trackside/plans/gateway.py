@@ -12,8 +12,9 @@ class QueryRejected(ValueError):
     """The text is not a plain read of the registered views."""
 
 
-# Functions that leave the query and call into the runtime.
-BLOCKED_FUNCTIONS = ["reflect", "java_method", "try_reflect"]
+# Functions that leave the query and call into the runtime, and the clause that
+# turns text into a name.
+BLOCKED_WORDS = ["reflect", "java_method", "try_reflect", "identifier"]
 _NO_CATALOG = "gateway_without_tables"
 
 
@@ -24,7 +25,8 @@ class ReadOnlySql:
       that change anything do not parse, and nothing of them is executed.
     * The session holds only the views that ``register`` creates. Its default catalog does
       not exist and files cannot be named as tables, so no other relation resolves.
-    * Catalog names and functions that call into the JVM are refused beforehand.
+    * Catalog names, functions that call into the JVM and names made from text are refused
+      beforehand.
     """
 
     def __init__(self, spark: SparkSession, register: Callable[[SparkSession], object]):
@@ -33,7 +35,7 @@ class ReadOnlySql:
         register(self.session)
         self.session.conf.set("spark.sql.runSQLOnFiles", "false")
         self.session.conf.set("spark.sql.defaultCatalog", _NO_CATALOG)
-        words = "|".join([*BLOCKED_FUNCTIONS, "spark_catalog", "global_temp"])
+        words = "|".join([*BLOCKED_WORDS, "spark_catalog", "global_temp"])
         self._refused = re.compile(rf"\b({words})\b", re.IGNORECASE)
 
     def query(self, text: str) -> DataFrame:
