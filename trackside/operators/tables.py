@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from trackside import constants as K
 from trackside.operators.joins import null_safe_join
 
+RANGE_BLOCK = 4096
+
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """UNION ALL by column name; columns a frame lacks become NULL."""
@@ -71,13 +73,18 @@ def expand_range(
 
     A missing end becomes start + ``open_length``; an end before the start becomes
     start + ``repair_length``. The end is repaired first: a descending sequence would
-    otherwise count down.
+    otherwise count down. Long ranges are expanded block by block, so that no row has to hold
+    its whole range in memory.
     """
     first = F.col(start).cast("bigint")
     last = F.coalesce(F.col(end).cast("bigint"), first + open_length)
     last = F.when(last < first, first + repair_length).otherwise(last)
+    block_end = F.least(F.col("_block") + (RANGE_BLOCK - 1), F.col("_last"))
     return (
         df.where(first.isNotNull())
-        .withColumn(value, F.explode(F.sequence(first, last)))
+        .withColumn("_last", last)
+        .withColumn("_block", F.explode(F.sequence(first, F.col("_last"), F.lit(RANGE_BLOCK).cast("bigint"))))
+        .withColumn(value, F.explode(F.sequence(F.col("_block"), block_end)))
         .withColumn(index, F.col(value) - first)
+        .drop("_last", "_block")
     )
