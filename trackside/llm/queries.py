@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trackside.llm.common import prepare
 from trackside.llm.substring_windows import remove_repeated_windows
+from trackside.llm.suffix_repeats import remove_repeated_strings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,3 +35,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query()
 def op9_countmin_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_windows(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+@query()
+def op10_suffix_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_strings(table(spark, sf_dir, "documents")).drop("kept")
