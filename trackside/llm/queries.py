@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from trackside.llm.common import prepare
+from trackside.llm.nbsvm import quality
 from trackside.llm.signature_join import near_duplicates
 from trackside.llm.substring_windows import remove_repeated_windows
 from trackside.llm.suffix_repeats import remove_repeated_strings
@@ -46,3 +47,8 @@ def op10_suffix_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op5_signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op2_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
