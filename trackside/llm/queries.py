@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from trackside.llm.common import prepare
 from trackside.llm.nbsvm import quality
 from trackside.llm.signature_join import near_duplicates
+from trackside.llm.source_mix import ORACLE as MIX_ORACLE
+from trackside.llm.source_mix import mixed
 from trackside.llm.substring_windows import remove_repeated_windows
 from trackside.llm.suffix_repeats import remove_repeated_strings
 
@@ -52,3 +54,8 @@ def op5_signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op2_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query(MIX_ORACLE)
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")

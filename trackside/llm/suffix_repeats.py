@@ -30,12 +30,13 @@ from pyspark.sql import functions as F
 from trackside.llm import sketch as cms
 from trackside.llm.anchors import LAST_ID, Scan, Shape, candidates, covered, keyed, keys_of, spread, with_spans
 from trackside.llm.common import batch, joined, prepare, unsigned
-from trackside.llm.textscan import byte_weights, encoded, gram_hashes
+from trackside.llm.textscan import byte_weights, encoded, gram_hashes, mix
 
 LENGTH = 100
 ANCHOR = 32
 WIDTH_BITS = 27
 HOT = 2000
+PIECE_BYTES = 4 << 20  # a task sorts the suffixes of so many bytes of its buckets at a time
 
 
 def scan_bytes(window: int, anchor: int, texts: list[bytes]) -> Scan:
@@ -158,12 +159,19 @@ def repeat_spans(rows: DataFrame, length: int, anchor: int, width_bits: int, hot
         if held:
             key, did, th, start, n, data = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            ends = np.cumsum(n + length - 1)
-            windows = gram_hashes(byte_weights(data), length)
-            head, tail = windows[ends - n - length + 1], windows[ends - length]
-            for x in maximal_repeats(key, head, tail, did, th, start, n, data, length):
-                if len(x[0]):
-                    yield spans(*x)
+            at = np.cumsum(n + length - 1) - (n + length - 1)
+            pieces = len(data) // PIECE_BYTES + 1
+            piece = (mix(key) % np.uint64(pieces)).astype(np.int64)
+            for p in range(pieces):  # whole buckets
+                r = np.flatnonzero(piece == p)
+                if len(r):
+                    part = data[spread(at[r], n[r] + length - 1)]
+                    ends = np.cumsum(n[r] + length - 1)
+                    windows = gram_hashes(byte_weights(part), length)
+                    head, tail = windows[ends - n[r] - length + 1], windows[ends - length]
+                    for x in maximal_repeats(key[r], head, tail, did[r], th[r], start[r], n[r], part, length):
+                        if len(x[0]):
+                            yield spans(*x)
 
     return sent.repartition("key").mapInArrow(grouped, "did long, th long, start int, stop int")
 
