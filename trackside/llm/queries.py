@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trackside.llm.common import prepare
 from trackside.llm.nbsvm import quality
+from trackside.llm.packing import packed
 from trackside.llm.signature_join import near_duplicates
 from trackside.llm.source_mix import ORACLE as MIX_ORACLE
 from trackside.llm.source_mix import mixed
@@ -59,3 +60,8 @@ def op2_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(MIX_ORACLE)
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query()
+def op7_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
