@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from trackside.llm.common import prepare
 from trackside.llm.nbsvm import quality
 from trackside.llm.packing import packed
+from trackside.llm.sanitise import personal_data
 from trackside.llm.signature_join import near_duplicates
 from trackside.llm.source_mix import ORACLE as MIX_ORACLE
 from trackside.llm.source_mix import mixed
@@ -65,3 +66,8 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op3_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
