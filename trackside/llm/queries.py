@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from trackside.llm.common import prepare
+from trackside.llm.imatch import fingerprinted
 from trackside.llm.nbsvm import quality
 from trackside.llm.packing import packed
 from trackside.llm.sanitise import personal_data
@@ -71,3 +72,8 @@ def op7_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op3_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprinted(table(spark, sf_dir, "documents"))
