@@ -190,7 +190,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.where(in_training(id_col)).select(
         F.col(id_col).alias("did"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     )
-    counts, rows = class_counts(texts.join(known, "did").select("text", "label"))
+    # Texts are shuffled, labels hashed: the same way for any number of labels.
+    counts, rows = class_counts(texts.join(known.hint("shuffle_hash"), "did").select("text", "label"))
     share = rows / max(rows.sum(), 1)
     if not rows.all():
         odds = float(np.log((share[1] + 1e-6) / (share[0] + 1e-6)))
