@@ -16,6 +16,7 @@ from trackside.llm.source_mix import ORACLE as MIX_ORACLE
 from trackside.llm.source_mix import mixed
 from trackside.llm.substring_windows import remove_repeated_windows
 from trackside.llm.suffix_repeats import remove_repeated_strings
+from trackside.llm.warc import archived
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -77,3 +78,22 @@ def op3_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprinted(table(spark, sf_dir, "documents"))
+
+
+WARC_ORACLE = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload) AS first FROM p),
+h AS (SELECT *, sha1(payload) AS hex FROM f)
+SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes,
+  -- base32: 8 letters for every 10 hexadecimal digits
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((('0x' || substr(hex, (i // 8) * 10 + 1, 10))::BIGINT >> (35 - 5 * (i % 8))) & 31)::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM h
+"""
+
+
+@query(WARC_ORACLE)
+def op6_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(table(spark, sf_dir, "pages"))
