@@ -18,12 +18,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from trackside.llm.common import batch, joined, prepare
+from trackside.llm.common import batch, prepare
 from trackside.llm.textscan import byte_weights, chunks, encoded, gram_hashes, scan_words
 
 BITS = 18
@@ -242,22 +242,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model((w[:-1] * ratio).astype(np.float32), (ratio**2).astype(np.float32), float(w[-1]), made.slope, made.shift)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``score`` (a column of that name is replaced); no shuffle."""
-    docs = docs.drop("score")
+def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """All columns of ``docs`` and ``score_col``, which must not be among them; no shuffle."""
+    if score_col.lower() in [c.lower() for c in docs.columns]:
+        raise ValueError(f"{score_col} is a column of the table; name another one")
+    # Text alone goes to Python and back with the row, so that other columns of any type stay as they are.
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
-    at = [c.lower() for c in docs.columns].index(text_col.lower())
-    text_type = docs.schema[at].dataType.simpleString()
 
-    def run(batches):
-        for b in batches:
-            values = b.column(at)
-            texts = values if text_type == "string" else values.cast(pa.string())
-            found = shared.value.scores(encoded(texts.to_pylist()))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64())], [*b.schema.names, "score"])
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.scores(encoded(texts)))
 
-    return docs.mapInArrow(run, schema)
+    return docs.withColumn(score_col, scored(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -266,3 +262,12 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     out = score(docs.select("doc_id", "text"), fit(docs, labels))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == 0, F.lit(False))
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+
+
+def kept_by_quality(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
+    """The rows of ``docs`` that reach ``cut``, with their columns as they are."""
+    prepare(docs.sparkSession)
+    name = "_score"
+    while name in [c.lower() for c in docs.columns]:
+        name += "_"
+    return score(docs, fit(docs, labels), score_col=name).where(F.col(name) >= cut).drop(name)

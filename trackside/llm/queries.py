@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trackside.llm.common import prepare
 from trackside.llm.imatch import fingerprinted
 from trackside.llm.nbsvm import quality
 from trackside.llm.packing import packed
+from trackside.llm.rabitq import EVERY, search
 from trackside.llm.sanitise import personal_data
 from trackside.llm.signature_join import near_duplicates
 from trackside.llm.source_mix import ORACLE as MIX_ORACLE
@@ -97,3 +99,19 @@ FROM h
 @query(WARC_ORACLE)
 def op6_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(table(spark, sf_dir, "pages"))
+
+
+SEARCH_ORACLE = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
+FROM s QUALIFY rank <= 20
+"""
+
+
+@query(SEARCH_ORACLE)
+def op1_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"), F.col("id") % EVERY == 0)
