@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackside.llm.anchors import LAST_ID, keyed
-from trackside.llm.common import batch, prepare, signed, stored
+from trackside.llm.common import batch, may_contain, prepare, signed, stored, unused
 from trackside.llm.textscan import chunks, encoded, mix, scan_words
 
 CONTEXT = 6
@@ -276,11 +276,14 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with each base span replaced by its kind, disclosing terms by their class or by nothing."""
     columns = docs.columns
-    spans = personal_spans(docs, id_col, text_col, **options).where(F.size("spans") > 0)
-    spans = spans.dropDuplicates(["did", "th"]).select(F.col("did").alias("_did"), F.col("th").alias("_th"), F.col("spans").alias("_spans"))
+    did, th, found = unused(docs, "did", "th", "found")
+    spans = personal_spans(docs, id_col, text_col, **options).where(F.size("spans") > 0).dropDuplicates(["did", "th"])
+    spans = stored(spans.select(F.col("did").alias(did), F.col("th").alias(th), F.col("spans").alias(found)), "spans")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    same = (F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)) == F.col("_did")) & (F.xxhash64(text) == F.col("_th"))
-    hit = docs.join(spans, same, "left").drop("_did", "_th")
+    rows = docs.withColumn(did, F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))).withColumn(th, F.xxhash64(text))
+    # Only rows that may have spans are shuffled with their texts.
+    hit = may_contain(spans.select(did))(did)
+    touched = rows.where(hit).join(spans.hint("shuffle_hash"), [did, th], "left")
 
     @F.pandas_udf("string")
     def replaced(texts, spans):
@@ -301,5 +304,5 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
             out.append(text)
         return type(texts)(out, dtype=object)
 
-    cleaned = F.when(F.col("_spans").isNotNull(), replaced(text, F.col("_spans"))).otherwise(F.col(text_col))
-    return hit.withColumn(text_col, cleaned).select(*columns)
+    cleaned = F.when(F.col(found).isNotNull(), replaced(text, F.col(found))).otherwise(F.col(text_col))
+    return rows.where(~hit).select(*columns).unionByName(touched.withColumn(text_col, cleaned).select(*columns))

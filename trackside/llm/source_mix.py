@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackside.llm.common import prepare, stored
+from trackside.llm.common import prepare, stored, unused
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -114,12 +114,13 @@ def mixed(
 
 def repeated_by_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, all its columns unchanged."""
-    chosen = mixed(docs, id_col, text_col, **options).groupBy(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash"))
-    chosen = chosen.agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (
-        F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col("_hash")
+    one, digest, copies, copy = unused(docs, "id", "digest", "copies", "copy")
+    chosen = mixed(docs, id_col, text_col, **options).groupBy(F.col(id_col).alias(one), F.col("text_hash").alias(digest))
+    chosen = chosen.agg(F.max("copies").alias(copies)).where(F.col(copies) > 0)
+    same = F.col(id_col).eqNullSafe(F.col(one)) & (
+        F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col(digest)
     )
-    taken = docs.join(chosen, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    taken = docs.join(chosen.hint("shuffle_hash"), same).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
     return taken.select(*docs.columns)
 
 
