@@ -2,9 +2,9 @@
 
 Every window (sequence of ``length`` tokens) takes from each source its share of the window; what a share misses or
 exceeds by rounding to whole tokens is that source's deficit and is carried to the next window. The carry has a closed form:
-after x tokens in all, the sources up to j have given floor(x * share of the sources up to j) tokens, so no deficit
-ever reaches one token, and every task knows the state at any window without seeing the ones before. Deficits so
-carry across windows and partitions alike.
+of the first x tokens, one half of the sources gets its share rounded down, the other half the rest, and so on within
+each half. Every source's count only ever grows, a deficit stays below 1 + log2(sources) tokens, and every task knows the
+state at any window without seeing the ones before. Deficits so carry across windows and partitions alike.
 
 Targets default to the sources' own shares of all tokens, which empties all queues together: every window but the
 last is full. With other targets the mix holds until a queue is empty and goes on with the rest in proportion.
@@ -88,7 +88,16 @@ class Phase:
 
     def given(self, j: int, x: int) -> int:
         """Tokens of the queues before j among the first x."""
-        return x * self.sums[j] // self.sums[-1]
+        low, high, before = 0, len(self.sums) - 1, 0
+        while low < j < high:
+            middle = (low + high) // 2
+            whole = self.sums[high] - self.sums[low]
+            left = x * (self.sums[middle] - self.sums[low]) // whole if whole else 0
+            if j < middle:
+                high, x = middle, left
+            else:
+                low, before, x = middle, before + left, x - left
+        return before + (x if j >= high else 0)
 
 
 class Schedule:

@@ -146,7 +146,7 @@ def write_archives(
 
         def write():
             path = f"{root}/{uuid.uuid4().hex}.warc.zst"
-            with fs.open_output_stream(path) as out:
+            with fs.open_output_stream(path, compression=None) as out:
                 out.write(archive(held, date))
             return batch(path=[path], records=pa.array([len(held)], pa.int64()))
 
@@ -173,7 +173,7 @@ def read_archives(spark: SparkSession, archives: DataFrame, folder: str) -> Data
         fs, _ = FileSystem.from_uri(folder)
         for b in batches:
             for path, records in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                with fs.open_input_stream(path) as stream:
+                with fs.open_input_stream(path, compression=None) as stream:
                     data = stream.read()
                 rows = []
                 for fields, body in read_records(data):
