@@ -113,13 +113,35 @@ def test_medallion(spark, lake):
     bad = dicts(spark.read.parquet(f"{lake}/quarantine/drivers_corrupt"))
     assert len(bad) == 1 and "driver_number" in bad[0]["error_detail"] and bad[0]["gp"] == "Bahrain"
     (run,) = read_table(spark, lake, S.RUNS).collect()
-    assert run.session_key == 10014 and run.status == "SUCCESS" and run.total_rows_processed == 11
+    assert run.session_key == 10014 and run.status == "SUCCESS" and run.total_rows_processed == 9
 
     # A second run changes nothing but the history; all events of the season go in one job.
     run_medallion(spark, lake, 2025, None, "Race", with_gold=False)
     assert sorted(r.session_key for r in read_table(spark, lake, S.SESSIONS).collect()) == [9979, 10014]
     assert read_table(spark, lake, S.TELEMETRY).count() == 2 and read_table(spark, lake, S.DRIVERS).count() == 2
-    assert read_table(spark, lake, S.RUNS).count() == 3
+    runs = read_table(spark, lake, S.RUNS).where("pipeline_name like 'silver_all%'").collect()
+    # Each session logs its own rows.
+    assert {r.session_key: r.total_rows_processed for r in runs} == {10014: 9, 9979: 1}
+
+
+def test_failure_is_logged_under_the_session(spark, lake, monkeypatch):
+    monkeypatch.setattr("trackside.plans.medallion.align_telemetry", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        run_medallion(spark, lake, 2025, "Bahrain", "Race", with_gold=False)
+    (run,) = read_table(spark, lake, S.RUNS).where("status like 'FAILED%'").collect()
+    assert run.session_key == 10014 and run.total_rows_processed == 0
+
+
+def test_no_folder_no_fallback(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from trackside.session import shared_dir
+
+    bare = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://x")
+    )
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(bare)
 
 
 def test_one_plan_over_many_files(spark):

@@ -37,7 +37,7 @@ def test_expand_range(spark):
     assert laps[1] == [5, 6, 7] and laps[2] == list(range(5, 16)) and laps[3] == list(range(5, 11)) and laps[4] == [5]
     long = expand_range(spark.createDataFrame([(1, 3, 10_000)], "id long, a long, b long"), "a", "b", index="i", value="lap")
     assert [(r.i, r.lap) for r in long.orderBy("i").collect()] == [(i, i + 3) for i in range(9_998)]
-    assert laps[5] == [] and [r.i for r in rows if r.id == 1] == [0, 1, 2]
+    assert laps[5] == [None] and [r.i for r in rows if r.id == 1] == [0, 1, 2]
 
 
 def test_quality_report(spark):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,7 +33,9 @@ def parse_with_format(text: Column, fmt: str) -> Column:
 
 def int_or_zero(value: Column) -> Column:
     """Numeric coercion where anything unreadable becomes 0; fractions are truncated."""
-    return F.coalesce(value.cast("string").try_cast("double").try_cast("bigint"), F.lit(0).cast("bigint"))
+    text = value.cast("string")
+    # Whole numbers first: beyond 2**53 a double would change them.
+    return F.coalesce(text.try_cast("bigint"), text.try_cast("double").try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def null_if_nan(value: Column) -> Column:
@@ -85,14 +85,5 @@ def path_token(text: Column) -> Column:
     return F.translate(text, " ", "_")
 
 
-def failure_category(step: Column) -> list[Column]:
-    """One boolean column per failure category, by keyword."""
-    text = F.lower(F.coalesce(step, F.lit("")))
-    return [
-        reduce(lambda a, b: a | b, [text.contains(word) for word in words]).alias(f"{name}_failed")
-        for name, words in K.FAILURE_KEYWORDS.items()
-    ]
-
-
 def percent_text(value: Column, digits: int = 2) -> Column:
     return F.format_string(f"%.{digits}f%%", value * 100)

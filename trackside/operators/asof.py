@@ -31,7 +31,8 @@ def asof_join(
     Both sides are laid on one time line per key and a running "last right row" is read
     off at each left row: one shuffle and one sort instead of a join. Right rows travel as
     a struct, so that NULL fields inside a right row are kept. Among right rows of one
-    instant the greatest ``tie_break`` wins. NULL keys and times never match.
+    instant the greatest ``tie_break`` wins, by default all right columns in turn. NULL keys
+    and times never match.
 
     Keys with more than ``rows_per_chunk`` rows are cut along time (``hotkeys``); each chunk
     is started with the last right row of the chunks before it. An instant that alone fills
@@ -43,6 +44,7 @@ def asof_join(
     right_on = right_on or on
     if right_cols is None:
         right_cols = [c for c in right.columns if c not in (*by, right_on)]
+    tie_break = list(right_cols) if tie_break is None else tie_break
     renames = right_cols if isinstance(right_cols, dict) else {c: c for c in right_cols}
     clash = set(renames.values()) & set(left.columns)
     if clash:

@@ -56,7 +56,7 @@ def interval_aggregate(
     may be few: if a check of the size confirms it, their keys and buckets are broadcast to
     drop series rows nobody asks for before the shuffle.
     """
-    before, width = int(before_seconds * 1e6), int((before_seconds + after_seconds) * 1e6)
+    before, width = round(before_seconds * 1e6), round((before_seconds + after_seconds) * 1e6)
     if width <= 0:
         raise ValueError("the window must have a length")
     parts = _parts(measures)

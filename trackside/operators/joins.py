@@ -16,7 +16,8 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str)
     """Equi-join in which NULL keys match each other; keeps the left key columns."""
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
     match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
-    return left.join(renamed, match, how).drop(*[f"_r_{k}" for k in keys])
+    joined = left.join(renamed, match, how)
+    return joined if how in ("left_anti", "left_semi") else joined.drop(*[f"_r_{k}" for k in keys])
 
 
 # Rows of a checked side that may be broadcast; the callers' rows are a few dozen bytes.

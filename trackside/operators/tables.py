@@ -19,8 +19,8 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 
 def upsert(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Existing rows whose key is not in ``new``, plus all of ``new``."""
-    return union_all([existing.join(new.select(*keys).distinct(), keys, "left_anti"), new])
+    """Existing rows whose key is not in ``new``, plus all of ``new``; NULL keys match NULL keys."""
+    return union_all([null_safe_join(existing, new.select(*keys).distinct(), keys, "left_anti"), new])
 
 
 def first_rows(df: DataFrame, keys: list[str], order: list[str], *, descending: bool = False) -> DataFrame:
@@ -73,7 +73,7 @@ def expand_range(
 
     A missing end becomes start + ``open_length``; an end before the start becomes
     start + ``repair_length``. The end is repaired first: a descending sequence would
-    otherwise count down. Long ranges are expanded block by block, so that no row has to hold
+    otherwise count down. A row without a start stays, with NULL index and value. Long ranges are expanded block by block, so that no row has to hold
     its whole range in memory.
     """
     first = F.col(start).cast("bigint")
@@ -81,10 +81,9 @@ def expand_range(
     last = F.when(last < first, first + repair_length).otherwise(last)
     block_end = F.least(F.col("_block") + (RANGE_BLOCK - 1), F.col("_last"))
     return (
-        df.where(first.isNotNull())
-        .withColumn("_last", last)
-        .withColumn("_block", F.explode(F.sequence(first, F.col("_last"), F.lit(RANGE_BLOCK).cast("bigint"))))
-        .withColumn(value, F.explode(F.sequence(F.col("_block"), block_end)))
+        df.withColumn("_last", last)
+        .withColumn("_block", F.explode_outer(F.sequence(first, F.col("_last"), F.lit(RANGE_BLOCK).cast("bigint"))))
+        .withColumn(value, F.explode_outer(F.sequence(F.col("_block"), block_end)))
         .withColumn(index, F.col(value) - first)
         .drop("_last", "_block")
     )

@@ -87,10 +87,12 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def predict_delta(model: PipelineModel, df: DataFrame, label: str = K.LAP_LABEL) -> DataFrame:
-    """Predictions and actual minus predicted."""
-    return (
-        model.transform(df)
-        .drop("_features")
-        .withColumn("delta_performance_seconds", F.col(label) - F.col(f"predicted_{label}"))
-    )
+def predict_delta(
+    model: PipelineModel, df: DataFrame, features: list[str] = K.LAP_FEATURES, label: str = K.LAP_LABEL
+) -> DataFrame:
+    """Predictions and actual minus predicted; both NULL where a feature is unknown."""
+    known = F.expr(" and ".join(f"`{c}` is not null" for c in features))
+    predicted = F.col(f"predicted_{label}")
+    applied = model.transform(df.where(known)).drop("_features")
+    unknown = df.where(~known).withColumn(f"predicted_{label}", F.lit(None).cast("double"))
+    return applied.unionByName(unknown).withColumn("delta_performance_seconds", F.col(label) - predicted)

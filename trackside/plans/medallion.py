@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,6 +68,7 @@ class SilverRun:
         self.spark, self.root, self.session, self.gp = spark, root, session.replace(" ", "_"), gp
         self.focus, self.lenient = list(focus), lenient
         self.counts = {"read": 0, "valid": 0, "quarantined": 0}
+        self._written: list[DataFrame] = []
         self.year = self._season(year)
 
     def _batch(self, kind: str) -> DataFrame:
@@ -109,6 +111,7 @@ class SilverRun:
                     rows = latest(rows, list(spec.keys), ["_gp"])
                 store(self.spark, self.root, spec, rows.drop(*_KEYS))
                 self._finish(spec, checked)
+                self._count(spec, checked.valid)
         self._telemetry()
         return self.counts
 
@@ -119,6 +122,7 @@ class SilverRun:
         followed = F.col("driver_number").isin(self.focus)
         store(self.spark, self.root, S.LOCATION, location.valid.where(followed).drop(*_KEYS))
         self._finish(S.LOCATION, location)
+        self._count(S.LOCATION, location.valid)
         stored = read_table(self.spark, self.root, S.LOCATION)
         batch = self._batch("location").select(F.col("session_key").try_cast("bigint")).distinct()
         positions = stored.join(batch, "session_key", "left_semi")
@@ -131,6 +135,28 @@ class SilverRun:
         aligned = align_telemetry(positions, car.valid.where(followed), chunks)
         store(self.spark, self.root, S.TELEMETRY, aligned)
         self._finish(S.CAR_DATA, car)
+        self._count(S.TELEMETRY, aligned)
+
+    def sessions(self) -> DataFrame:
+        """(session_key, _gp) of the batch."""
+        keys = self._batch("sessions").select(F.col("session_key").try_cast("bigint").alias("session_key"), "_gp")
+        return keys.where(F.col("session_key").isNotNull()).distinct()
+
+    def _count(self, spec: S.TableSpec, valid: DataFrame) -> None:
+        """Rows written of each session: read off the stored partitions; tables without a session key (drivers, a
+        few rows per event) by the event they came with."""
+        sessions, number = self.sessions(), F.count(F.lit(1)).alias("total_rows_processed")
+        if "session_key" in spec.schema.fieldNames():
+            stored = read_table(self.spark, self.root, spec)
+            rows = stored.groupBy("session_key").agg(number).join(sessions.select("session_key").distinct(), "session_key")
+        else:
+            rows = valid.groupBy("_gp").agg(number).join(sessions, "_gp").drop("_gp")
+        self._written.append(rows.select("session_key", "total_rows_processed"))
+
+    def written(self) -> DataFrame:
+        """(session_key, total_rows_processed): rows per session and table; 0 for a session without any."""
+        none = self.sessions().select("session_key", F.lit(0).cast("bigint").alias("total_rows_processed"))
+        return reduce(DataFrame.unionByName, self._written, none)
 
 
 def run_gold(spark: SparkSession, root: str, lap_times: DataFrame | None = None, **forest) -> int:
@@ -161,17 +187,17 @@ def run_medallion(
     **options,
 ) -> dict[str, int]:
     """The whole batch, with its outcome appended to the run history either way."""
-    started = time.time()
+    started, run = time.time(), None
     name = f"silver_{(gp or 'all').replace(' ', '_')}_{session.replace(' ', '_')}"
     try:
         run = SilverRun(spark, root, year, gp, session, **options)
         counts = run.run()
         if with_gold:
             run_gold(spark, root, lap_times, **(forest or {}))
-        keys = run._batch("sessions").select(F.col("session_key").try_cast("bigint").alias("session_key"))
-        record = run_record(name, None, time.time() - started, counts["valid"])
-        log_runs(spark, root, record, keys.where(F.col("session_key").isNotNull()))
+        log_runs(spark, root, run_record(name, None, time.time() - started, 0), run.written())
         return counts
     except Exception as error:
-        log_runs(spark, root, run_record(name, None, time.time() - started, 0, error))
+        # Under the sessions' own keys, if they were known by then.
+        keys = None if run is None else run.sessions().select("session_key")
+        log_runs(spark, root, run_record(name, None, time.time() - started, 0, error), keys)
         raise

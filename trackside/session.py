@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,19 +22,14 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach.
+    """The folder every executor can reach: ``spark.checkpoint.dir``, or what the context was given.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where nothing is named
-    (a test on one machine) is a temporary folder made and registered.
+    There is no fallback: a folder of one machine would hold only part of a cluster's rows.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="trackside-"))
-    return spark.sparkContext.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -50,8 +52,8 @@ def replace_partitions(df: DataFrame, path: str, keys: list[str]) -> None:
 
 def publish(spark: SparkSession, df: DataFrame, path: str) -> None:
     """Replace a whole table that ``df`` may itself be reading: write aside, then swap."""
-    staged = f"{path.rstrip('/')}.staged"
-    df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(staged)
+    staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"  # two writers never share it
+    df.write.parquet(staged)
     files.swap_in(spark, staged, path)
 
 

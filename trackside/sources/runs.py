@@ -27,10 +27,18 @@ def run_record(name: str, session_key: int | None, seconds: float, rows: int, er
     }
 
 
-def log_runs(spark: SparkSession, root: str, record: dict, session_keys: DataFrame | None = None) -> None:
-    """Append the record, once per session of ``session_keys`` when given."""
+def log_runs(spark: SparkSession, root: str, record: dict, sessions: DataFrame | None = None) -> None:
+    """Append the record, once per session of ``sessions`` when given.
+
+    A column ``total_rows_processed`` there holds the rows of each session, which are added up.
+    """
     row = spark.createDataFrame([tuple(record[f] for f in RUNS.schema.fieldNames())], RUNS.schema)
-    if session_keys is not None:
-        values = {f: F.lit(v) for f, v in record.items() if f != "session_key"}
-        row = session_keys.select("session_key").distinct().withColumns(values)
-    row.coalesce(1).write.mode("append").partitionBy("session_key").parquet(table_path(root, RUNS.name))
+    if sessions is not None:
+        total = F.lit(record["total_rows_processed"]).cast("bigint").alias("total_rows_processed")
+        if "total_rows_processed" in sessions.columns:
+            total = F.sum("total_rows_processed").alias("total_rows_processed")
+        else:
+            total = F.first(total).alias("total_rows_processed")
+        values = {f: F.lit(v) for f, v in record.items() if f not in ("session_key", "total_rows_processed")}
+        row = sessions.groupBy("session_key").agg(total).withColumns(values)
+    row.repartition("session_key").write.mode("append").partitionBy("session_key").parquet(table_path(root, RUNS.name))
