@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trackside.functions.scalars import micros
 from trackside.operators.hotkeys import ROWS_PER_CHUNK
-from trackside.operators.joins import all_not_null, within_rows
+from trackside.operators.joins import all_not_null
 
 
 @dataclass(frozen=True)
@@ -53,8 +53,8 @@ def interval_aggregate(
     method one level up, over one row per bucket.
 
     ``how="inner"`` drops events without any series row. ``few_events`` says that the events
-    may be few: if a check of the size confirms it, their keys and buckets are broadcast to
-    drop series rows nobody asks for before the shuffle.
+    are few: series rows in buckets that nobody asks for are dropped first, by a semi join
+    for which Spark may broadcast the keys and buckets asked for.
     """
     before, width = round(before_seconds * 1e6), round((before_seconds + after_seconds) * 1e6)
     if width <= 0:
@@ -77,9 +77,7 @@ def interval_aggregate(
     )
     if few_events:
         reach = F.explode(F.sequence("_from", F.col("_from") + slices)).alias("_bucket")
-        asked = windows.select(*by, reach).distinct()
-        if within_rows(asked):
-            timed = timed.join(F.broadcast(asked), [*by, "_bucket"], "left_semi")
+        timed = timed.join(windows.select(*by, reach).distinct(), [*by, "_bucket"], "left_semi")
     instants = timed.groupBy(*by, "_bucket", "_at").agg(*[e.alias(n) for n, (_, e) in parts.items()])
 
     pieces = [

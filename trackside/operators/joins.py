@@ -19,15 +19,3 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str)
     joined = left.join(renamed, match, how)
     return joined if how in ("left_anti", "left_semi") else joined.drop(*[f"_r_{k}" for k in keys])
 
-
-# Rows of a checked side that may be broadcast; the callers' rows are a few dozen bytes.
-BROADCAST_ROWS = 200_000
-
-
-def within_rows(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; reads at most one row beyond the bound.
-
-    The check before a broadcast. A larger side is left to Spark's shuffled joins with
-    adaptive skew handling.
-    """
-    return df.limit(max_rows + 1).count() <= max_rows

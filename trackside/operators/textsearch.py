@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackside.constants import MIN_RELEVANCE
-from trackside.operators.joins import within_rows
 
 # A token is two or more word characters.
 WORDS = r"(?U)\b\w\w+\b"
@@ -50,6 +49,7 @@ class Corpus:
         text: str,
         by: list[str] | None = None,
         copies: str | None = None,
+        carry: list[str] | None = None,
         stop_words=None,
         token_pattern: str = WORDS,
     ):
@@ -57,21 +57,18 @@ class Corpus:
         self.stop_words = english_stop_words() if stop_words is None else tuple(stop_words)
         self.pattern = token_pattern
         count = F.col(copies) if copies else F.lit(1)
-        doc_keys = [*self.by, id]
+        self.carry = [c for c in carry or [] if c not in (*self.by, id)]
+        doc_keys = [*self.by, id, *self.carry]
         # Texts move once, to a partition per document hash: large files are spread, counting
-        # terms and later the length of a document need no further exchange of their own.
-        spread = docs.withColumn("_copies", count).select(*doc_keys, "_copies", text).repartition(*doc_keys)
-        words = _words(text, token_pattern)
+        # terms and later the length of a document need no further exchange of their own. Every
+        # reader of the postings asks for the same columns, so that they share that exchange.
+        spread = docs.withColumn("_copies", count).select(*doc_keys, "_copies", text).repartition(*self.by, id)
         self.postings = (
-            _explode_words(spread, doc_keys, words, self.stop_words)
-            .groupBy(*doc_keys, "term")
+            _explode_words(spread, [*doc_keys, "_copies"], _words(text, token_pattern), self.stop_words)
+            .groupBy(*doc_keys, "_copies", "term")
             .agg(F.count(F.lit(1)).alias("tf"))
         )
-        frequency = (
-            _explode_words(spread, [*self.by, "_copies"], F.array_distinct(words), self.stop_words)
-            .groupBy(*self.by, "term")
-            .agg(F.sum("_copies").alias("df"))
-        )
+        frequency = self.postings.groupBy(*self.by, "term").agg(F.sum("_copies").alias("df"))
         size = _corpus_size(docs, self.by, count)
         if self.by:
             counted = frequency.join(size, self.by)
@@ -93,21 +90,20 @@ class Corpus:
         skewed partition, which adaptive execution splits.
         """
         joined = self.postings.join(self.idf, [*self.by, "term"])
-        weighted = joined.select(*self.by, self.id, "term", (F.col("tf") * F.col("idf")).alias("weight"))
+        keys = [*self.by, self.id, *self.carry]
+        weighted = joined.select(*keys, "term", (F.col("tf") * F.col("idf")).alias("weight"))
         return self._unit(weighted, [*self.by, self.id])
 
-    def question_weights(self, questions: DataFrame, q_id: str, q_text: str) -> tuple[DataFrame, bool]:
-        """(by, q_id, term, q_weight) over known terms, and whether it is small enough to broadcast."""
+    def question_weights(self, questions: DataFrame, q_id: str, q_text: str) -> DataFrame:
+        """(by, q_id, term, q_weight) over known terms."""
         terms = (
             _explode_words(questions, [*self.by, q_id], _words(q_text, self.pattern), self.stop_words)
             .groupBy(*self.by, q_id, "term")
             .agg(F.count(F.lit(1)).alias("tf"))
         )
-        small = within_rows(terms)
-        known = self.idf.join(F.broadcast(terms) if small else terms, [*self.by, "term"])
+        known = self.idf.join(terms, [*self.by, "term"])
         weighted = known.select(*self.by, q_id, "term", (F.col("tf") * F.col("idf")).alias("weight"))
-        unit = self._unit(weighted, [*self.by, q_id]).withColumnRenamed("weight", "q_weight")
-        return unit, small
+        return self._unit(weighted, [*self.by, q_id]).withColumnRenamed("weight", "q_weight")
 
 
 def tfidf(docs: DataFrame, **corpus) -> DataFrame:
@@ -137,20 +133,17 @@ def tfidf_match(
     scores go to the first document in ``order``; a question that shares no term with any
     document gets the first document and score 0; a group without documents gives NULL.
 
-    Documents are already partitioned by document after normalisation. With few question
-    terms these are broadcast, scores are added up in place, and only the best candidate
-    per question and task is shuffled.
+    Documents are already partitioned by document after normalisation and carry the columns of ``order``.
+    Where Spark finds the question terms small enough to broadcast, scores are added up in place, and only the
+    best candidate per question and task is shuffled.
     """
     by = list(by or [])
-    stats = Corpus(docs, id=id, text=text, by=by, **corpus)
-    asked, small = stats.question_weights(questions, q_id, q_text)
-    shared = stats.weights().join(F.broadcast(asked) if small else asked, [*by, "term"])
-    scored = shared.groupBy(*by, id, q_id).agg(F.sum(F.col("weight") * F.col("q_weight")).alias("score"))
-    scored = scored.withColumn("score", F.round("score", SCORE_DIGITS))
     ranks = [c for c in order if c != id]
-    if ranks:
-        places = docs.select(*by, id, *ranks)
-        scored = scored.join(places, [*by, id])
+    stats = Corpus(docs, id=id, text=text, by=by, carry=ranks, **corpus)
+    asked = stats.question_weights(questions, q_id, q_text)
+    shared = stats.weights().join(asked, [*by, "term"])
+    scored = shared.groupBy(*by, id, *stats.carry, q_id).agg(F.sum(F.col("weight") * F.col("q_weight")).alias("score"))
+    scored = scored.withColumn("score", F.round("score", SCORE_DIGITS))
     place = [part for c in [*ranks, id] for part in (F.col(c).isNull(), F.col(c))]
     best = scored.groupBy(*by, q_id).agg(
         F.min_by(F.struct(id, "score"), F.struct(-F.col("score"), *place)).alias("_best")
