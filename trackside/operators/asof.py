@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackside.functions.scalars import micros
-from trackside.operators.hotkeys import CHUNK, CUTS, ROWS_PER_CHUNK, ChunkPlan, plan_time_chunks, tag_chunks, tie_spread
 from trackside.operators.joins import all_not_null
 
-_TIME, _SIDE, _LEFT, _RIGHT, _SUB = "_time", "_side", "_left", "_right", "_sub"
-_POSITION = "_position"
+BUCKET_SECONDS = 3600.0
+_TIME, _SIDE, _LEFT, _RIGHT, _BUCKET = "_time", "_side", "_left", "_right", "_bucket"
 
 
 def asof_join(
@@ -23,21 +22,20 @@ def asof_join(
     right_cols: list[str] | dict[str, str] | None = None,
     tie_break: list[str] | None = None,
     how: str = "inner",
-    rows_per_chunk: int = ROWS_PER_CHUNK,
-    chunks: ChunkPlan | None = None,
+    bucket_seconds: float = BUCKET_SECONDS,
 ) -> DataFrame:
     """Backward, inclusive as-of join.
 
     Both sides are laid on one time line per key and a running "last right row" is read
-    off at each left row: one shuffle and one sort instead of a join. Right rows travel as
+    off at each left row, instead of a join. Right rows travel as
     a struct, so that NULL fields inside a right row are kept. Among right rows of one
     instant the greatest ``tie_break`` wins, by default all right columns in turn. NULL keys
     and times never match.
 
-    Keys with more than ``rows_per_chunk`` rows are cut along time (``hotkeys``); each chunk
-    is started with the last right row of the chunks before it. An instant that alone fills
-    several chunks is spread by hash: right rows first, left rows after them. ``chunks``
-    takes a plan that was made before.
+    A task has one key's rows of ``bucket_seconds``, so a key of any size is spread over tasks. The last right row
+    of each bucket is carried forward over a table of one row per key and bucket. The plan is the same for
+    any amount of data; dense series want shorter buckets, sparse ones longer. Rows of one key at one
+    instant stay together.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"how must be 'inner' or 'left', not {how!r}")
@@ -65,14 +63,21 @@ def asof_join(
     )
     line = left_side.unionByName(right_side, allowMissingColumns=True)
 
-    if chunks is None:
-        chunks = plan_time_chunks([(left_side, _TIME), (right_side, _TIME)], by, rows_per_chunk)
-    chunk_keys = list(by)
-    if chunks.cuts is not None:
-        chunk_keys += [CHUNK, _SUB]
-        line = _in_chunks(line, by, chunks.cuts, ties)
+    bucket = F.floor(micros(F.col(_TIME)) / F.lit(round(bucket_seconds * 1e6))).alias(_BUCKET)
+    keys = [*by, _BUCKET]
+    # The newest right row of each bucket, and of all buckets before it that of those with left rows.
+    newest = right_side.groupBy(*by, bucket).agg(F.max_by(_RIGHT, F.struct(_TIME, *ties)).alias(_RIGHT))
+    asked = left_side.select(*by, bucket).distinct().withColumn("_asked", F.lit(True))
+    earlier = Window.partitionBy(*by).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        newest.join(asked, keys, "full")
+        .withColumn(_RIGHT, F.last(_RIGHT, ignorenulls=True).over(earlier))
+        .where(F.col("_asked") & F.col(_RIGHT).isNotNull())
+        .select(*keys, F.lit(0).alias(_SIDE), _RIGHT)
+    )
+    line = line.withColumn(_BUCKET, bucket).unionByName(carried, allowMissingColumns=True)
     running = (
-        Window.partitionBy(*chunk_keys)
+        Window.partitionBy(*keys)
         .orderBy(F.asc_nulls_first(_TIME), _SIDE, *[F.asc_nulls_first(t) for t in ties])
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
@@ -84,28 +89,3 @@ def asof_join(
     unmatched = left.where(~usable_left)
     return matched.select(*own, *fields).unionByName(unmatched, allowMissingColumns=True)
 
-
-def _in_chunks(line: DataFrame, by: list[str], cuts: DataFrame, ties: list[str]) -> DataFrame:
-    """The time line with chunk numbers, and for each chunk of a hot key a first row that
-    carries the last right row of the chunks before it."""
-    position = F.col(_POSITION)
-    spread = tie_spread(position)
-
-    def chunked(how: str) -> DataFrame:
-        tagged = tag_chunks(line.withColumn(_POSITION, micros(F.col(_TIME))), by, cuts, position, how)
-        slot = F.pmod(F.xxhash64(_LEFT, _RIGHT), spread) + 1
-        sub = F.when(spread < 2, F.lit(0)).otherwise(slot + F.when(F.col(_SIDE) == 1, spread).otherwise(0))
-        return tagged.withColumn(_SUB, sub.cast("int")).drop(CUTS, _POSITION)
-
-    chunk_keys = [*by, CHUNK, _SUB]
-    newest = F.when(F.col(_SIDE) == 0, F.struct(_TIME, *ties))
-    earlier = Window.partitionBy(*by).orderBy(CHUNK, _SUB).rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        chunked("inner")
-        .groupBy(*chunk_keys)
-        .agg(F.max_by(_RIGHT, newest).alias(_RIGHT), F.max(newest).alias("_newest"))
-        .withColumn(_RIGHT, F.max_by(_RIGHT, "_newest").over(earlier))
-        .where(F.col(_RIGHT).isNotNull())
-        .select(*chunk_keys, F.lit(0).alias(_SIDE), _RIGHT)
-    )
-    return chunked("left").unionByName(carried, allowMissingColumns=True)

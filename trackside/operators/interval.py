@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackside.functions.scalars import micros
-from trackside.operators.hotkeys import ROWS_PER_CHUNK
 from trackside.operators.joins import all_not_null
 
 
@@ -22,9 +21,6 @@ class Measure:
     column: str | None = None
 
 
-# Window lengths are divided by one of these where a single bucket would be too large.
-SLICES = (10, 100, 1000, 10_000)
-
 
 def interval_aggregate(
     events: DataFrame,
@@ -38,7 +34,7 @@ def interval_aggregate(
     before_seconds: float = 0.0,
     how: str = "left",
     few_events: bool = False,
-    rows_per_bucket: int = ROWS_PER_CHUNK,
+    slices: int = 1,
 ) -> DataFrame:
     """Join each event with measures over series rows of its key in ``[t - before, t + after]``.
 
@@ -48,9 +44,9 @@ def interval_aggregate(
     rows of one instant are combined before the shuffle, events of one instant are computed
     once. With ``by=[]`` all rows belong together and the time buckets distribute the work.
 
-    Where a bucket of some key holds more than ``rows_per_bucket`` rows, buckets become a
-    fraction of the window; the whole buckets inside a window are then summed up by the same
-    method one level up, over one row per bucket.
+    For dense data, series or events, ``slices`` cuts a window into so many buckets (its length in microseconds
+    must be a multiple); the whole buckets inside a window are then summed up by the same method one level
+    up, over one row per bucket and once for all windows that begin in the same bucket.
 
     ``how="inner"`` drops events without any series row. ``few_events`` says that the events
     are few: series rows in buckets that nobody asks for are dropped first, by a semi join
@@ -64,7 +60,8 @@ def interval_aggregate(
 
     at = micros(F.col(series_ts))
     timed = series.where(all_not_null([*by, series_ts])).withColumn("_at", at)
-    slices = _slices(timed, by, width, rows_per_bucket)
+    if slices < 1 or width % slices:
+        raise ValueError("slices must divide the window's length in microseconds")
     grain = width // slices
     timed = timed.withColumn("_bucket", F.floor(F.col("_at") / F.lit(grain)))
 
@@ -100,18 +97,20 @@ def interval_aggregate(
             .agg(*[fn(name).alias(name) for name, fn in merge.items()])
             .withColumn("_bucket", block(F.col("_at")))
         )
-        pieces.append(
-            _edges(
-                buckets,
-                windows,
-                by,
-                merge,
-                starts={"_at": first, "_bucket": block(first)},
-                ends={"_at": last, "_bucket": block(last)},
-                # A run that starts with its block is that block: its tail says everything.
-                needs_end=first % inner != 0,
-            )
+        # Depends on the bucket a window begins in alone, so dense events cost no more than one window a bucket.
+        begun = windows.select(*by, F.col("_from").alias("_opened"), "_from").distinct()
+        whole = _edges(
+            buckets,
+            begun,
+            by,
+            merge,
+            starts={"_at": first, "_bucket": block(first)},
+            ends={"_at": last, "_bucket": block(last)},
+            # A run that starts with its block is that block: its tail says everything.
+            needs_end=first % inner != 0,
         )
+        whole = whole.groupBy(*by, F.col("_opened").alias("_from")).agg(*[fn(name).alias(name) for name, fn in merge.items()])
+        pieces.append(windows.join(whole, [*by, "_from"]).select(*by, "_opened", *merge))
     summed = (
         reduce(lambda a, b: a.unionByName(b), pieces)
         .groupBy(*by, "_opened")
@@ -151,19 +150,6 @@ def _output(m: Measure) -> Column:
     return value.alias(m.name)
 
 
-def _slices(timed: DataFrame, by: list[str], width: int, rows_per_bucket: int) -> int:
-    """Into how many buckets to cut a window, from the largest (key, window-wide bucket)."""
-    if timed.count() <= rows_per_bucket:
-        return 1
-    bucket = F.floor(F.col("_at") / F.lit(width)).alias("_bucket")
-    largest = timed.groupBy(*by, bucket).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).head().n
-    fitting = [s for s in SLICES if width % s == 0]
-    if not largest or largest <= rows_per_bucket or not fitting:
-        return 1
-    enough = [s for s in fitting if largest / s <= rows_per_bucket]
-    return enough[0] if enough else fitting[-1]
-
-
 def _edges(
     rows: DataFrame,
     windows: DataFrame,

@@ -4,97 +4,67 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from trackside.operators.hotkeys import (
-    CHUNK,
-    CUTS,
-    ROWS_PER_CHUNK,
-    ChunkPlan,
-    order_number,
-    plan_chunks,
-    tag_chunks,
-    tie_spread,
-)
+from trackside.functions.scalars import micros
 from trackside.operators.joins import null_safe_join
 
-_SUB = "_sub"
 
+def order_number(df: DataFrame, column: str) -> Column:
+    """The order column as a number; times in microseconds, dates in days."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return micros(F.col(column))
+    if isinstance(kind, T.DateType):
+        return F.unix_date(F.col(column)).cast("bigint")
+    if isinstance(kind, T.NumericType):
+        return F.col(column)
+    raise ValueError(f"{column} is no number or time, it can not be cut into buckets")
 
-def rank_rows(
-    df: DataFrame,
-    *,
-    by: list[str],
-    order: list[str],
-    rows_per_chunk: int = ROWS_PER_CHUNK,
-    chunks: ChunkPlan | None = None,
-) -> DataFrame:
+
+def rank_rows(df: DataFrame, *, by: list[str], order: list[str], widths: list[float] | None = None) -> DataFrame:
     """Add ``rn`` (1-based position in its key) and ``n`` (rows of the key).
 
-    Hot keys are numbered chunk by chunk; the number of rows in earlier chunks is added
-    back from a table of chunk sizes, which the chunk limits keep small. A single position
-    that fills several chunks is cut along the second order column. ``chunks`` takes a plan
-    that was made before.
+    Without ``widths`` a key is numbered by one task. With them, keys of any size are spread over tasks: the first
+    order column is cut into buckets as wide as the first of ``widths`` (microseconds for times), each bucket by the second
+    order column and width, and so on. So rows tied in the first column are spread along the second, if both have a
+    width. Each level numbers inside its pieces and adds the rows of the pieces before, from a table of one row per piece.
     """
-    position = order_number(df, order[0])
-    ordered = [F.asc_nulls_last(c) for c in order]
-    cuts = None
-    if position is not None:
-        # A NULL position sorts last: it belongs to the chunk after every cut.
-        position = F.coalesce(position.cast("double"), F.lit(float("inf")))
-        cuts = (chunks or plan_chunks(df, by, position, rows_per_chunk)).cuts
     key = Window.partitionBy(*by)
-    if cuts is None:
+    ordered = [F.asc_nulls_last(c) for c in order]
+    if not widths:
         return df.withColumns(
             {"rn": F.row_number().over(key.orderBy(*ordered)).cast("bigint"), "n": F.count(F.lit(1)).over(key)}
         )
-
-    ties = _tie_cuts(df, by, order, cuts, position, rows_per_chunk)
-
-    def chunked(rows: DataFrame, how: str) -> DataFrame:
-        tagged = tag_chunks(rows, by, cuts, position, how).withColumnRenamed(CUTS, "_hot")
-        if ties is None:
-            return tagged.withColumn(_SUB, F.lit(0))
-        # Rows of a split instant come after the earlier rows of their chunk.
-        split = tag_chunks(tagged.withColumnRenamed(CHUNK, "_outer"), [*by, order[0]], ties, order_number(df, order[1]))
-        sub = F.when(F.col(CUTS).isNull(), F.lit(0)).otherwise(F.col(CHUNK) + 1)
-        return split.withColumn(_SUB, sub).drop(CUTS, CHUNK).withColumnRenamed("_outer", CHUNK)
-
-    before = key.orderBy(CHUNK, _SUB).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = (
-        chunked(df.select(*dict.fromkeys([*by, *order])), "inner")
-        .groupBy(*by, CHUNK, _SUB)
-        .agg(F.count(F.lit(1)).alias("_size"))
-        .select(
-            *by,
-            CHUNK,
-            _SUB,
-            F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"),
-            F.sum("_size").over(key).alias("n"),
+    if len(widths) > len(order):
+        raise ValueError("more widths than order columns")
+    # Below the first level a piece is one value of the columns before: only those, not wider buckets, keep the order.
+    levels: list[str] = []
+    for i, width in enumerate(widths):
+        if i:
+            levels.append(f"_exact{i - 1}")
+            df = df.withColumn(levels[-1], order_number(df, order[i - 1]))
+        levels.append(f"_bucket{i}")
+        df = df.withColumn(levels[-1], F.floor(order_number(df, order[i]) / F.lit(width)))
+    piece = Window.partitionBy(*by, *levels)
+    numbered = df.withColumn("rn", F.row_number().over(piece.orderBy(*ordered)).cast("bigint"))
+    sizes = df.groupBy(*by, *levels).agg(F.count(F.lit(1)).alias("_size"))
+    # From the innermost level outwards: rows before a piece within the next wider one, then the wider ones.
+    before = F.lit(0).cast("bigint")
+    placed = numbered
+    for depth in range(len(levels), 0, -1):
+        outer, level = levels[: depth - 1], levels[depth - 1]
+        step = f"_before{depth}"
+        window = Window.partitionBy(*by, *outer).orderBy(F.asc_nulls_last(level))
+        table = sizes.groupBy(*by, *levels[:depth]).agg(F.sum("_size").alias("_size")).withColumn(
+            step, F.coalesce(F.sum("_size").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         )
-    )
-    piece = Window.partitionBy(*by, CHUNK, _SUB)
-    numbered = chunked(df, "left").withColumn("rn", F.row_number().over(piece.orderBy(*ordered)).cast("bigint"))
-    is_hot = F.col("_hot").isNotNull()
-    placed = null_safe_join(numbered, F.broadcast(sizes), [*by, CHUNK, _SUB], "left")
-    counted = F.count(F.lit(1)).over(piece)
-    return placed.withColumns(
-        {
-            "rn": F.col("rn") + F.coalesce("_before", F.lit(0)),
-            "n": F.when(is_hot, F.col("n")).otherwise(counted),
-        }
-    ).drop("_before", "_hot", CHUNK, _SUB)
-
-
-def _tie_cuts(
-    df: DataFrame, by: list[str], order: list[str], cuts: DataFrame, position: Column, rows_per_chunk: int
-) -> DataFrame | None:
-    """Cuts along the second order column for single positions that fill several chunks."""
-    second = order_number(df, order[1]) if len(order) > 1 else None
-    if second is None:
-        return None
-    rows = tag_chunks(df.select(*dict.fromkeys([*by, *order[:2]])), by, cuts, position, "inner")
-    tied = rows.where(tie_spread(position) > 1).drop(CUTS, CHUNK)
-    return plan_chunks(tied, [*by, order[0]], second, rows_per_chunk).cuts
+        placed = null_safe_join(placed, table.drop("_size"), [*by, *levels[:depth]], "inner")
+        before = before + F.col(step)
+    totals = sizes.groupBy(*by).agg(F.sum("_size").alias("n"))
+    placed = null_safe_join(placed, totals, by, "inner") if by else placed.withColumn("n", totals.scalar())
+    dropped = [*levels, *[f"_before{d}" for d in range(1, len(levels) + 1)]]
+    return placed.withColumn("rn", F.col("rn") + before).drop(*dropped)
 
 
 def downsample(
@@ -106,16 +76,15 @@ def downsample(
     rounding: str = "half_even",
     cap: int | None = None,
     size: str | None = None,
-    rows_per_chunk: int = ROWS_PER_CHUNK,
-    chunks: ChunkPlan | None = None,
+    widths: list[float] | None = None,
 ) -> DataFrame:
     """Keep every step-th row of each key, about ``target`` rows; adds ``rn``.
 
     ``half_even`` rounds the step (1 up to ``target`` rows), ``floor`` cuts it off. ``cap``
     bounds the rows kept per key, in order. ``size`` names a column to take the key's row
-    count from instead of counting the rows given.
+    count from instead of counting the rows given. ``widths``: see :func:`rank_rows`.
     """
-    ranked = rank_rows(df, by=by, order=order, rows_per_chunk=rows_per_chunk, chunks=chunks)
+    ranked = rank_rows(df, by=by, order=order, widths=widths)
     if size is not None:
         ranked = ranked.withColumn("n", F.col(size))
     ratio = F.col("n") / F.lit(float(target))

@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 
 from trackside import specs as S
 from trackside.constants import FOCUS_DRIVERS, SEASON_FALLBACK
-from trackside.functions.scalars import clean_gear, parse_iso
+from trackside.functions.scalars import clean_gear
 from trackside.operators.asof import asof_join
-from trackside.operators.hotkeys import ChunkPlan, plan_time_chunks
 from trackside.operators.tables import dedup_first, latest
 from trackside.operators.validate import split_valid
 from trackside.plans import gold
@@ -36,7 +35,7 @@ PLAIN = [
 _KEYS = [f"_{k}" for k in bronze.PARTITION]
 
 
-def align_telemetry(location: DataFrame, car_data: DataFrame, chunks: ChunkPlan | None = None) -> DataFrame:
+def align_telemetry(location: DataFrame, car_data: DataFrame) -> DataFrame:
     """Each position with the car data in force; gears outside the plausible range become 0."""
     measured = ["speed", "rpm", "n_gear", "throttle", "brake", "drs"]
     key = ["session_key", "driver_number"]
@@ -47,7 +46,6 @@ def align_telemetry(location: DataFrame, car_data: DataFrame, chunks: ChunkPlan
         on="date",
         right_cols=measured,
         tie_break=measured,
-        chunks=chunks,
     )
     return joined.withColumn("n_gear", clean_gear(F.col("n_gear")))
 
@@ -126,13 +124,7 @@ class SilverRun:
         stored = read_table(self.spark, self.root, S.LOCATION)
         batch = self._batch("location").select(F.col("session_key").try_cast("bigint")).distinct()
         positions = stored.join(batch, "session_key", "left_semi")
-        # Looked at in the raw batch, so that the check does not validate everything once more.
-        key = ["session_key", "driver_number"]
-        raw = self._batch("car_data").select(
-            *[F.col(c).try_cast("bigint").alias(c) for c in key], parse_iso(F.col("date").cast("string")).alias("date")
-        )
-        chunks = plan_time_chunks([(positions, "date"), (raw, "date")], key)
-        aligned = align_telemetry(positions, car.valid.where(followed), chunks)
+        aligned = align_telemetry(positions, car.valid.where(followed))
         store(self.spark, self.root, S.TELEMETRY, aligned)
         self._finish(S.CAR_DATA, car)
         self._count(S.TELEMETRY, aligned)

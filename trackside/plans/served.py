@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from trackside import constants as K
 from trackside.functions.scalars import iso_micros, parse_with_format, pct_true
 from trackside.operators.asof import asof_join
-from trackside.operators.hotkeys import plan_time_chunks
 from trackside.operators.sampling import downsample
 
 Views = dict[str, DataFrame]
+BUCKET_MICROS = 600 * 1_000_000  # rows of a session and driver are numbered in pieces of ten minutes
 
 
 def _slice(df: DataFrame, session_key: int | None = None, driver_number: int | None = None) -> DataFrame:
@@ -144,7 +144,6 @@ def duel_location(
     key = ["session_key", "driver_number"]
     telemetry_rows = _slice(v["fact_car_telemetry"], session_key, driver_number)
     location_rows = _slice(v["fact_car_location"], session_key, driver_number)
-    chunks = plan_time_chunks([(location_rows, "date"), (telemetry_rows, "date")], key)
     moving = (
         _slice(v["fact_car_telemetry"], session_key)
         .where(F.col("speed") > K.MOVING_SPEED)
@@ -165,7 +164,6 @@ def duel_location(
         on="date",
         right_cols=measured,
         tie_break=measured,
-        chunks=chunks,
     )
     counts = positions.groupBy(*key).agg(F.count(F.lit(1)).alias("_positions"))
     sampled = downsample(
@@ -175,7 +173,7 @@ def duel_location(
         target=points,
         rounding="floor",
         size="_positions",
-        chunks=chunks,
+        widths=[BUCKET_MICROS],
     )
     return (
         sampled.where(F.col("x").isNotNull() & F.col("y").isNotNull())
@@ -277,7 +275,7 @@ def telemetry(
     key = ["session_key", "driver_number"]
     measured = ["speed", "rpm", "n_gear", "throttle", "brake", "drs"]
     rows = _slice(v["fact_car_telemetry"], session_key, driver_number).select(*key, "date", *measured)
-    kept = downsample(rows, by=key, order=["date", *measured], target=points, rounding="half_even", cap=points)
+    kept = downsample(rows, by=key, order=["date", *measured], target=points, rounding="half_even", cap=points, widths=[BUCKET_MICROS])
     return kept.orderBy(*key, "rn").select(*lead, iso_micros(F.col("date")).alias("date"), *measured)
 
 

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from trackside.functions.scalars import clean_gear, iso_micros, micros, pct_true
 from trackside.operators.asof import asof_join
-from trackside.operators.hotkeys import plan_time_chunks
 from trackside.operators.interval import Measure, interval_aggregate
-from trackside.operators.sampling import downsample
+from trackside.operators.sampling import downsample, rank_rows
 from workload.registry import query, table
 
+DAY = 86_400 * 1_000_000
 ISO = "'%Y-%m-%dT%H:%M:%S.%f'"
 
 
@@ -165,7 +165,7 @@ def downsample_capped(spark, sf_dir):
 )
 def downsample_floor(spark, sf_dir):
     events = _events(spark, sf_dir).select("event_id", "event_type", "ts")
-    kept = downsample(events, by=["event_type"], order=["ts", "event_id"], target=700, rounding="floor")
+    kept = downsample(events, by=["event_type"], order=["ts", "event_id"], target=700, rounding="floor", widths=[DAY])
     return kept.select("event_id", "event_type", "rn")
 
 
@@ -184,8 +184,7 @@ def first_date_then_sample(spark, sf_dir):
     events = _events(spark, sf_dir).select("event_id", "user_id", "ts", "value")
     starts = events.where(F.col("value") > 100).groupBy("user_id").agg(F.min("ts").alias("t0"))
     later = events.join(starts, "user_id").where(F.col("ts") >= F.col("t0"))
-    chunks = plan_time_chunks([(events, "ts")], ["user_id"])
-    kept = downsample(later, by=["user_id"], order=["ts", "event_id"], target=15, rounding="floor", chunks=chunks)
+    kept = downsample(later, by=["user_id"], order=["ts", "event_id"], target=15, rounding="floor")
     return kept.select("event_id", "user_id", "rn")
 
 
@@ -204,3 +203,59 @@ def iso_format(spark, sf_dir):
         iso_micros(ts + F.expr("INTERVAL 15 SECONDS")).alias("until"),
         micros(ts).alias("at_micros"),
     )
+
+
+@query(
+    """
+    SELECT l.event_id, max(r.event_id) AS click_id
+    FROM (SELECT p.event_id, max(c.ts) AS ts
+          FROM (SELECT * FROM events WHERE event_type = 'purchase') p
+          ASOF JOIN (SELECT DISTINCT ts FROM events WHERE event_type = 'click') c ON p.ts >= c.ts
+          GROUP BY p.event_id) l
+    JOIN (SELECT * FROM events WHERE event_type = 'click') r ON r.ts = l.ts
+    GROUP BY l.event_id
+    """
+)
+def asof_hot_key(spark, sf_dir):
+    """The latest click of anybody: all rows have one key and are spread along time."""
+    purchases = _events(spark, sf_dir, "purchase").select("event_id", F.lit(1).alias("all"), "ts")
+    clicks = _events(spark, sf_dir, "click").select(F.lit(1).alias("all"), "ts", F.col("event_id").alias("click_id"))
+    joined = asof_join(purchases, clicks, by=["all"], on="ts", tie_break=["click_id"], bucket_seconds=7200)
+    return joined.select("event_id", "click_id")
+
+
+@query(
+    """
+    SELECT event_id, row_number() OVER (ORDER BY CAST(ts AS DATE), user_id, event_id) AS rn, count(*) OVER () AS n FROM events
+    """
+)
+def rank_hot_instant(spark, sf_dir):
+    """One key, few distinct days, many rows on each: ties are spread along the next columns."""
+    events = _events(spark, sf_dir).select("event_id", "user_id", F.lit(1).alias("all"), F.to_date("ts").alias("day"))
+    ranked = rank_rows(events, by=["all"], order=["day", "user_id", "event_id"], widths=[7, 100, 1000])
+    return ranked.select("event_id", "rn", "n")
+
+
+@query(
+    """
+    SELECT e.event_id, count(s.event_id) AS n, round(avg(s.value), 9) AS avg_value,
+           max(s.value) AS max_value, min(s.value) AS min_value
+    FROM (SELECT * FROM events WHERE event_type IN ('view', 'error')) e
+    LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') s
+      ON s.ts BETWEEN e.ts AND e.ts + INTERVAL 6 HOURS
+    GROUP BY e.event_id
+    """
+)
+def interval_dense_events(spark, sf_dir):
+    """Many events and rows of one key in every window, in buckets of ten minutes."""
+    joined = interval_aggregate(
+        _events(spark, sf_dir).where(F.col("event_type").isin("view", "error")).select("event_id", "ts"),
+        _events(spark, sf_dir, "purchase").select("ts", "value"),
+        by=[],
+        event_ts="ts",
+        series_ts="ts",
+        after_seconds=6 * 3600,
+        slices=36,
+        measures=_MEASURES,
+    )
+    return joined.drop("ts").withColumn("avg_value", F.round("avg_value", 9))
