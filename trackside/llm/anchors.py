@@ -123,7 +123,14 @@ def candidates(rows: DataFrame, shape: Shape, shared) -> DataFrame:
         later = same & ((did[order] != did[e]) | (start[order] != start[e]))
         gone, kept = order[later], np.sort(order[~same])
         if len(gone):
-            yield out(key[gone], did[gone], th[gone], start[gone], size[gone], pa.nulls(len(gone), pa.binary()))
+            # Neighbouring runs of a document become one row, dealt by document.
+            gone = gone[np.lexsort((start[gone], th[gone], did[gone]))]
+            d, h, s, n = did[gone], th[gone], start[gone], size[gone]
+            new = np.ones(len(gone), bool)
+            new[1:] = (d[1:] != d[:-1]) | (h[1:] != h[:-1]) | (s[1:] != s[:-1] + n[:-1])
+            first = np.flatnonzero(new)
+            n = np.add.reduceat(n, first)
+            yield out(mix(d[first].view(np.uint64)), d[first], h[first], s[first], n, pa.nulls(len(first), pa.binary()))
         at = np.cumsum(length) - length
         cut = blobs(payload[spread(at[kept], length[kept])], length[kept])
         yield out(key[kept], did[kept], th[kept], start[kept], size[kept], cut)
