@@ -20,7 +20,7 @@ from trackside.llm.sketch import Sketch
 from trackside.llm.textscan import chunks, encoded, mix, window_argmin
 
 RUNS_PER_FLUSH = 200_000
-PAYLOAD_PER_FLUSH = 64 << 20
+PAYLOAD_PER_FLUSH = 24 << 20
 LAST_ID = (1 << 63) - 1
 SENT = "key long, did long, th long, start int, n int, payload binary"
 

@@ -36,7 +36,7 @@ LENGTH = 100
 ANCHOR = 32
 WIDTH_BITS = 27
 HOT = 2000
-PIECE_BYTES = 4 << 20  # a task sorts the suffixes of so many bytes of its buckets at a time
+PIECE_BYTES = 2 << 20  # a task sorts the suffixes of so many bytes of its buckets at a time
 
 
 def scan_bytes(window: int, anchor: int, texts: list[bytes]) -> Scan:
