@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +20,7 @@ ARROW_ROWS = "512"
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Runtime settings. A cluster gets the package by --py-files or installed; local workers find it by path."""
-    if spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.startswith("local["):
         root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
         if root not in env.get("PYTHONPATH", "").split(os.pathsep):
             env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH"), os.environ.get("PYTHONPATH")]))
@@ -29,10 +31,17 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors reach: the setting ``spark.checkpoint.dir``, or the context's own."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder that all executors reach: the setting ``spark.checkpoint.dir``, or the context's own.
+
+    Where neither is set, as in tests, a local session gets a folder of its machine; a cluster is refused.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="corpus-"))
+        named = context.getCheckpointDir()
     return named.rstrip("/")
 
 
@@ -40,6 +49,14 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+NARROW = 8
+
+
+def few(df: DataFrame) -> DataFrame:
+    """For rows that hold ids only, an eighth of the partitions that rows with texts need; no shuffle."""
+    return df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // NARROW))
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write once to the shared folder and read back: later stages survive lost executors."""
     path = fresh_path(df.sparkSession, label)
@@ -72,6 +89,42 @@ def batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, list(columns))
 
 
+FILTER_BITS = 24
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that ``df`` does not have."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
+def may_contain(ids: DataFrame, bits: int = FILTER_BITS):
+    """A column function that is true for every value of the one long column ``ids``, and rarely for others.
+
+    A bitmap of 2**bits cells, whatever the number of ids: it thins out a table before a join, which decides.
+    """
+    (name,) = ids.columns
+    cell = F.shiftrightunsigned(F.xxhash64(F.col(name)), 64 - bits)
+    words = ids.select(F.shiftright(cell, 6).cast("int").alias("at"), cell.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+    words = words.groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    bitmap = np.zeros(1 << (bits - 6), np.int64)
+    for r in words.toLocalIterator():  # 2**(bits - 6) rows at most
+        bitmap[r["at"]] = r["bits"]
+    shared = ids.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
+
+    @F.pandas_udf("boolean")
+    def hit(hashes: pd.Series) -> pd.Series:
+        at = hashes.to_numpy(np.int64).view(np.uint64) >> np.uint64(64 - bits)
+        return pd.Series((shared.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0)
+
+    return lambda column: hit(F.xxhash64(F.col(column)))
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
@@ -102,21 +155,22 @@ def components(edges: DataFrame, label: str, a: str = "a", b: str = "b") -> Data
     of its label (pointer jumping), so long chains shorten by half. Nodes and edges stay distributed; a
     hub with many edges is pre-aggregated by min() before its shuffle. Each round is written to the shared folder.
     """
-    pairs = stored(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct(), f"{label}-edges")
+    pairs = stored(few(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct()), f"{label}-edges")
     both = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(
         pairs.select(F.col("b").alias("node"), F.col("a").alias("other"))
     )
-    now = stored(both.groupBy("node").agg(F.least("node", F.min("other")).alias("component")), f"{label}-round")
+    first = both.groupBy("node").agg(F.least("node", F.min("other")).alias("component"))
+    now = stored(few(first), f"{label}-round")
     while True:
-        seen = both.join(now.select(F.col("node").alias("other"), F.col("component").alias("theirs")), "other")
-        best = seen.groupBy("node").agg(F.min("theirs").alias("theirs"))
-        hooked = now.join(best, "node").select(
+        seen = few(both.join(now.select(F.col("node").alias("other"), F.col("component").alias("theirs")), "other"))
+        best = few(seen.groupBy("node").agg(F.min("theirs").alias("theirs")))
+        hooked = few(now.join(best, "node")).select(
             "node", F.least("component", "theirs").alias("component"), F.col("component").alias("before")
         )
         # The smallest label anybody with my old label has found: whole components move together.
-        roots = hooked.groupBy("before").agg(F.min("component").alias("root"))
+        roots = few(hooked.groupBy("before").agg(F.min("component").alias("root")))
         after = stored(
-            hooked.join(roots, "before").select(
+            few(hooked.join(roots, "before")).select(
                 "node", F.least("component", "root").alias("component"), (F.col("root") < F.col("before")).alias("moved")
             ),
             f"{label}-round",

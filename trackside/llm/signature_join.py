@@ -3,11 +3,11 @@
 Documents are sets of word shingles; two link when ``100 * |A & B| >= threshold * |A | B|``. The result is exact.
 
 1. Equal sets are one class, represented by its smallest id; copies are never paired with each other.
-2. Blocks. Linked sets differ in at most D shingles, D from their sizes, so when shingles are dealt by hash to more
-   than D non-empty groups, one group is equal in both. Each set sends the hashes of its groups, for its own size
-   region and, near the upper end, for the next one. (A set whose shingles happen to fill too few groups also sends the empty
-   ones: of two such sets at least one equal group is found among those.) Equal hashes of a task are reduced to one
-   before the shuffle. Sets connected by equal hashes form a block; nothing outside a block can link to it.
+2. Blocks. Linked sets differ in at most D shingles, D from their sizes, so when shingles are dealt by hash to D + c
+   non-empty groups, c groups are equal in both; small sets have a group per shingle. Each set sends the hashes of its groups, for its own size
+   level and, near the upper end, for the next one. (A set whose shingles happen to fill too few groups also sends the
+   empty ones: two such sets have c equal groups among all.) Sets with enough equal groups are connected (see
+   :func:`candidate_edges`); what is connected forms a block. Nothing outside a block can link to it.
 3. Signature trees. In a block every set has a token bitmap; nodes hold the OR of their bitmaps, the size range and the
    most shingles that any of their sets loses to shared bits. Two nodes are traversed together and dropped when even the largest possible
    overlap is too small, or when all their sets are connected already. Pairs of sets that remain are compared exactly.
@@ -25,17 +25,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackside.llm.anchors import LAST_ID, keyed
-from trackside.llm.common import batch, components, prepare, signed, stored, unsigned
+from trackside.llm.anchors import LAST_ID, keyed, spread
+from trackside.llm.common import batch, components, few, may_contain, prepare, signed, stored, unsigned, unused
 from trackside.llm.textscan import chunks, encoded, gram_hashes, mix, scan_words
 
 SHINGLE = 4
 THRESHOLD = 85
 BLOCK_SHINGLES = 400_000
 KEYS_PER_FLUSH = 2_000_000
+PAIRED = 32
+SMALL = 40
 FANOUT = 8
 HUB_ROUNDS = 4
 MOST_BITS = 1 << 14
@@ -75,57 +77,94 @@ def set_digests(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.n
     return out[0], out[1]
 
 
+def level_bounds(threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size levels: first size, groups a set is dealt to (0: a group per shingle), groups linked sets have in common.
+
+    |A ^ B| <= (100 - t) / (100 + t) * (|A| + |B|) = D, with both sizes up to the end of the level of the larger one. Small
+    sets have a group per shingle, hence at least t percent of the level's first size in common.
+    """
+    first = [1]
+    while first[-1] < 1 << 40 and len(first) < 62:
+        first.append(max(first[-1] + 1, int(first[-1] * max(1.42, 100 / threshold))))
+    start = np.array(first, np.int64)
+    differ = 2 * (np.append(start[1:], start[-1] * 2) - 1) * (100 - threshold) // (100 + threshold)
+    common = np.where(start < SMALL, -(-start * threshold // 100), 1 + differ // 6)
+    return start, np.where(start < SMALL, 0, differ + common), common
+
+
 def group_keys(values, sizes, nodes, threshold: int):
-    """(key, node) such that linked sets with different contents share at least one key."""
+    """(key, node): linked sets with different contents have at least the level's number of keys in common.
+
+    A key has its level in the highest six bits. With D + c groups filled, D of which may differ, c are equal.
+    """
+    start, filled_at, _ = level_bounds(threshold)
     for step in (0, 1):
-        region = np.where(sizes > 0, np.floor(np.log2(np.maximum(sizes, 1))).astype(np.int64), 0) + step
-        largest = (np.int64(1) << (region + 1)) - 1
-        # |A ^ B| <= (100 - t) / (100 + t) * (|A| + |B|)
-        differ = 2 * largest * (100 - threshold) // (100 + threshold)
-        use = (sizes > 0) & (differ > 0)
-        if step:
-            use &= 100 * sizes >= threshold * (largest + 1) // 2
-        groups = np.where(use, differ + 1 + 15 * (differ + 1) // 100 + 3, 0)
+        level = np.maximum(np.searchsorted(start, sizes, side="right") - 1, 0) + step
+        use = sizes > 0
+        if step:  # may be the smaller of a pair whose larger is on the next level
+            use &= 100 * sizes >= threshold * start[level]
+        each = use & (filled_at[level] == 0)
+        if each.any():
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            used = each[owner]
+            token, owner = values[used], owner[used]
+            top = level[owner].astype(np.uint64)
+            yield mix(token + top) >> np.uint64(6) | top << np.uint64(58), nodes[owner]
+        use &= ~each
         if not use.any():
             continue
+        filled_least = filled_at[level]
+        groups = np.where(use, filled_least + filled_least // 32 + 1, 0)
         base = np.cumsum(groups) - groups
         owner = np.repeat(np.arange(len(sizes)), sizes)
         used = use[owner]
         token, owner = values[used], owner[used]
-        salted = mix(token + region[owner].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        salted = mix(token + level[owner].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         slot = base[owner] + (salted % groups[owner].astype(np.uint64)).astype(np.int64)
         total = np.zeros(groups.sum(), np.uint64)
         np.add.at(total, slot, mix(token ^ np.uint64(0xA0761D6478BD642F)))
         filled = np.bincount(slot, minlength=len(total)) > 0
         owner = np.repeat(np.arange(len(sizes)), groups)
-        name = (region[owner].astype(np.uint64) << np.uint64(40)) + (np.arange(len(total)) - base[owner]).astype(np.uint64)
-        few = np.bincount(owner[filled], minlength=len(sizes)) <= differ
-        sent = filled | few[owner]
-        yield mix(total[sent] + mix(name[sent])), nodes[owner[sent]]
+        few = np.bincount(owner[filled], minlength=len(sizes)) < filled_least
+        sent = np.flatnonzero(filled | few[owner])
+        owner = owner[sent]
+        name = (level[owner].astype(np.uint64) << np.uint64(40)) + (sent - base[owner]).astype(np.uint64)
+        key = mix(total[sent] + mix(name)) >> np.uint64(6)
+        yield key | (level[owner].astype(np.uint64) << np.uint64(58)), nodes[owner]
+
+
+def _groups(key, node):
+    """Distinct (key, node) in order, where groups of a key begin, their sizes, and which hold a marked node."""
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    keep = np.ones(len(key), bool)
+    keep[1:] = (key[1:] != key[:-1]) | (node[1:] >> np.uint64(1) != node[:-1] >> np.uint64(1))
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    marked = np.maximum.reduceat(node & np.uint64(1), first) > 0
+    key, node = key[keep], node[keep] & ~np.uint64(1)
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key, node, first, np.diff(np.append(first, len(key))), marked
 
 
 def candidate_edges(rows: DataFrame, shingle: int, threshold: int) -> DataFrame:
-    """(a, b): set digests connected by an equal group."""
-
-    def out(key, a, b):
-        return batch(key=signed(key), a=signed(a), b=pa.nulls(len(a), pa.int64()) if b is None else signed(b))
-
-    def linked(key, node):
-        """The smallest node of each key, and edges from it to the others."""
-        order = np.lexsort((node, key))
-        key, node = key[order], node[order]
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        head = node[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
-        other = node != head
-        edge = np.unique(np.stack([head[other], node[other]], 1), axis=0) if other.any() else np.zeros((0, 2), np.uint64)
-        return key[new], node[new], np.ascontiguousarray(edge[:, 0]), np.ascontiguousarray(edge[:, 1])
+    """(a, b): set digests that share enough keys.
+
+    Of the c keys that linked sets share, at least half are frequent (in more than ``PAIRED`` sets) or at least half are not. Pairs are
+    counted within the others; from frequent keys, those sets that have enough of them are connected to
+    the key's smallest, so the number of rows stays in proportion to the sets. A task that finds a key frequent sends its sets
+    past the key's partition, with one row, marked in its lowest bit, that tells it.
+    """
+    _, _, common_at = level_bounds(threshold)
+    one = np.uint64(1)
 
     def reduced(held):
-        key, node, a, b = linked(*(np.concatenate(x) for x in zip(*held)))
-        yield out(key, node, None)
-        if len(a):
-            yield out(a, a, b)
+        key, node, first, size, _ = _groups(*(np.concatenate(x) for x in zip(*held)))
+        large = np.repeat(size > PAIRED, size)
+        yield batch(slot=signed(key[~large]), key=signed(key[~large]), node=signed(node[~large]))
+        if large.any():
+            yield batch(slot=signed(mix(key[large] + node[large])), key=signed(key[large]), node=signed(node[large]))
+            tell = first[size > PAIRED]
+            yield batch(slot=signed(key[tell]), key=signed(key[tell]), node=signed(node[tell] | one))
 
     def keys(batches):
         held, n = [], 0
@@ -134,7 +173,7 @@ def candidate_edges(rows: DataFrame, shingle: int, threshold: int) -> DataFrame:
             for i, j in chunks(texts):
                 values, sizes = shingle_sets(texts[i:j], shingle)
                 nodes, _ = set_digests(values, sizes)
-                for x in group_keys(values, sizes, nodes, threshold):
+                for x in group_keys(values, sizes, nodes & ~one, threshold):
                     held.append(x)
                     n += len(x[0])
                 if n >= KEYS_PER_FLUSH:
@@ -143,21 +182,53 @@ def candidate_edges(rows: DataFrame, shingle: int, threshold: int) -> DataFrame:
         if n:
             yield from reduced(held)
 
-    def edges(batches):
+    def counted(batches):
+        """worth > 0: sets a and b share keys; worth 0: a is a frequent key, b one of its sets."""
         held = []
         for b in batches:
-            known = np.asarray(b.column(2).is_valid())
-            if known.any():
-                yield batch(a=b.column(1).filter(pa.array(known)), b=b.column(2).filter(pa.array(known)))
-            if not known.all():
-                held.append((unsigned(np.asarray(b.column(0)))[~known], unsigned(np.asarray(b.column(1)))[~known]))
-        if held:
-            _, _, a, b = linked(*(np.concatenate(x) for x in zip(*held)))
-            if len(a):
-                yield batch(a=signed(a), b=signed(b))
-
-    sent = rows.select("text").mapInArrow(keys, "key long, a long, b long")
-    return sent.repartition("key").mapInArrow(edges, "a long, b long")
+            slot, key, node = (unsigned(np.asarray(b.column(i))) for i in range(3))
+            past = slot != key
+            if past.any():
+                yield batch(a=signed(key[past]), b=signed(node[past]), worth=np.zeros(past.sum()))
+            held.append((key[~past], node[~past]))
+        if not sum(len(k) for k, _ in held):
+            return
+        key, node, first, size, marked = _groups(*(np.concatenate(x) for x in zip(*held)))
+        held.clear()
+        level = np.minimum(key[first] >> np.uint64(58), len(common_at) - 1).astype(np.int64)
+        worth = 1.0 / ((common_at[level] + 1) // 2)
+        frequent = marked | (size > PAIRED)
+        if frequent.any():
+            every = spread(first[frequent], size[frequent])
+            yield batch(a=signed(key[every]), b=signed(node[every]), worth=np.zeros(len(every)))
+        found = []
+        for m in range(2, PAIRED + 1):
+            these = np.flatnonzero((size == m) & ~frequent)
+            if len(these):
+                x, y = np.triu_indices(m, 1)
+                at = first[these][:, None]
+                found.append((node[at + x].ravel(), node[at + y].ravel(), np.repeat(worth[these], len(x))))
+        if found:
+            a, b, w = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((b, a))
+            a, b, w = a[order], b[order], w[order]
+            new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+            yield batch(a=signed(a[new]), b=signed(b[new]), worth=np.add.reduceat(w, new))
+
+    sent = rows.select("text").mapInArrow(keys, "slot long, key long, node long")
+    shared = stored(sent.repartition("slot").mapInArrow(counted, "a long, b long, worth double"), "keys")
+    pairs = shared.where("worth > 0").groupBy("a", "b").agg(F.sum("worth").alias("worth"))
+    pairs = few(pairs.where("worth > 0.999999").select("a", "b"))
+    frequent = few(shared.where("worth = 0").select(F.col("a").alias("key"), F.col("b").alias("node")).distinct())
+    level = F.shiftrightunsigned("key", 58)
+    enough = F.array(*[F.lit(int(c) // 2 + 1) for c in common_at])[level.cast("int")]
+    often = frequent.groupBy("node", level.alias("level"), enough.alias("enough")).agg(F.count(F.lit(1)).alias("n"))
+    often = few(often.where("n >= enough").select("node", "level"))
+    left = few(frequent.withColumn("level", level).join(often, ["node", "level"]).select("key", "node"))
+    stars = few(left.join(few(left.groupBy("key").agg(F.min("node").alias("least"))), "key")).select(
+        F.col("least").alias("a"), F.col("node").alias("b")
+    )
+    return pairs.unionByName(stars)
 
 
 class Union:
@@ -340,7 +411,33 @@ def near_duplicates(
     block_shingles: int = BLOCK_SHINGLES,
 ) -> DataFrame:
     """Per row: id_col, n_shingles, component_id."""
-    spark = prepare(docs.sparkSession)
+    return classified(docs, id_col, text_col, shingle, threshold, block_shingles).select(
+        F.when(F.col("did") != LAST_ID, F.col("did")).alias(id_col), F.col("n").alias("n_shingles"),
+        F.when(F.col("component") != LAST_ID, F.col("component")).alias("component_id"),
+    )
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: int = 80) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates, that of the smallest id, columns as they are."""
+    found = stored(classified(docs, id_col, text_col, shingle, threshold, BLOCK_SHINGLES).select("did", "th", "component"), "kinds")
+    # Only rows that may go, or may be repeated, are shuffled with their texts.
+    counted = found.groupBy("did", "th").agg(F.min("component").alias("component"), F.count(F.lit(1)).alias("n"))
+    unsure = stored(counted.where((F.col("component") != F.col("did")) | (F.col("n") > 1)), "unsure")
+    did, th, nth = unused(docs, "did", "th", "nth")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.withColumn(did, F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))).withColumn(th, F.xxhash64(text))
+    hit = may_contain(unsure.select("did"))(did)
+    goes = unsure.where(F.col("component") != F.col("did")).select(F.col("did").alias(did), F.col("th").alias(th))
+    left = rows.where(hit).join(goes.hint("shuffle_hash"), [did, th], "left_anti")
+    left = left.withColumn(nth, F.row_number().over(Window.partitionBy(did, th).orderBy(did))).where(F.col(nth) == 1)
+    return rows.where(~hit).select(*docs.columns).unionByName(left.select(*docs.columns))
+
+
+def classified(
+    docs: DataFrame, id_col: str, text_col: str, shingle: int, threshold: int, block_shingles: int
+) -> DataFrame:
+    """did, th, n and component of every row."""
+    prepare(docs.sparkSession)
     rows = keyed(docs, id_col, text_col)
 
     def describe(batches):
@@ -356,22 +453,24 @@ def near_duplicates(
 
     info = stored(rows.mapInArrow(describe, "did long, th long, n long, h1 long, h2 long"), "sets")
     classes = info.where("n > 0").groupBy("h1", "h2", "n").agg(F.min(F.struct("did", "th")).alias("rep"))
-    classes = stored(classes.select("h1", "h2", "n", "rep.did", "rep.th"), "classes")
+    classes = stored(few(classes).select("h1", "h2", "n", "rep.did", "rep.th"), "classes")
     blocks = components(candidate_edges(rows, shingle, threshold), "blocks")
 
-    members = classes.join(blocks.select(F.col("node").alias("h1"), F.col("component").alias("block")), "h1")
+    in_block = F.col("h1").bitwiseAND(F.lit(-2)) == F.col("node")
+    members = few(classes.join(blocks.select("node", F.col("component").alias("block")), in_block)).drop("node")
     weight = members.groupBy("block").agg(F.sum("n").alias("all_n"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
     # Parts of large blocks: sizes within 8 percent, then by hash to about block_shingles each.
     bin_of = F.when(F.col("all_n") <= block_shingles, 0).otherwise(F.floor(F.log(F.col("n")) / F.log(F.lit(1.08))))
-    members = members.join(weight, "block").withColumn("bin", bin_of.cast("long"))
-    bins = members.groupBy("block", "bin").agg(F.sum("n").alias("bin_n"))
+    members = few(members.join(few(weight), "block")).withColumn("bin", bin_of.cast("long"))
+    bins = few(members.groupBy("block", "bin").agg(F.sum("n").alias("bin_n")))
     members = members.join(bins, ["block", "bin"]).withColumn(
         "part", F.when(F.col("all_n") <= block_shingles, 0).otherwise(
             F.pmod(F.xxhash64("did", "th"), F.ceil(F.col("bin_n") / block_shingles))
         ).cast("long"),
     )
+    members = stored(few(members), "in-blocks")
     members = stored(
-        members.join(rows, ["did", "th"]).select(
+        rows.where(may_contain(members.select("did"))("did")).join(members, ["did", "th"]).select(
             "block", "bin", "part", "did", "n", (F.col("all_n") > block_shingles).alias("large"), "text"
         ),
         "members",
@@ -382,14 +481,9 @@ def near_duplicates(
     if large.limit(1).count():
         links = links.unionByName(large_blocks(large, links, shingle, threshold, block_shingles))
     final = components(links, "linked").select(F.col("node").alias("did"), "component")
-    by_class = classes.join(final, "did", "left").select("h1", "h2", "n", F.coalesce("component", "did").alias("component"))
+    by_class = few(classes.join(final, "did", "left")).select("h1", "h2", "n", F.coalesce("component", "did").alias("component"))
     out = info.join(by_class, ["h1", "h2", "n"], "left")
-    component = F.coalesce("component", "did")
-    return out.select(
-        F.when(F.col("did") != LAST_ID, F.col("did")).alias(id_col),
-        F.col("n").alias("n_shingles"),
-        F.when(component != LAST_ID, component).alias("component_id"),
-    )
+    return out.select("did", "th", "n", F.coalesce("component", "did").alias("component"))
 
 
 def large_blocks(large: DataFrame, links: DataFrame, shingle: int, threshold: int, block_shingles: int) -> DataFrame:
@@ -410,7 +504,7 @@ def large_blocks(large: DataFrame, links: DataFrame, shingle: int, threshold: in
     more = stored(links.unionByName(block_links(hubs, ["block", "bin", "part"], shingle, threshold)), "hub-links")
 
     # Sets outside their block's largest component, and parts that lie within it: the latter need no comparison.
-    second = stored(labelled(more, "hubs"), "labelled")
+    second = labelled(more, "hubs").drop("text")
     counts = second.groupBy("block", "comp").agg(F.sum("n").alias("comp_n"))
     main = counts.groupBy("block").agg(F.max_by("comp", "comp_n").alias("main"))
     second = second.join(main, "block").withColumn("rest", F.col("comp") != F.col("main"))
@@ -418,7 +512,8 @@ def large_blocks(large: DataFrame, links: DataFrame, shingle: int, threshold: in
     second = second.join(sizes, ["block", "bin", "rest"]).withColumn(
         "part", F.pmod(F.xxhash64("did"), F.ceil(F.col("bin_n") / block_shingles))
     )
-    second = stored(second.withColumn("node", F.xxhash64("block", "bin", "rest", "part")), "parts")
+    second = second.withColumn("node", F.xxhash64("block", "bin", "rest", "part"))
+    second = stored(few(second.select("block", "did", "n", "comp", "rest", "node")), "parts")
     nodes = second.groupBy("block", "node", "rest").agg(
         F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("c1"), F.max("comp").alias("c2")
     )
@@ -432,5 +527,5 @@ def large_blocks(large: DataFrame, links: DataFrame, shingle: int, threshold: in
     sides = pairs.select("left", "right", F.col("left").alias("node"), F.lit(0).alias("side")).unionByName(
         pairs.where("left <> right").select("left", "right", F.col("right").alias("node"), F.lit(1).alias("side"))
     )
-    tasks = second.drop("side").join(sides, "node")
+    tasks = second.join(sides, "node").join(large.select("block", "did", "n", "text"), ["block", "did", "n"])
     return more.unionByName(block_links(tasks, ["left", "right"], shingle, threshold))
