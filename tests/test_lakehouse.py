@@ -36,9 +36,9 @@ def test_publish_over_its_own_input(spark):
 def test_store_upserts_drivers_and_replaces_sessions(spark):
     root = scratch_path(spark, "lake")
     names = S.DRIVERS.schema
-    store(spark, root, S.DRIVERS, spark.createDataFrame([(44, "L", "HAM", "Mercedes", None), (1, "M", "VER", "RB", None)], names))
-    store(spark, root, S.DRIVERS, spark.createDataFrame([(44, "L", "HAM", "Ferrari", "GBR")], names))
-    assert {r.driver_number: r.team_name for r in read_table(spark, root, S.DRIVERS).collect()} == {44: "Ferrari", 1: "RB"}
+    store(spark, root, S.DRIVERS, spark.createDataFrame([(44, "L", "COS", "Mercedes", None), (1, "M", "OKO", "RB", None)], names))
+    store(spark, root, S.DRIVERS, spark.createDataFrame([(44, "L", "COS", "Amber Racing", "GBR")], names))
+    assert {r.driver_number: r.team_name for r in read_table(spark, root, S.DRIVERS).collect()} == {44: "Amber Racing", 1: "RB"}
     for laps in ([(1, 9, 1, "SOFT", 1, 2, 0), (2, 9, 1, "SOFT", 1, 2, 0)], [(2, 9, 1, "HARD", 1, 2, 0)]):
         store(spark, root, S.STINTS, spark.createDataFrame(laps, S.STINTS.schema))
     assert {r.session_key: r.compound for r in read_table(spark, root, S.STINTS).collect()} == {1: "SOFT", 2: "HARD"}
@@ -60,7 +60,7 @@ def test_run_history_appends(spark):
     assert rows[0].status == "FAILED: " + "x" * 100 and rows[0].total_rows_processed == 0
 
 
-def land(spark, root, kind, rows, names, gp="Bahrain"):
+def land(spark, root, kind, rows, names, gp="Harbour"):
     return bronze.land_bronze(spark.createDataFrame(rows, names), root, kind, 2025, gp, "Race")
 
 
@@ -73,15 +73,15 @@ CAR = "session_key long, driver_number long, date string, speed long, rpm long,
 @pytest.fixture(scope="module")
 def lake(spark):
     root = scratch_path(spark, "medallion")
-    land(spark, root, "sessions", [(10014, 2025, "Race", "Race", 12, "Sakhir", "Bahrain", "2025-03-16")], SESSION)
-    land(spark, root, "drivers", [(44, "L", "HAM", "Ferrari", "GBR"), (1, "M", "VER", "RB", None), (None, "x", "y", "z", None)], DRIVER)
+    land(spark, root, "sessions", [(10014, 2025, "Race", "Race", 12, "Quay", "Harbour", "2025-03-16")], SESSION)
+    land(spark, root, "drivers", [(44, "L", "COS", "Amber Racing", "GBR"), (1, "M", "OKO", "RB", None), (None, "x", "y", "z", None)], DRIVER)
     land(spark, root, "stints", [(10014, 1, 1, "MEDIUM", 1, 10, 0), (10014, 1, 2, "HARD", 11, None, 0)], STINT)
     second = "2025-03-16T12:00:0"
     land(
         spark,
         root,
         "car_data",
-        [(10014, 1, f"{second}0+00:00", 312, 11800, 7, 98.5, 0.0, 12), (10014, 1, f"{second}1", 315, 12000, 77, 98.5, 0.0, 12), (10014, 5, f"{second}0", 1, 1, 1, 1.0, 1.0, 1)],
+        [(10014, 1, f"{second}0+00:00", 307, 10950, 7, 97.5, 0.0, 12), (10014, 1, f"{second}1", 311, 12000, 77, 97.5, 0.0, 12), (10014, 5, f"{second}0", 1, 1, 1, 1.0, 1.0, 1)],
         CAR,
     )
     place = "session_key long, driver_number long, date string, x string, y string, z string"
@@ -97,7 +97,7 @@ def lake(spark):
 
 
 def test_medallion(spark, lake):
-    counts = run_medallion(spark, lake, 2025, "Bahrain", "Race", forest={"trees": 3, "depth": 3})
+    counts = run_medallion(spark, lake, 2025, "Harbour", "Race", forest={"trees": 3, "depth": 3})
     assert counts == {"read": 13, "valid": 11, "quarantined": 2}
     assert [r.session_key for r in read_table(spark, lake, S.SESSIONS).collect()] == [10014]
     assert "date_start" in read_table(spark, lake, S.SESSIONS).columns
@@ -105,13 +105,13 @@ def test_medallion(spark, lake):
     assert [r.stint_number for r in read_table(spark, lake, S.STINTS).collect()] == [1]
     rows = read_table(spark, lake, S.TELEMETRY).orderBy("date").collect()
     # The position before the first car data is dropped, odd gears become 0, other drivers are left out.
-    assert [(r.driver_number, r.x, r.y, r.z, r.speed, r.n_gear) for r in rows] == [(1, 1, 0, 0, 312, 7), (1, 1, 2, 3, 315, 0)]
+    assert [(r.driver_number, r.x, r.y, r.z, r.speed, r.n_gear) for r in rows] == [(1, 1, 0, 0, 307, 7), (1, 1, 2, 3, 311, 0)]
     assert read_table(spark, lake, S.LOCATION).count() == 3
     predictions = read_table(spark, lake, S.LAP_PREDICTIONS).collect()
     assert len(predictions) == 10
     assert all(abs(r.lap_duration_seconds - r.predicted_lap_duration_seconds - r.delta_performance_seconds) < 1e-9 for r in predictions)
     bad = dicts(spark.read.parquet(f"{lake}/quarantine/drivers_corrupt"))
-    assert len(bad) == 1 and "driver_number" in bad[0]["error_detail"] and bad[0]["gp"] == "Bahrain"
+    assert len(bad) == 1 and "driver_number" in bad[0]["error_detail"] and bad[0]["gp"] == "Harbour"
     (run,) = read_table(spark, lake, S.RUNS).collect()
     assert run.session_key == 10014 and run.status == "SUCCESS" and run.total_rows_processed == 9
 
@@ -127,7 +127,7 @@ def test_medallion(spark, lake):
 def test_failure_is_logged_under_the_session(spark, lake, monkeypatch):
     monkeypatch.setattr("trackside.plans.medallion.align_telemetry", lambda *a: 1 / 0)
     with pytest.raises(ZeroDivisionError):
-        run_medallion(spark, lake, 2025, "Bahrain", "Race", with_gold=False)
+        run_medallion(spark, lake, 2025, "Harbour", "Race", with_gold=False)
     (run,) = read_table(spark, lake, S.RUNS).where("status like 'FAILED%'").collect()
     assert run.session_key == 10014 and run.total_rows_processed == 0
 
@@ -179,7 +179,7 @@ def gateway(spark):
 )
 def test_gateway_reads(gateway, text):
     (row,) = gateway.query(text).collect()
-    assert tuple(row) == (10014, "Bahrain")
+    assert tuple(row) == (10014, "Harbour")
 
 
 @pytest.mark.parametrize(

@@ -8,9 +8,9 @@ from trackside.plans.season import list_sessions, resolve_session
 
 def test_upsert_new_wins(spark):
     old = spark.createDataFrame([(44, "Mercedes"), (1, "Red Bull")], "driver_number long, team string")
-    new = spark.createDataFrame([(44, "Ferrari", "GBR")], "driver_number long, team string, code string")
+    new = spark.createDataFrame([(44, "Amber Racing", "GBR")], "driver_number long, team string, code string")
     rows = {r["driver_number"]: r for r in dicts(upsert(old, new, ["driver_number"]))}
-    assert rows[44]["team"] == "Ferrari" and rows[1] == {"driver_number": 1, "team": "Red Bull", "code": None}
+    assert rows[44]["team"] == "Amber Racing" and rows[1] == {"driver_number": 1, "team": "Red Bull", "code": None}
 
 
 def test_union_by_name(spark):
@@ -58,8 +58,8 @@ def test_quality_report(spark):
 
 
 SESSIONS = [
-    (1, 2024, "Race", "Bahrain", "Sakhir", "2024-03-02"),
-    (2, 2024, "Qualifying", "Bahrain", "Sakhir", "2024-03-01"),
+    (1, 2024, "Race", "Harbour", "Quay", "2024-03-02"),
+    (2, 2024, "Qualifying", "Harbour", "Quay", "2024-03-01"),
     (3, 2024, "Race", "Monaco", "Monte Carlo", "2024-05-26"),
     (4, 2024, "Sprint", None, "Miami", "2024-05-04"),
 ]
@@ -74,10 +74,10 @@ def test_resolve_session(spark):
     def key(*args):
         return [(r.session_key, r.year_actual) for r in resolve_session(sessions(spark), *args).collect()]
 
-    assert key(2024, "bahrain", "race") == [(1, 2024)]
+    assert key(2024, "harbour", "race") == [(1, 2024)]
     assert key(2024, "CARLO", "Race") == [(3, 2024)]
     assert key(2024, "nowhere", "Race") == [(3, 2024)]  # event unknown: latest race of the season
-    assert key(2024, "Bahrain", "Sprint") == [(1, 2024)]  # name unknown at the event: its latest session
+    assert key(2024, "Harbour", "Sprint") == [(1, 2024)]  # name unknown at the event: its latest session
     assert key(2025, None, "Sprint") == [(4, 2024)]  # season without data
     assert key(2023, None, "Race") == []
     assert key(2024, "[", "Race") == [(3, 2024)]  # literal text, not a pattern

@@ -17,26 +17,26 @@ CAR = (
 
 
 def test_valid_driver(spark):
-    df = spark.createDataFrame([(44, "Lewis Hamilton", "HAM", "Ferrari", "GBR")], DRIVERS)
+    df = spark.createDataFrame([(44, "Ana Costa", "COS", "Amber Racing", "GBR")], DRIVERS)
     checked = split_valid(df, S.DRIVERS, "r")
     assert checked.valid.count() == 1 and checked.quarantine.count() == 0
 
 
 def test_missing_required_column_names_the_field(spark):
-    df = spark.createDataFrame([("Lewis Hamilton", "HAM", "Ferrari")], "full_name string, name_acronym string, team_name string")
+    df = spark.createDataFrame([("Ana Costa", "COS", "Amber Racing")], "full_name string, name_acronym string, team_name string")
     checked = split_valid(df, S.DRIVERS, "r")
     assert checked.valid.count() == 0
     (bad,) = dicts(checked.quarantine)
     assert "driver_number" in bad["error_detail"] and bad["quarantine_reason"] == "r"
-    assert bad["quarantine_timestamp"] is not None and bad["full_name"] == "Lewis Hamilton"
+    assert bad["quarantine_timestamp"] is not None and bad["full_name"] == "Ana Costa"
 
 
 def test_telemetry_types(spark):
-    good = (9400, 1, "2025-03-16T12:00:00", 312, 11800, 7, 98.5, 0.0, 12)
+    good = (9400, 1, "2025-03-16T12:00:00", 307, 10950, 7, 97.5, 0.0, 12)
     df = spark.createDataFrame([good, (None, *good[1:])], CAR)
     checked = split_valid(df, S.CAR_DATA, "r")
     (row,) = dicts(checked.valid)
-    assert row["date"] == day("12:00:00") and row["speed"] == 312
+    assert row["date"] == day("12:00:00") and row["speed"] == 307
     (bad,) = dicts(checked.quarantine)
     assert "null in required column" in bad["error_detail"] and "session_key" in bad["error_detail"]
 
@@ -103,7 +103,7 @@ def test_relaxed_spec_keeps_open_stints(spark):
 
 
 def test_counters_and_extra_columns(spark):
-    df = spark.createDataFrame([(44, "L", "HAM", "F", "GBR"), (None, "x", "y", "z", None)], DRIVERS).withColumn(
+    df = spark.createDataFrame([(44, "L", "COS", "F", "GBR"), (None, "x", "y", "z", None)], DRIVERS).withColumn(
         "extra", F.lit(1)
     )
     checked = split_valid(df, S.DRIVERS, "r")
@@ -113,7 +113,7 @@ def test_counters_and_extra_columns(spark):
 
 
 def test_no_python_in_the_plan(spark):
-    df = spark.createDataFrame([(44, "L", "HAM", "F", "GBR")], DRIVERS)
+    df = spark.createDataFrame([(44, "L", "COS", "F", "GBR")], DRIVERS)
     plan = split_valid(df, S.DRIVERS, "r").valid._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
 
@@ -129,5 +129,5 @@ def test_iso_text(spark):
 
 
 def test_focus_drivers():
-    assert parse_focus_drivers("1: Max Verstappen ,44") == {1: "Max Verstappen", 44: "Driver 44"}
+    assert parse_focus_drivers("1: Ben Okoro ,44") == {1: "Ben Okoro", 44: "Driver 44"}
     assert 81 in parse_focus_drivers("one:Max") and 81 in parse_focus_drivers(None)
