@@ -88,3 +88,14 @@ def test_disclosing_terms(spark):
     assert "Zorblat" not in text[0] and "<name> <word>" in text[0] and text[10] == rows[5][1]
     strict = {r.doc_id: r.spans for r in personal_data(docs, support=6).collect()}
     assert "general" not in strict[0]
+
+
+def test_entity_of_one_document(spark):
+    """Most entities are written once: their terms are measured too, from below."""
+    rows = [(0, "Note says Zorblat writes from secret@mail.example.com on and rest")]
+    rows += [(1 + i, f"Note says writes from on and rest number {i}") for i in range(200)]
+    got = {r.doc_id: r.spans for r in personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == "general:10:17,email:30:53"
+    assert set(got.values()) == {got[0], ""}
+    few = {r.doc_id: r.spans for r in personal_data(spark.createDataFrame(rows[:20], "doc_id long, text string")).collect()}
+    assert "general" not in few[0]  # too few documents to tell

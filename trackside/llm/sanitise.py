@@ -3,8 +3,9 @@
 Base spans are e-mail addresses, IP addresses, card and phone numbers by fixed patterns (:func:`base_spans`). Each
 distinct value is a protected entity. A term (a word, A-Z lower-cased) in the ``CONTEXT`` words on either side of an entity is measured by
 how much it tells about it: with document shares p, PMI(e, t) = log2(p(e, t) / (p(e) p(t))) against the entity's own
-information IC(e) = log2(1 / p(e)). A term that is seen with the entity in at least ``SUPPORT`` different contexts
-and has PMI >= ``DISCLOSURE`` * IC discloses it. It is generalised to its class (number, capitalised word, other word)
+information IC(e) = log2(1 / p(e)). Shares are taken as if one more document had the entity without the term and one
+more the term without the entity, which bounds PMI from below where counts are small: every pair is measured, those
+seen once too. A term that has PMI >= ``DISCLOSURE`` * IC discloses the entity. (``support`` asks for more contexts.) It is generalised to its class (number, capitalised word, other word)
 unless the class itself discloses the entity; then it is removed. Such terms are marked wherever they stand near that entity.
 
 Counts cover all documents: contexts from those with base spans; p(t) from every document that has one of the terms
@@ -29,7 +30,7 @@ from trackside.llm.common import batch, may_contain, prepare, signed, stored, un
 from trackside.llm.textscan import chunks, encoded, mix, scan_words
 
 CONTEXT = 6
-SUPPORT = 3
+SUPPORT = 1
 DISCLOSURE = 0.8
 FILTER_BITS = 22
 KINDS = ("email", "ip", "card", "phone", "general", "removed")
@@ -217,11 +218,11 @@ def disclosing(near: DataFrame, rows: DataFrame, n_docs: int, support: int, disc
     together = stored(together.where(F.col("n_et") >= support), "together")
     alone = near.select("entity", "around").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     counts = document_counts(rows, together.select("term").distinct())
-    total = float(max(n_docs, 2))
+    total = float(n_docs)
     measured = together.join(alone, "entity").join(counts, "term")
-    pmi = F.log2(F.lit(total) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
-    own = F.log2(F.lit(total) / F.col("n_e"))
-    over = measured.where((own > 0) & (pmi >= disclosure * own)).select("entity", "term")
+    pmi = F.log2(F.lit(total + 2) * F.col("n_et") / ((F.col("n_e") + 1) * (F.col("n_t") + 1)))
+    own = F.log2(F.lit(total + 2) / (F.col("n_e") + 1))
+    over = measured.where(pmi >= disclosure * own).select("entity", "term")
     is_class = F.col("term").isin(CLASS_KEYS)
     return over.where(~is_class), over.where(is_class).withColumnRenamed("term", "class_key")
 
