@@ -99,3 +99,15 @@ def test_entity_of_one_document(spark):
     assert set(got.values()) == {got[0], ""}
     few = {r.doc_id: r.spans for r in personal_data(spark.createDataFrame(rows[:20], "doc_id long, text string")).collect()}
     assert "general" not in few[0]  # too few documents to tell
+
+
+def test_terms_far_from_the_entity(spark):
+    """Eight words away, and where the entity itself is not written."""
+    rows = [(i, f"Note {10 + i} Zorblat says one two three four five six seven by secret@mail.example.com") for i in range(3)]
+    rows += [(3, "Note of Zorblat ZORBLAT says é seven")]
+    rows += [(10 + i, f"Note {10 + i} Says one two three four five six seven by") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in personal_data(docs).collect()}
+    assert all(got[i] == "general:8:15,email:58:81" for i in range(3))
+    assert got[3] == "general:8:15,general:16:23" and not any(got[10 + i] for i in range(200))
+    assert {r.text for r in sanitised(docs).where("doc_id = 3").collect()} == {"Note of <name> <name> says é seven"}

@@ -1,16 +1,18 @@
 """Personal data and the terms that give it away.
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers by fixed patterns (:func:`base_spans`). Each
-distinct value is a protected entity. A term (a word, A-Z lower-cased) in the ``CONTEXT`` words on either side of an entity is measured by
+distinct value is a protected entity. Each term (a word outside base spans, A-Z lower-cased) of a document with an entity is measured by
 how much it tells about it: with document shares p, PMI(e, t) = log2(p(e, t) / (p(e) p(t))) against the entity's own
 information IC(e) = log2(1 / p(e)). Shares are taken as if one more document had the entity without the term and one
 more the term without the entity, which bounds PMI from below where counts are small: every pair is measured, those
-seen once too. A term that has PMI >= ``DISCLOSURE`` * IC discloses the entity. (``support`` asks for more contexts.) It is generalised to its class (number, capitalised word, other word)
-unless the class itself discloses the entity; then it is removed. Such terms are marked wherever they stand near that entity.
+seen once too. A term that has PMI >= ``DISCLOSURE`` * IC discloses the entity. (``support`` asks for more documents.) It is generalised to its class (number, capitalised word, other word)
+unless the class itself discloses the entity; then it is removed. Such terms are marked
+wherever they stand, also in documents without the entity.
 
-Counts cover all documents: contexts from those with base spans; p(t) from every document that has one of the terms
-seen often enough, which a bitmap of fixed size picks out before the shuffle. Contexts with the same words count
-once, so copies of a document do not support one another.
+Counts cover all documents: entities and pairs from those with base spans; p(t) from every document that has one of their
+terms, which a bitmap of fixed size picks out before the shuffle. PMI is at most log2(1 / p(t)), so terms of more documents
+than any entity allows are left out of the pairs. Equal texts count once in entities and pairs, so copies of a document do
+not support one another.
 
 Null text counts as empty; null ids are kept; repeated rows are judged alike. Offsets are code points, ends
 exclusive. Extra columns do not matter. An empty table gives an empty result.
@@ -21,6 +23,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,10 +32,9 @@ from trackside.llm.anchors import LAST_ID, keyed
 from trackside.llm.common import batch, may_contain, prepare, signed, stored, unused
 from trackside.llm.textscan import chunks, encoded, mix, scan_words
 
-CONTEXT = 6
 SUPPORT = 1
 DISCLOSURE = 0.8
-FILTER_BITS = 22
+FILTER_BITS = 26
 KINDS = ("email", "ip", "card", "phone", "general", "removed")
 CLASSES = ("<word>", "<name>", "<number>")
 
@@ -122,136 +124,175 @@ def class_key(n: int) -> int:
 CLASS_KEYS = [class_key(n) for n in range(len(CLASSES))]
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]], width: int) -> list[tuple]:
-    """(entity, context, term, class, start, stop) of the words around each base span."""
-    data = text.encode("utf-8", "surrogatepass")
-    words = scan_words([data], lower=True)
-    if not len(words.begin):
-        return []
-    raw = np.frombuffer(data, np.uint8)
+def free_words(texts: list[bytes], spans: list[list[tuple]]) -> tuple[np.ndarray, ...]:
+    """Text, hash, class, begin and end (code points) of each word outside its text's base spans."""
+    words = scan_words(texts, lower=True)
+    raw = np.frombuffer(b"\n".join(texts), np.uint8)
     points = np.zeros(len(raw) + 1, np.int64)
     np.cumsum((raw & 0xC0) != 0x80, out=points[1:])
-    begin, end = points[words.begin], points[words.end]
-    inside = np.zeros(len(text) + 1, np.int64)
-    for a, _, b in spans:
-        inside[a] += 1
-        inside[b] -= 1
-    touched = np.concatenate([[0], np.cumsum(np.cumsum(inside[:-1]) > 0)])
-    free = np.flatnonzero(touched[end] == touched[begin])  # words outside all base spans
+    at = np.zeros(len(texts), np.int64)
+    np.cumsum([len(t) + 1 for t in texts[:-1]], out=at[1:])
+    origin, begin, end, owner = points[at], points[words.begin], points[words.end], words.owner
     kind = word_classes(raw, words.begin)
-    names = [entity_of(k, text[a:b]).encode("utf-8", "surrogatepass") for a, k, b in spans]
-    entities = [int(signed(scan_words([n.replace(b" ", b"_")]).hashes)[0]) for n in names]
-    out = []
-    for (a, _, b), entity in zip(spans, entities):
-        left = free[: np.searchsorted(end[free], a, side="right")][-width:]
-        right = free[np.searchsorted(begin[free], b) :][:width]
-        near = np.concatenate([left, right])
-        if len(near):
-            around = int(signed(mix(np.cumsum(mix(words.hashes[near] * np.uint64(3)))[-1:]))[0])
-            hashes = signed(words.hashes[near])
-            out += [(entity, around, int(h), int(kind[i]), int(begin[i]), int(end[i])) for h, i in zip(hashes, near)]
-    return out
+    inside = np.zeros(points[-1] + 2, np.int64)
+    for i, found in enumerate(spans):
+        for a, _, b in found:
+            inside[origin[i] + a] += 1
+            inside[origin[i] + b] -= 1
+    touched = np.concatenate([[0], np.cumsum(np.cumsum(inside) > 0)])
+    free = touched[end] == touched[begin]
+    owner, begin, end = owner[free], begin[free], end[free]
+    return owner, words.hashes[free], kind[free], begin - origin[owner], end - origin[owner]
+
+
+def distinct_terms(owner: np.ndarray, hashes: np.ndarray, kind: np.ndarray, keep=slice(None)) -> tuple[np.ndarray, np.ndarray]:
+    """(text, term) once each, by text: the words in ``keep`` and the classes of all words."""
+    doc = np.concatenate([owner[keep], owner])
+    term = np.concatenate([signed(hashes[keep]), np.array(CLASS_KEYS, np.int64)[kind]])
+    order = np.lexsort((term, doc))
+    doc, term = doc[order], term[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (term[1:] != term[:-1])
+    return doc[new], term[new]
 
 
 SPAN = "struct<start:long,kind:int,stop:long>"
-NEAR = "struct<entity:long,around:long,term:long,class:int,start:long,stop:long>"
 
 
-def examined(rows: DataFrame, context: int) -> DataFrame:
-    """did, th, base spans and the words around them."""
+def examined(rows: DataFrame) -> DataFrame:
+    """did, th and base spans; of texts with base spans the entities and the terms, once each."""
 
     def run(batches):
-        near_type = pa.list_(pa.struct([(n, pa.int64()) for n in ("entity", "around", "term")] + [("class", pa.int32()), ("start", pa.int64()), ("stop", pa.int64())]))
         span_type = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("stop", pa.int64())]))
         for b in batches:
-            base, near = [], []
-            for text in b.column(2).to_pylist():
-                spans = base_spans(text)
-                base.append([dict(start=a, kind=k, stop=e) for a, k, e in spans])
-                found = contexts(text, spans, context) if spans else []
-                near.append([dict(zip(("entity", "around", "term", "class", "start", "stop"), x)) for x in found])
-            yield batch(did=b.column(0), th=b.column(1), base=pa.array(base, span_type), near=pa.array(near, near_type))
+            texts = b.column(2).to_pylist()
+            base = [base_spans(t) for t in texts]
+            held = [i for i, s in enumerate(base) if s]
+            entities, terms = [[] for _ in texts], [[] for _ in texts]
+            for i in held:
+                names = {entity_of(k, texts[i][a:e]).replace(" ", "_") for a, k, e in base[i]}
+                entities[i] = np.unique(signed(scan_words(encoded(names)).hashes))
+            raw = encoded(texts[i] for i in held)
+            for i, j in chunks(raw):
+                doc, term = distinct_terms(*free_words(raw[i:j], [base[k] for k in held[i:j]])[:3])
+                for k, part in zip(held[i:j], np.split(term, np.searchsorted(doc, np.arange(1, j - i)))):
+                    terms[k] = part
+            spans = [[dict(start=a, kind=k, stop=e) for a, k, e in s] for s in base]
+            long = pa.list_(pa.int64())
+            yield batch(
+                did=b.column(0), th=b.column(1), base=pa.array(spans, span_type), entities=pa.array(entities, long), terms=pa.array(terms, long)
+            )
+
+    return rows.mapInArrow(run, f"did long, th long, base array<{SPAN}>, entities array<long>, terms array<long>")
+
+
+def filter_of(terms: DataFrame):
+    """A function that is true for the hashes in ``terms``, and rarely for others: two cells each of a bitmap of
+    fixed size (FILTER_BITS). What passes by chance is dropped by the joins."""
+    cell = F.explode(F.array(F.shiftrightunsigned("term", 64 - FILTER_BITS), F.col("term").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))))
+    cells = terms.select(cell.alias("cell")).groupBy(F.shiftright("cell", 6).alias("at"))
+    bitmap = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    for r in cells.agg(F.bit_or(F.expr("shiftleft(1L, cast(cell & 63 as int))")).alias("bits")).toLocalIterator():
+        bitmap[r["at"]] = r["bits"]  # 2 ** (FILTER_BITS - 6) rows at most
+    shared = terms.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
+
+    def hit(hashes: np.ndarray) -> np.ndarray:
+        def bit(at):
+            return shared.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))
+
+        return bit(hashes >> np.uint64(64 - FILTER_BITS)) & bit(hashes & np.uint64((1 << FILTER_BITS) - 1)) & np.uint64(1) > 0
+
+    return hit
 
-    return rows.mapInArrow(run, f"did long, th long, base array<{SPAN}>, near array<{NEAR}>")
+
+def scanned(texts: list[str]):
+    """First text and free words of each chunk."""
+    raw = encoded(texts)
+    for i, j in chunks(raw):
+        yield i, free_words(raw[i:j], [base_spans(t) for t in texts[i:j]])
 
 
 def document_counts(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n_t): documents with each of ``terms`` (and with each class of words), over all rows."""
-    # A bitmap of fixed size (FILTER_BITS) stands for the terms; what passes by chance is dropped by the join.
-    cell = F.shiftrightunsigned(F.col("term"), 64 - FILTER_BITS)
-    words = terms.groupBy(F.shiftright(cell, 6).alias("at")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(term, %d) & 63 as int))" % (64 - FILTER_BITS))).alias("bits")
-    )
-    bitmap = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for r in words.toLocalIterator():  # 2 ** (FILTER_BITS - 6) rows at most
-        bitmap[r["at"]] = r["bits"]
-    shared = rows.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
+    """(term, n_t): documents with each of ``terms`` (and with each class of words), over all rows. Others may be among them."""
+    hit = filter_of(terms)
 
     def count(batches):
         for b in batches:
-            texts = encoded(b.column(0).to_pylist())
-            for i, j in chunks(texts):
-                part = texts[i:j]
-                words = scan_words(part, lower=True)
-                at = (words.hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-                hit = np.flatnonzero((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1))
-                owner = words.owner
-                kind = word_classes(np.frombuffer(b"\n".join(part), np.uint8), words.begin)
-                keys = np.array(CLASS_KEYS, np.int64)[kind]
-                pairs = np.stack([np.concatenate([owner[hit], owner]), np.concatenate([signed(words.hashes[hit]), keys])], 1)
-                if len(pairs):
-                    order = np.lexsort((pairs[:, 0], pairs[:, 1]))
-                    doc, term = pairs[order, 0], pairs[order, 1]
-                    new = np.concatenate([[True], (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])])
-                    term, n = np.unique(term[new], return_counts=True)
+            for _, (owner, hashes, kind, _, _) in scanned(b.column(0).to_pylist()):
+                term, n = np.unique(distinct_terms(owner, hashes, kind, hit(hashes))[1], return_counts=True)
+                if len(term):
                     yield batch(term=term, n=n)
 
-    counted = rows.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
-    return counted.join(terms, "term", "left_semi")
-
-
-def disclosing(near: DataFrame, rows: DataFrame, n_docs: int, support: int, disclosure: float) -> tuple[DataFrame, DataFrame]:
-    """(entity, term) and (entity, class_key): terms, and classes of words, that disclose an entity."""
-    seen = near.select("entity", "around", "term")
-    classes = near.select("entity", "around", F.array(*map(F.lit, CLASS_KEYS))[F.col("class")].alias("term"))
-    together = seen.unionByName(classes).distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et"))
-    together = stored(together.where(F.col("n_et") >= support), "together")
-    alone = near.select("entity", "around").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    counts = document_counts(rows, together.select("term").distinct())
-    total = float(n_docs)
-    measured = together.join(alone, "entity").join(counts, "term")
-    pmi = F.log2(F.lit(total + 2) * F.col("n_et") / ((F.col("n_e") + 1) * (F.col("n_t") + 1)))
-    own = F.log2(F.lit(total + 2) / (F.col("n_e") + 1))
-    over = measured.where(pmi >= disclosure * own).select("entity", "term")
+    return rows.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
+
+
+def disclosing(found: DataFrame, rows: DataFrame, n_docs: int, support: int, disclosure: float) -> DataFrame:
+    """(term, told): terms that disclose an entity; bit i of ``told`` is set if class i discloses one of the same entities."""
+    private = found.where(F.size("entities") > 0).select("th", "entities", "terms").dropDuplicates(["th"])
+    private = stored(private, "private")
+    seen = private.select("th", F.explode("entities").alias("entity"))
+    alone = seen.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"), F.bit_xor(F.xxhash64("th")).alias("where"))
+    # Entities that stand in the same documents have the same terms: one group.
+    groups = seen.join(alone, "entity").select("th", F.xxhash64("n_e", "where").alias("group"), "n_e").distinct()
+    groups = stored(groups, "groups")
+
+    total = F.lit(n_docs + 2.0)
+    own = F.log2(total / (F.col("n_e") + 1))
+    # n_et is at most n_e, so terms of more documents than this disclose nothing.
+    most = total * F.col("n_e") / (F.col("n_e") + 1) / F.pow(F.lit(2.0), disclosure * own) * (1 + 1e-9) - 1
+    limit = groups.agg(F.max(most)).first()[0] or 0.0
+    counts = document_counts(rows, private.select(F.explode("terms").alias("term")).distinct())
+    counts = stored(counts.where(F.col("n_t") <= limit), "counts")
+    rare = filter_of(counts)
+    passes = F.pandas_udf(lambda term: pd.Series(rare(term.to_numpy(np.int64).view(np.uint64))), "boolean")
+    terms = private.select("th", F.explode("terms").alias("term")).where(passes("term"))
+    pairs = terms.join(counts, "term").join(groups, "th").where(F.col("n_t") <= most)
+    together = pairs.groupBy("group", "n_e", "term", "n_t").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= support)
+    pmi = F.log2(total * F.col("n_et") / ((F.col("n_e") + 1) * (F.col("n_t") + 1)))
+    over = stored(together.where(pmi >= disclosure * own).select("group", "term"), "over")
     is_class = F.col("term").isin(CLASS_KEYS)
-    return over.where(~is_class), over.where(is_class).withColumnRenamed("term", "class_key")
+    bit = F.lit(0)
+    for i, key in enumerate(CLASS_KEYS):
+        bit = F.when(F.col("term") == key, 1 << i).otherwise(bit)
+    told = over.where(is_class).groupBy("group").agg(F.bit_or(bit).alias("told"))
+    words = over.where(~is_class).join(told, "group", "left")
+    return stored(words.groupBy("term").agg(F.bit_or(F.coalesce("told", F.lit(0))).alias("told")), "disclosing")
+
+
+def marked(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """did, th and more: spans of disclosing terms, wherever they stand."""
+    hit = filter_of(terms)
+
+    def run(batches):
+        for b in batches:
+            did, th = (np.asarray(b.column(i), np.int64) for i in (0, 1))
+            for i, (owner, hashes, kind, begin, end) in scanned(b.column(2).to_pylist()):
+                at = np.flatnonzero(hit(hashes))
+                doc = i + owner[at]
+                if len(at):
+                    yield batch(did=did[doc], th=th[doc], term=signed(hashes[at]), sort=kind[at].astype(np.int32), start=begin[at], stop=end[at])
+
+    places = rows.mapInArrow(run, "did long, th long, term long, sort int, start long, stop long").join(terms, "term")
+    kind = F.when(F.expr("shiftright(told, sort) & 1") == 1, KINDS.index("removed")).otherwise(KINDS.index("general"))
+    # A set, as rows may be repeated.
+    return places.groupBy("did", "th").agg(F.collect_set(F.struct("start", kind.alias("kind"), "stop")).alias("more"))
 
 
 def personal_spans(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    context: int = CONTEXT,
     support: int = SUPPORT,
     disclosure: float = DISCLOSURE,
 ) -> DataFrame:
     """did, th, base and spans (arrays of start, kind, stop; kinds index ``KINDS``) for every row."""
     prepare(docs.sparkSession)
     rows = keyed(docs, id_col, text_col)
-    found = stored(examined(rows, context), "personal")
-    near = found.select("did", "th", F.explode("near").alias("near")).select("did", "th", "near.*")
-    terms, classes = disclosing(near, rows, found.count(), support, disclosure)
-    class_key = F.array(*map(F.lit, CLASS_KEYS))[F.col("class")]
-    marked = (
-        near.join(terms, ["entity", "term"])
-        .withColumn("class_key", class_key)
-        .join(classes.withColumn("told", F.lit(True)), ["entity", "class_key"], "left")
-        .withColumn("kind", F.when(F.col("told"), KINDS.index("removed")).otherwise(KINDS.index("general")))
-        .groupBy("did", "th", "start", "stop").agg(F.max("kind").alias("kind"))
-        .groupBy("did", "th").agg(F.collect_list(F.struct("start", "kind", "stop")).alias("more"))
-    )
+    found = stored(examined(rows), "personal")
+    terms = disclosing(found, rows, found.count(), support, disclosure)
+    found = found.select("did", "th", "base").join(marked(rows, terms), ["did", "th"], "left")
     spans = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(f"array<{SPAN}>"))))
-    return found.drop("near").join(marked, ["did", "th"], "left").select("did", "th", "base", spans.alias("spans"))
+    return found.select("did", "th", "base", spans.alias("spans"))
 
 
 def listed(spans: Column) -> Column:
