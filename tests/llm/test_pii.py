@@ -93,7 +93,7 @@ def test_disclosing_terms(spark):
 def test_entity_of_one_document(spark):
     """Most entities are written once: their terms are measured too, from below."""
     rows = [(0, "Note says Zorblat writes from secret@mail.example.com on and rest")]
-    rows += [(1 + i, f"Note says writes from on and rest number {i}") for i in range(200)]
+    rows += [(1 + i, f"Note says writes from on and rest number {i}") for i in range(1000)]
     got = {r.doc_id: r.spans for r in personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[0] == "general:10:17,email:30:53"
     assert set(got.values()) == {got[0], ""}
@@ -111,3 +111,15 @@ def test_terms_far_from_the_entity(spark):
     assert all(got[i] == "general:8:15,email:58:81" for i in range(3))
     assert got[3] == "general:8:15,general:16:23" and not any(got[10 + i] for i in range(200))
     assert {r.text for r in sanitised(docs).where("doc_id = 3").collect()} == {"Note of <name> <name> says é seven"}
+
+
+def test_copies_hide_nothing(spark):
+    """Copies of one of the entity's documents change no other row."""
+    rows = [(i, f"Note {10 + i} Zorblat says one by secret@mail.example.com") for i in range(3)]
+    rows += [(10 + i, f"Note {10 + i} Says one by") for i in range(200)]
+    copies = [(1000 + i, rows[0][1]) for i in range(1000)]
+    got = {r.doc_id: r.spans for r in personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == "general:8:15,email:28:51"
+    more = personal_data(spark.createDataFrame(rows + copies, "doc_id long, text string").repartition(5)).collect()
+    assert len(more) == len(rows) + 1000
+    assert {r.doc_id: r.spans for r in more} == got | {i: got[0] for i, _ in copies}

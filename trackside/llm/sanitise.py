@@ -1,18 +1,18 @@
 """Personal data and the terms that give it away.
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers by fixed patterns (:func:`base_spans`). Each
-distinct value is a protected entity. Each term (a word outside base spans, A-Z lower-cased) of a document with an entity is measured by
-how much it tells about it: with document shares p, PMI(e, t) = log2(p(e, t) / (p(e) p(t))) against the entity's own
-information IC(e) = log2(1 / p(e)). Shares are taken as if one more document had the entity without the term and one
-more the term without the entity, which bounds PMI from below where counts are small: every pair is measured, those
-seen once too. A term that has PMI >= ``DISCLOSURE`` * IC discloses the entity. (``support`` asks for more documents.) It is generalised to its class (number, capitalised word, other word)
-unless the class itself discloses the entity; then it is removed. Such terms are marked
-wherever they stand, also in documents without the entity.
+distinct value is a protected entity. Each term (a word outside base spans, A-Z lower-cased) of a document with an
+entity is measured by how much it tells about it: with document shares p, PMI(e, t) = log2(p(e, t) / (p(e) p(t))) against
+the entity's own information IC(e) = log2(1 / p(e)). Shares are taken as if ``UNSEEN`` more documents had the entity
+without the term and as many the term without the entity, which bounds PMI from below where counts are small: every
+pair is measured, those seen once too (``support`` can ask for more documents). A term that has PMI >= ``DISCLOSURE`` * IC
+discloses the entity. It is generalised to its class (number, capitalised word, other word) unless the class itself
+discloses the entity; then it is removed. Such terms are marked wherever they stand, also in documents without the entity.
 
 Counts cover all documents: entities and pairs from those with base spans; p(t) from every document that has one of their
 terms, which a bitmap of fixed size picks out before the shuffle. PMI is at most log2(1 / p(t)), so terms of more documents
-than any entity allows are left out of the pairs. Equal texts count once in entities and pairs, so copies of a document do
-not support one another.
+than any entity allows are left out of the pairs. All counts are of different texts, so copies of a document neither
+support one another nor make their terms look common.
 
 Null text counts as empty; null ids are kept; repeated rows are judged alike. Offsets are code points, ends
 exclusive. Extra columns do not matter. An empty table gives an empty result.
@@ -33,6 +33,7 @@ from trackside.llm.common import batch, may_contain, prepare, signed, stored, un
 from trackside.llm.textscan import chunks, encoded, mix, scan_words
 
 SUPPORT = 1
+UNSEEN = 2
 DISCLOSURE = 0.8
 FILTER_BITS = 26
 KINDS = ("email", "ip", "card", "phone", "general", "removed")
@@ -213,7 +214,7 @@ def scanned(texts: list[str]):
 
 
 def document_counts(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n_t): documents with each of ``terms`` (and with each class of words), over all rows. Others may be among them."""
+    """(term, n_t): texts with each of ``terms`` (and with each class of words), over all rows. Others may be among them."""
     hit = filter_of(terms)
 
     def count(batches):
@@ -226,6 +227,14 @@ def document_counts(rows: DataFrame, terms: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
+def one_per_text(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """text of ``rows``, equal texts once. Only those that are, or may be, repeated are shuffled."""
+    repeated = stored(found.groupBy("th").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("th"), "repeated")
+    hit = may_contain(repeated)("th")
+    once = rows.where(hit).select("th", "text").dropDuplicates(["th"])
+    return rows.where(~hit).select("text").unionByName(once.select("text"))
+
+
 def disclosing(found: DataFrame, rows: DataFrame, n_docs: int, support: int, disclosure: float) -> DataFrame:
     """(term, told): terms that disclose an entity; bit i of ``told`` is set if class i discloses one of the same entities."""
     private = found.where(F.size("entities") > 0).select("th", "entities", "terms").dropDuplicates(["th"])
@@ -236,10 +245,10 @@ def disclosing(found: DataFrame, rows: DataFrame, n_docs: int, support: int, dis
     groups = seen.join(alone, "entity").select("th", F.xxhash64("n_e", "where").alias("group"), "n_e").distinct()
     groups = stored(groups, "groups")
 
-    total = F.lit(n_docs + 2.0)
-    own = F.log2(total / (F.col("n_e") + 1))
+    total = F.lit(n_docs + 2.0 * UNSEEN)
+    own = F.log2(total / (F.col("n_e") + UNSEEN))
     # n_et is at most n_e, so terms of more documents than this disclose nothing.
-    most = total * F.col("n_e") / (F.col("n_e") + 1) / F.pow(F.lit(2.0), disclosure * own) * (1 + 1e-9) - 1
+    most = total * F.col("n_e") / (F.col("n_e") + UNSEEN) / F.pow(F.lit(2.0), disclosure * own) * (1 + 1e-9) - UNSEEN
     limit = groups.agg(F.max(most)).first()[0] or 0.0
     counts = document_counts(rows, private.select(F.explode("terms").alias("term")).distinct())
     counts = stored(counts.where(F.col("n_t") <= limit), "counts")
@@ -248,7 +257,7 @@ def disclosing(found: DataFrame, rows: DataFrame, n_docs: int, support: int, dis
     terms = private.select("th", F.explode("terms").alias("term")).where(passes("term"))
     pairs = terms.join(counts, "term").join(groups, "th").where(F.col("n_t") <= most)
     together = pairs.groupBy("group", "n_e", "term", "n_t").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= support)
-    pmi = F.log2(total * F.col("n_et") / ((F.col("n_e") + 1) * (F.col("n_t") + 1)))
+    pmi = F.log2(total * F.col("n_et") / ((F.col("n_e") + UNSEEN) * (F.col("n_t") + UNSEEN)))
     over = stored(together.where(pmi >= disclosure * own).select("group", "term"), "over")
     is_class = F.col("term").isin(CLASS_KEYS)
     bit = F.lit(0)
@@ -289,7 +298,8 @@ def personal_spans(
     prepare(docs.sparkSession)
     rows = keyed(docs, id_col, text_col)
     found = stored(examined(rows), "personal")
-    terms = disclosing(found, rows, found.count(), support, disclosure)
+    texts = found.select("th").distinct().count()
+    terms = disclosing(found, one_per_text(rows, found), texts, support, disclosure)
     found = found.select("did", "th", "base").join(marked(rows, terms), ["did", "th"], "left")
     spans = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(f"array<{SPAN}>"))))
     return found.select("did", "th", "base", spans.alias("spans"))
