@@ -130,3 +130,18 @@ def test_traversal_finds_every_link(words):
     for i, j in joined_block(sets, np.arange(len(sets)), 0, 85):
         assert (min(i, j), max(i, j)) in want
         neighbours[i].add(j)
+
+
+def test_rows_without_ids_or_with_one_id(spark, words):
+    """Links are between texts: rows without an id, or under one id, are neither linked by it nor kept apart."""
+    rnd = random.Random(12)
+    text = [" ".join(rnd.choices(words, k=60)) for _ in range(8)]
+    near = [t + " tail" for t in text]
+    rows = [(1, text[0]), (None, near[0]), (None, text[1]), (None, text[2]), (None, text[3]), (None, near[3])]
+    rows += [(2, text[4]), (9, near[4]), (9, text[5]), (8, text[6]), (8, near[6])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.text for r in one_of_each(docs).collect()}
+    assert {text[0], text[1], text[2], text[4], text[5]} <= got and not {near[0], near[4]} & got
+    assert len(got & {text[3], near[3]}) == 1 and len(got & {text[6], near[6]}) == 1 and len(got) == 7
+    found = sorted((r.doc_id or 0, r.component_id or 0) for r in near_duplicates(docs, shingle=5, threshold=80).collect())
+    assert found == sorted([(1, 1), (0, 1)] + [(0, 0)] * 4 + [(2, 2), (9, 2), (9, 9), (8, 8), (8, 8)])

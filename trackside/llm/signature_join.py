@@ -419,15 +419,16 @@ def near_duplicates(
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: int = 80) -> DataFrame:
     """``docs`` with one row of each group of near duplicates, that of the smallest id, columns as they are."""
-    found = stored(classified(docs, id_col, text_col, shingle, threshold, BLOCK_SHINGLES).select("did", "th", "component"), "kinds")
+    found = stored(classified(docs, id_col, text_col, shingle, threshold, BLOCK_SHINGLES).drop("n"), "kinds")
     # Only rows that may go, or may be repeated, are shuffled with their texts.
-    counted = found.groupBy("did", "th").agg(F.min("component").alias("component"), F.count(F.lit(1)).alias("n"))
-    unsure = stored(counted.where((F.col("component") != F.col("did")) | (F.col("n") > 1)), "unsure")
+    other = (F.col("component") != F.col("did")) | (F.col("first_th") != F.col("th"))
+    counted = found.groupBy("did", "th").agg(F.max(other).alias("goes"), F.count(F.lit(1)).alias("n"))
+    unsure = stored(counted.where(F.col("goes") | (F.col("n") > 1)), "unsure")
     did, th, nth = unused(docs, "did", "th", "nth")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.withColumn(did, F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))).withColumn(th, F.xxhash64(text))
     hit = may_contain(unsure.select("did"))(did)
-    goes = unsure.where(F.col("component") != F.col("did")).select(F.col("did").alias(did), F.col("th").alias(th))
+    goes = unsure.where("goes").select(F.col("did").alias(did), F.col("th").alias(th))
     left = rows.where(hit).join(goes.hint("shuffle_hash"), [did, th], "left_anti")
     left = left.withColumn(nth, F.row_number().over(Window.partitionBy(did, th).orderBy(did))).where(F.col(nth) == 1)
     return rows.where(~hit).select(*docs.columns).unionByName(left.select(*docs.columns))
@@ -436,7 +437,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def classified(
     docs: DataFrame, id_col: str, text_col: str, shingle: int, threshold: int, block_shingles: int
 ) -> DataFrame:
-    """did, th, n and component of every row."""
+    """did, th, n, component and first_th of every row. Links are between sets of shingles, whatever the ids of their rows;
+    a component's row of the smallest (did, th) gives component and first_th."""
     prepare(docs.sparkSession)
     rows = keyed(docs, id_col, text_col)
 
@@ -453,7 +455,7 @@ def classified(
 
     info = stored(rows.mapInArrow(describe, "did long, th long, n long, h1 long, h2 long"), "sets")
     classes = info.where("n > 0").groupBy("h1", "h2", "n").agg(F.min(F.struct("did", "th")).alias("rep"))
-    classes = stored(few(classes).select("h1", "h2", "n", "rep.did", "rep.th"), "classes")
+    classes = stored(few(classes).select("h1", "h2", "n", F.xxhash64("h1", "h2", "n").alias("set"), "rep.did", "rep.th"), "classes")
     blocks = components(candidate_edges(rows, shingle, threshold), "blocks")
 
     in_block = F.col("h1").bitwiseAND(F.lit(-2)) == F.col("node")
@@ -471,7 +473,7 @@ def classified(
     members = stored(few(members), "in-blocks")
     members = stored(
         rows.where(may_contain(members.select("did"))("did")).join(members, ["did", "th"]).select(
-            "block", "bin", "part", "did", "n", (F.col("all_n") > block_shingles).alias("large"), "text"
+            "block", "bin", "part", F.col("set").alias("did"), "n", (F.col("all_n") > block_shingles).alias("large"), "text"
         ),
         "members",
     ).withColumn("side", F.lit(0))
@@ -480,10 +482,14 @@ def classified(
     large = members.where("large")
     if large.limit(1).count():
         links = links.unionByName(large_blocks(large, links, shingle, threshold, block_shingles))
-    final = components(links, "linked").select(F.col("node").alias("did"), "component")
-    by_class = few(classes.join(final, "did", "left")).select("h1", "h2", "n", F.coalesce("component", "did").alias("component"))
+    final = components(links, "linked").select(F.col("node").alias("set"), "component")
+    by_class = classes.join(final, "set", "left").withColumn("component", F.coalesce("component", "set"))
+    by_class = stored(few(by_class.select("h1", "h2", "n", "did", "th", "component")), "by-class")
+    smallest = by_class.groupBy("component").agg(F.min(F.struct("did", "th")).alias("first"))
+    by_class = few(by_class.select("h1", "h2", "n", "component").join(smallest, "component")).select("h1", "h2", "n", "first")
     out = info.join(by_class, ["h1", "h2", "n"], "left")
-    return out.select("did", "th", "n", F.coalesce("component", "did").alias("component"))
+    first = F.coalesce("first", F.struct("did", "th"))
+    return out.select("did", "th", "n", first["did"].alias("component"), first["th"].alias("first_th"))
 
 
 def large_blocks(large: DataFrame, links: DataFrame, shingle: int, threshold: int, block_shingles: int) -> DataFrame:
