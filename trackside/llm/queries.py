@@ -11,6 +11,7 @@ from trackside.llm.common import prepare
 from trackside.llm.imatch import fingerprinted
 from trackside.llm.nbsvm import quality
 from trackside.llm.packing import packed
+from trackside.llm.pieces import digests, in_pieces
 from trackside.llm.rabitq import EVERY, search
 from trackside.llm.sanitise import personal_data
 from trackside.llm.signature_join import near_duplicates
@@ -158,3 +159,8 @@ FROM s QUALIFY rank <= 20
 @query(SEARCH_ORACLE)
 def op1_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), F.col("id") % EVERY == 0)
+
+
+@query()
+def op13_aligned_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(in_pieces(table(spark, sf_dir, "documents")))
