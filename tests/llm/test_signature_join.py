@@ -74,10 +74,11 @@ def test_one_stays(spark, near, odd):
     docs = spark.createDataFrame(near, "doc_id long, text string")
     want = {i for i, (_, c) in brute(near, 80, 5).items() if i == c}
     assert {r.doc_id for r in one_of_each(docs).collect()} == want
-    kept = one_of_each(odd)
+    twice = spark.createDataFrame([row(70, "a text that nobody else has at all")] * 2, SCHEMA)
+    kept = one_of_each(odd.unionByName(twice))
     assert kept.columns == odd.columns
-    assert kept.where("doc_id = 40").count() == 1
-    assert kept.where("doc_id in (30, 31, 32)").count() == 0
+    assert kept.where("doc_id = 70").count() == 1
+    assert kept.where("doc_id in (30, 31, 32, 40)").count() == 0  # texts of smaller ids
 
 
 def test_nothing(nothing):

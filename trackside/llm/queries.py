@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackside.llm.common import prepare
+from trackside.llm.hard_negatives import EVERY as EVERY_ANCHOR
+from trackside.llm.hard_negatives import mined
 from trackside.llm.imatch import fingerprinted
 from trackside.llm.nbsvm import quality
 from trackside.llm.packing import packed
@@ -164,3 +166,30 @@ def op1_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op13_aligned_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(in_pieces(table(spark, sf_dir, "documents")))
+
+
+NEGATIVES_ORACLE = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_dot_product(a.e, c.e)::BIGINT AS score
+  FROM v a JOIN v c ON a.vec_id % 50 = 0 AND c.vec_id <> a.vec_id
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INT AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+
+@query(NEGATIVES_ORACLE)
+def op12_threshold_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mined(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("id") % EVERY_ANCHOR == 0)
