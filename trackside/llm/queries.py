@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackside.llm.audit_repair import repaired
 from trackside.llm.common import prepare
 from trackside.llm.hard_negatives import EVERY as EVERY_ANCHOR
 from trackside.llm.hard_negatives import mined
@@ -193,3 +194,86 @@ QUALIFY rank <= 3
 def op12_threshold_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return mined(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("id") % EVERY_ANCHOR == 0)
+
+
+REPAIR_ORACLE = r"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key
+  FROM conversations
+), h AS (
+  SELECT *, xor(list_reduce(
+    -- CRC-32 bit by bit: after each byte of the key eight shifts
+    list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length(key) + 1),
+      lambda i: list_prepend(ascii(key[i])::BIGINT, list_transform(range(8), lambda j: -1::BIGINT))))),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295) % 20 AS damage
+  FROM k
+), d AS (
+  SELECT conv_id, turn, CASE WHEN damage = 4 THEN 'user' ELSE role END AS role,
+    CASE damage WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE WHEN damage = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM h WHERE damage <> 0
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i FROM d
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+    lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS pair
+  FROM o
+), r AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN again THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault
+  FROM n
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+    count_if(fault = 'blank')::BIGINT AS blank, count_if(fault = 'duplicate')::BIGINT AS duplicate,
+    count_if(fault = 'truncated')::BIGINT AS truncated, count_if(pair NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal, max(i) AS last
+  FROM r GROUP BY conv_id
+), ins(s, t, a, c, l) AS (
+  VALUES (0, 0, '', 0, []), (0, 2, 'I', 2, ['user:']), (0, 3, 'II', 4, ['user:', 'assistant:']),
+    (1, 1, '', 0, []), (1, 2, 'I', 2, ['user:']), (1, 3, 'II', 4, ['user:', 'assistant:']),
+    (2, 2, '', 0, []), (2, 3, 'I', 2, ['assistant:']), (3, 3, '', 0, []), (3, 2, 'I', 2, ['user:'])
+), act(t, e, to_s, initial, role, c) AS (
+  VALUES (0, 'D', 0, NULL, NULL, 3), (1, 'D', 1, NULL, NULL, 3), (2, 'D', 2, NULL, NULL, 3), (3, 'D', 3, NULL, NULL, 3),
+    (0, 'K', 1, 's', NULL, 0), (0, 'K', 2, 'u', NULL, 0), (1, 'K', 2, 'u', NULL, 0), (2, 'K', 3, 'a', NULL, 0), (3, 'K', 2, 'u', NULL, 0),
+    (0, 'R', 2, NULL, 'user', 2), (1, 'R', 2, NULL, 'user', 2), (2, 'R', 3, NULL, 'assistant', 2), (3, 'R', 2, NULL, 'user', 2)
+), best AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS s, {'c': 0::BIGINT, 'a': '', 'l': []::VARCHAR[]} AS b FROM counted
+  UNION ALL
+  SELECT best.conv_id, r.i, act.to_s, min({
+    'c': (b.c + ins.c + act.c + CASE WHEN fault = 'truncated' AND e <> 'D' THEN 1 ELSE 0 END)::BIGINT,
+    'a': b.a || ins.a || e,
+    'l': list_concat(b.l, ins.l, CASE e WHEN 'D' THEN [] WHEN 'K' THEN [r.role || ':' || r.text] ELSE [act.role || ':' || r.text] END)})
+  FROM best JOIN r ON r.conv_id IS NOT DISTINCT FROM best.conv_id AND r.i = best.i + 1
+    JOIN ins ON ins.s = best.s JOIN act ON act.t = ins.t
+  WHERE (e = 'D' OR fault NOT IN ('blank', 'duplicate')) AND (initial IS NULL OR initial = r.role[1])
+  GROUP BY best.conv_id, r.i, act.to_s
+), ended AS (
+  SELECT best.conv_id, min({'c': (b.c + ins.c)::BIGINT, 'a': b.a || ins.a, 'l': list_concat(b.l, ins.l)}) AS b
+  FROM best JOIN counted ON counted.conv_id IS NOT DISTINCT FROM best.conv_id AND best.i = last
+    JOIN ins ON ins.s = best.s AND ins.t IN (0, 3)
+  GROUP BY best.conv_id
+)
+SELECT ids.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(b.c, 0)::BIGINT AS cost,
+  coalesce(b.a, '') AS audit, sha256(coalesce(array_to_string(b.l, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) ids
+  LEFT JOIN counted ON counted.conv_id IS NOT DISTINCT FROM ids.conv_id
+  LEFT JOIN ended ON ended.conv_id IS NOT DISTINCT FROM ids.conv_id
+"""
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Rows of conversations as the contract spoils them; null values are one space."""
+    either = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    rows = turns.withColumn("damage", F.crc32(F.concat_ws(":", either("conv_id"), either("turn")).cast("binary")) % 20)
+    rows = rows.where("damage <> 0").withColumns({"role": either("role"), "text": either("text")})
+    text = F.when(F.col("damage") == 1, "").when(F.col("damage") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    rows = rows.withColumns({"text": text, "role": F.when(F.col("damage") == 4, "user").otherwise(F.col("role"))})
+    copies = F.array_repeat(F.lit(0), F.when(F.col("damage") == 3, 2).otherwise(1))
+    return rows.select("conv_id", "turn", "role", "text", F.explode(copies).alias("copy")).drop("copy")
+
+
+@query(REPAIR_ORACLE)
+def op11_audit_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return repaired(damaged(turns), turns.select("conv_id"))
