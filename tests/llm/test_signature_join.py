@@ -74,7 +74,7 @@ def test_one_stays(spark, near, odd):
     docs = spark.createDataFrame(near, "doc_id long, text string")
     want = {i for i, (_, c) in brute(near, 80, 5).items() if i == c}
     assert {r.doc_id for r in one_of_each(docs).collect()} == want
-    twice = spark.createDataFrame([row(70, "a text that nobody else has at all")] * 2, SCHEMA)
+    twice = spark.createDataFrame([(70, "a text that nobody else has at all", "en", "a", 7, 0.5, 3, "x", 1, "y")] * 2, odd.schema)
     kept = one_of_each(odd.unionByName(twice))
     assert kept.columns == odd.columns
     assert kept.where("doc_id = 70").count() == 1
