@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -14,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackside.llm.textscan import forget
+
 # Texts can be long: few rows a batch keep a Python worker's memory small.
 ARROW_ROWS = "512"
 
@@ -73,6 +77,28 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def slim() -> None:
+    """Give memory back to the system: idle workers stay beside their executor for a while."""
+    forget()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def in_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` whose worker is slim again when a partition ends."""
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            slim()
+
+    return df.mapInArrow(run, schema)
+
+
 def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``fn`` for each Arrow batch."""
 
@@ -81,7 +107,7 @@ def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBat
             if batch.num_rows:
                 yield from fn(batch)
 
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema)
 
 
 def batch(**columns) -> pa.RecordBatch:

@@ -15,6 +15,7 @@ one, repeats alike. If one class has no training row, the score is the share of
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackside.llm.common import batch, prepare
+from trackside.llm.common import batch, in_arrow, prepare, slim
 from trackside.llm.textscan import byte_weights, chunks, encoded, gram_hashes, scan_words
 
 BITS = 18
@@ -171,9 +172,9 @@ def class_counts(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if now is not None:
             yield batch(block=pa.array([now], pa.int32()), counts=[total.tobytes()])
 
-    parts = labelled.mapInArrow(count, "block int, counts binary").repartition("block").sortWithinPartitions("block")
+    parts = in_arrow(labelled, count, "block int, counts binary").repartition("block").sortWithinPartitions("block")
     counts, rows = np.zeros((2, FEATURES), np.int64), np.zeros(2, np.int64)
-    for r in parts.mapInArrow(add, "block int, counts binary").collect():  # FEATURES / BLOCK + 1 rows at most
+    for r in in_arrow(parts, add, "block int, counts binary").collect():  # FEATURES / BLOCK + 1 rows at most
         got = np.frombuffer(r.counts, np.int64)
         if r.block < 0:
             rows = got
@@ -234,8 +235,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     # Of bounded size: at most 2 * SAMPLE_PER_CLASS ids are broadcast, and their rows meet in one task.
     picked = texts.join(F.broadcast(sample), "did").select("did", "text", "label")
-    picked = picked.mapInArrow(represent, "did long, label int, columns binary").repartition(1)
-    made = picked.mapInArrow(learn, "weights binary, slope double, shift double").first()
+    picked = in_arrow(picked, represent, "did long, label int, columns binary").repartition(1)
+    made = in_arrow(picked, learn, "weights binary, slope double, shift double").first()
     if made is None:
         return Model(np.zeros(FEATURES, np.float32), np.zeros(FEATURES, np.float32), 0.0, 0.0, 0.0)
     w = np.frombuffer(made.weights)
@@ -250,8 +251,12 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.scores(encoded(texts)))
+    def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        try:
+            for texts in parts:
+                yield pd.Series(shared.value.scores(encoded(texts)))
+        finally:
+            slim()
 
     return docs.withColumn(score_col, scored(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
 

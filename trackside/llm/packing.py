@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackside.llm.common import batch, prepare, stored
+from trackside.llm.common import batch, in_arrow, prepare, stored
 
 LENGTH = 2048
 END_ID = 1
@@ -169,7 +169,7 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, source_col: str, toke
                 n=pa.array(n, pa.int64()), ids=pa.array(ids, pa.binary()),
             )
 
-    return stored(rows.mapInArrow(run, "did long, queue string, part int, at long, n long, ids binary"), "tokens")
+    return stored(in_arrow(rows, run, "did long, queue string, part int, at long, n long, ids binary"), "tokens")
 
 
 def packed(
@@ -212,7 +212,8 @@ def packed(
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
     placed = tokens.join(parts, ["queue", "part"]).select("did", "queue", (F.col("at") + F.col("before")).alias("at"), "n", "ids")
-    return placed.mapInArrow(
+    return in_arrow(
+        placed,
         cut,
         f"`{id_col}` long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string",
     )

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackside.llm.anchors import LAST_ID, keyed
-from trackside.llm.common import batch, may_contain, prepare, signed, stored, unused
+from trackside.llm.common import batch, in_arrow, may_contain, prepare, signed, stored, unused
 from trackside.llm.textscan import chunks, encoded, mix, scan_words
 
 SUPPORT = 1
@@ -184,7 +184,7 @@ def examined(rows: DataFrame) -> DataFrame:
                 did=b.column(0), th=b.column(1), base=pa.array(spans, span_type), entities=pa.array(entities, long), terms=pa.array(terms, long)
             )
 
-    return rows.mapInArrow(run, f"did long, th long, base array<{SPAN}>, entities array<long>, terms array<long>")
+    return in_arrow(rows, run, f"did long, th long, base array<{SPAN}>, entities array<long>, terms array<long>")
 
 
 def filter_of(terms: DataFrame):
@@ -224,7 +224,7 @@ def document_counts(rows: DataFrame, terms: DataFrame) -> DataFrame:
                 if len(term):
                     yield batch(term=term, n=n)
 
-    return rows.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
+    return in_arrow(rows.select("text"), count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
 def one_per_text(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -281,7 +281,7 @@ def marked(rows: DataFrame, terms: DataFrame) -> DataFrame:
                 if len(at):
                     yield batch(did=did[doc], th=th[doc], term=signed(hashes[at]), sort=kind[at].astype(np.int32), start=begin[at], stop=end[at])
 
-    places = rows.mapInArrow(run, "did long, th long, term long, sort int, start long, stop long").join(terms, "term")
+    places = in_arrow(rows, run, "did long, th long, term long, sort int, start long, stop long").join(terms, "term")
     kind = F.when(F.expr("shiftright(told, sort) & 1") == 1, KINDS.index("removed")).otherwise(KINDS.index("general"))
     # A set, as rows may be repeated.
     return places.groupBy("did", "th").agg(F.collect_set(F.struct("start", kind.alias("kind"), "stop")).alias("more"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackside.llm.anchors import LAST_ID, keyed, spread
-from trackside.llm.common import batch, components, few, may_contain, prepare, signed, stored, unsigned, unused
+from trackside.llm.common import batch, components, few, in_arrow, may_contain, prepare, signed, stored, unsigned, unused
 from trackside.llm.textscan import chunks, encoded, gram_hashes, mix, scan_words
 
 SHINGLE = 4
@@ -215,8 +215,8 @@ def candidate_edges(rows: DataFrame, shingle: int, threshold: int) -> DataFrame:
             new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
             yield batch(a=signed(a[new]), b=signed(b[new]), worth=np.add.reduceat(w, new))
 
-    sent = rows.select("text").mapInArrow(keys, "slot long, key long, node long")
-    shared = stored(sent.repartition("slot").mapInArrow(counted, "a long, b long, worth double"), "keys")
+    sent = in_arrow(rows.select("text"), keys, "slot long, key long, node long")
+    shared = stored(in_arrow(sent.repartition("slot"), counted, "a long, b long, worth double"), "keys")
     pairs = shared.where("worth > 0").groupBy("a", "b").agg(F.sum("worth").alias("worth"))
     pairs = few(pairs.where("worth > 0.999999").select("a", "b"))
     frequent = few(shared.where("worth = 0").select(F.col("a").alias("key"), F.col("b").alias("node")).distinct())
@@ -399,7 +399,7 @@ def block_links(members: DataFrame, by: list[str], shingle: int, threshold: int)
             yield from solve(held)
 
     dealt = members.select("did", "side", "comp", "n", "text", *by).repartition(*by).sortWithinPartitions(*by)
-    return dealt.mapInArrow(run, "a long, b long")
+    return in_arrow(dealt, run, "a long, b long")
 
 
 def near_duplicates(
@@ -453,7 +453,7 @@ def classified(
                     did=b.column(0)[part], th=b.column(1)[part], n=pa.array(sizes, pa.int64()), h1=signed(h1), h2=signed(h2)
                 )
 
-    info = stored(rows.mapInArrow(describe, "did long, th long, n long, h1 long, h2 long"), "sets")
+    info = stored(in_arrow(rows, describe, "did long, th long, n long, h1 long, h2 long"), "sets")
     classes = info.where("n > 0").groupBy("h1", "h2", "n").agg(F.min(F.struct("did", "th")).alias("rep"))
     classes = stored(few(classes).select("h1", "h2", "n", F.xxhash64("h1", "h2", "n").alias("set"), "rep.did", "rep.th"), "classes")
     blocks = components(candidate_edges(rows, shingle, threshold), "blocks")

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-CHUNK_BYTES = 2 << 20  # texts are scanned in chunks of about this size; a longer text is a chunk of its own
+CHUNK_BYTES = 512 << 10  # texts are scanned in chunks of about this size; a longer text is a chunk of its own
 _M64 = (1 << 64) - 1
 _P = 0x9E3779B97F4A7C15 | 1
 _Q = 0xD6E8FEB86659FD93 | 1
@@ -45,6 +45,11 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def forget() -> None:
+    """Drop the tables of powers, which grow with the longest chunk."""
+    _POWERS.clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = x ^ (x >> np.uint64(33))
