@@ -133,7 +133,6 @@ def test_other_targets_hold_until_a_queue_is_empty():
 
 def test_encoder_is_the_tokenizer(odd_rows):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     use = Encoder("byte_bpe_50k")
     texts = [r[1] for r in odd_rows if r[1]] + ["<|endoftext|> a", "  \n\n x's 12", " " * 30_000 + "x", "y" * 12_000]
     assert all(use.ids(t) == tokenizer.encode(t, add_special_tokens=False).ids for t in texts)

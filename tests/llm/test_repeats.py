@@ -86,3 +86,15 @@ def test_sketch_never_misses(spark):
     assert sketch.is_repeated(values[counts > 1]).all()
     assert sketch.is_hot(values[counts >= 4]).all()
     assert sketch.is_repeated(values[counts == 1]).mean() < 0.05
+
+
+@pytest.mark.parametrize("unit", ["x", "ab"])
+def test_long_repetitive_text(spark, unit):
+    """Every window is a candidate; the same answer as for a short one."""
+    short = 3000 // len(unit)
+    ((_, _, gone),) = removed_units([(1, unit * short)], lambda t: t.encode(), 100)
+    assert int(gone.sum()) == short * len(unit) - len(unit)
+    size = 5 << 20
+    docs = spark.createDataFrame([(1, unit * (size // len(unit)))], "doc_id long, text string")
+    (got,) = remove_repeated_strings(docs).drop("kept").collect()
+    assert (got.n_bytes, got.n_removed, got.n_spans) == (size, size - len(unit), 1)
