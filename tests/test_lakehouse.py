@@ -3,14 +3,17 @@ import os
 
 import pytest
 from conftest import ROWS, dicts
+from pyspark.sql import functions as F
 
+from trackside.operators.numbering import numbered
 from trackside.plans.gateway import QueryRejected, ReadOnlySql
 from trackside.plans.medallion import run_medallion
 from trackside.session import scratch_path
 from trackside.sources import bronze
 from trackside.sources.archive import archive_json, read_archive
 from trackside.sources.ci import flatten_steps, read_reports
-from trackside.sources.lakehouse import publish, read_table, register_lakehouse, replace_partitions, store
+from trackside.sources import lakehouse, snapshots
+from trackside.sources.lakehouse import publish, published, read_table, register_lakehouse, replace_partitions, store
 from trackside.sources.runs import log_runs, run_record
 from trackside.plans.builds import pick_run, triage
 from trackside import specs as S
@@ -28,9 +31,63 @@ def test_replace_partitions_leaves_the_others(spark):
 def test_publish_over_its_own_input(spark):
     path = scratch_path(spark, "t")
     publish(spark, spark.range(3), path)
-    publish(spark, spark.read.parquet(path).where("id > 0"), path)
-    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [1, 2]
-    assert not os.path.exists(path + ".previous") and not os.path.exists(path + ".staged")
+    publish(spark, published(spark, path).where("id > 0"), path)
+    assert sorted(r.id for r in published(spark, path).collect()) == [1, 2]
+
+
+def ids(df):
+    return sorted(r.id for r in df.collect())
+
+
+def test_second_writer_on_one_version_is_refused(spark):
+    path = scratch_path(spark, "t")
+    base = snapshots.commit(spark, spark.range(3), path, snapshots.current(spark, path))
+    held = published(spark, path)
+    assert snapshots.commit(spark, spark.range(3, 5), path, base) == base + 1
+    with pytest.raises(snapshots.Conflict):
+        snapshots.commit(spark, spark.range(9), path, base)
+    assert ids(published(spark, path)) == [3, 4]
+    assert ids(held) == ids(published(spark, path, base)) == [0, 1, 2]  # a reader keeps its version
+    assert len([n for n in os.listdir(path) if n.startswith("data-")]) == 2  # what was refused has left nothing
+    assert snapshots.expire(spark, path) == 1 and ids(published(spark, path)) == [3, 4]
+    with pytest.raises(ValueError):
+        published(spark, path, base)
+
+
+def test_second_writer_merges(spark):
+    path = scratch_path(spark, "t")
+    snapshots.commit(spark, spark.range(2), path, 0)
+    asked = []
+
+    def make(folder):
+        asked.append(folder)
+        if len(asked) == 1:  # another writer comes in between
+            snapshots.commit(spark, spark.range(5, 7), path, snapshots.current(spark, path))
+        return spark.read.parquet(folder).union(spark.range(10, 11))
+
+    assert snapshots.update(spark, path, make) == 3 and len(set(asked)) == 2
+    assert ids(published(spark, path)) == [5, 6, 10]
+    with pytest.raises(snapshots.Conflict):
+        snapshots.update(spark, path, lambda folder: (snapshots.commit(spark, spark.range(1), path, snapshots.current(spark, path)), spark.range(1))[1], 2)
+    with pytest.raises(ValueError):
+        published(spark, scratch_path(spark, "none"))
+
+
+def test_two_runs_upsert_the_same_table(spark, monkeypatch):
+    root, names = scratch_path(spark, "lake"), S.DRIVERS.schema
+    store(spark, root, S.DRIVERS, spark.createDataFrame([(44, "L", "COS", "Mercedes", None)], names))
+    other = spark.createDataFrame([(1, "M", "OKO", "RB", None)], names)
+    real, calls = lakehouse.upsert, []
+
+    def upsert_late(*args):
+        calls.append(1)
+        if len(calls) == 1:
+            store(spark, root, S.DRIVERS, other)
+        return real(*args)
+
+    monkeypatch.setattr(lakehouse, "upsert", upsert_late)
+    store(spark, root, S.DRIVERS, spark.createDataFrame([(44, "L", "COS", "Amber Racing", "GBR")], names))
+    assert {r.driver_number: r.team_name for r in read_table(spark, root, S.DRIVERS).collect()} == {44: "Amber Racing", 1: "RB"}
 
 
 def test_store_upserts_drivers_and_replaces_sessions(spark):
@@ -175,6 +232,9 @@ def gateway(spark):
         "SELECT session_key, country_name FROM dim_sessions ORDER BY session_key",
         "WITH s AS (SELECT * FROM dim_sessions) SELECT session_key, country_name FROM s; ",
         "SELECT session_key, country_name AS created_by FROM dim_sessions -- updated",
+        "SELECT session_key, country_name AS identifier FROM dim_sessions WHERE 'spark_catalog.reflect' <> 'java_method'",
+        "SELECT session_key, country_name FROM IDENTIFIER('dim_' || 'sessions') CROSS JOIN range(1)",
+        "SELECT session_key, country_name FROM dim_sessions WHERE session_key IN (SELECT max(session_key) FROM dim_sessions)",
     ],
 )
 def test_gateway_reads(gateway, text):
@@ -200,6 +260,11 @@ def test_gateway_reads(gateway, text):
         "SELECT `java_method` /* */ ('java.lang.System', 'getenv', 'HOME')",
         "SELECT * FROM IDENTIFIER('spark_' || 'catalog.default.t')",
         "SELECT IDENTIFIER('ref' || 'lect')('java.lang.System', 'getenv', 'HOME')",
+        "SELECT try_reflect('java.lang.System', 'getenv', 'HOME')",
+        "SELECT session_key FROM dim_sessions ORDER BY upper(reflect('java.lang.System', 'getenv', 'HOME'))",
+        "SELECT * FROM dim_sessions WHERE session_key = (SELECT max(length(java_method('java.lang.System', 'getenv', 'HOME'))))",
+        "SELECT * FROM dim_sessions WHERE EXISTS (SELECT 1 FROM parquet.`/root/testdata/sf0.001/nation.parquet`)",
+        "SELECT * FROM global_temp.hidden",
         "SELECT * FROM unknown_table",
     ],
 )
@@ -229,7 +294,43 @@ def test_archive(spark, tmp_path):
 def test_reports(spark, tmp_path):
     for run, text in ((5, json.dumps({"evaluated_run_id": 5, "status": "completed"}, indent=4)), (9, json.dumps({"evaluated_run_id": 9})), (1, "{broken"), (0, json.dumps({"status": "x"}))):
         (tmp_path / f"ci_healing_report_{run}.json").write_text(text)
-    assert [r.evaluated_run_id for r in read_reports(spark, str(tmp_path)).collect()] == [9, 5, 0]
+    full = {"evaluated_run_id": 7, "alert_triggered": "odd", "actions": [{"type": "mail", "to": ["a", "b"]}, "note"], "attempt": {"n": 2}}
+    (tmp_path / "ci_healing_report_7.json").write_text(json.dumps(full))
+    (tmp_path / "ci_healing_report_list.json").write_text("[1, 2]")
+    found = read_reports(spark, str(tmp_path))
+    rows = found.withColumn("whole", F.to_json("report")).withColumn("done", F.transform("actions", lambda a: F.to_json(a))).drop("report", "actions").collect()
+    assert [r.evaluated_run_id for r in rows] == [9, 7, 5, 0]
+    assert json.loads(rows[1].whole) == full and rows[1].alert_triggered is None  # unknown fields stay, other types are no value
+    assert [json.loads(a) for a in rows[1].done] == full["actions"] and rows[0].done == []
+    assert [r.evaluated_run_id for r in numbered(found).orderBy("position").collect()] == [9, 7, 5, 0]
+
+
+def test_types_that_change_between_files(spark):
+    root = scratch_path(spark, "mixed")
+    batches = [
+        ([(1, "+1.2 LAP", 1.5)], "driver_number int, gap string, x double"),
+        ([(2, 7, 3)], "driver_number long, gap long, x int"),
+        ([(3, None, 4.0, True)], "Driver_Number smallint, gap string, x float, late boolean"),
+        ([(4, 9, 5)], "driver_number long, gap long, x int"),
+    ]
+    paths = [f"{root}/{n}" for n in range(len(batches))]
+    for path, (rows, schema) in zip(paths, batches):
+        spark.createDataFrame(rows, schema).write.parquet(path)
+    found = bronze.read_files(spark, paths)
+    assert dict(found.dtypes) == {"driver_number": "bigint", "gap": "string", "x": "double", "late": "boolean"}
+    assert sorted(map(tuple, found.collect())) == [(1, "+1.2 LAP", 1.5, None), (2, "7", 3.0, None), (3, None, 4.0, True), (4, "9", 5.0, None)]
+    with pytest.raises(Exception):
+        spark.read.option("mergeSchema", "true").parquet(*paths).collect()
+
+
+def test_bronze_batches_of_different_types(spark):
+    root = scratch_path(spark, "bronze")
+    land(spark, root, "weather", [(1, 20)], "session_key long, humidity long", gp="A")
+    land(spark, root, "weather", [(2, "n/a")], "session_key long, humidity string", gp="B 2")
+    rows = bronze.read_bronze(spark, root, "weather", 2025, None, "Race").collect()
+    assert sorted((r.session_key, r.humidity, r._gp) for r in rows) == [(1, "20", "A"), (2, "n/a", "B_2")]
+    with pytest.raises(FileNotFoundError):
+        bronze.read_bronze(spark, root, "weather", 1999)
 
 
 JOBS = "run_id long, jobs array<struct<name:string,steps:array<struct<name:string,conclusion:string>>>>"

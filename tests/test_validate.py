@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from trackside import specs as S
 from trackside.functions.scalars import int_or_zero, iso_micros, parse_iso
 from trackside.functions.settings import parse_focus_drivers
-from trackside.operators.validate import split_valid, validate
+from trackside.operators.validate import route_valid, split_valid, validate
 
 DRIVERS = "driver_number long, full_name string, name_acronym string, team_name string, country_code string"
 CAR = (
@@ -131,3 +131,19 @@ def test_iso_text(spark):
 def test_focus_drivers():
     assert parse_focus_drivers("1: Ben Okoro ,44") == {1: "Ben Okoro", 44: "Driver 44"}
     assert 81 in parse_focus_drivers("one:Max") and 81 in parse_focus_drivers(None)
+
+
+def test_routed_in_one_pass(spark, tmp_path):
+    raw = str(tmp_path / "raw")
+    rows = [(9400, 1, "2025-03-16T12:00:00", "312", "a"), (9400, None, "2025-03-16T12:00:01", "x", "b"), (None, 2, None, "1", None)]
+    spark.createDataFrame(rows, "session_key long, driver_number long, date string, speed string, extra string").write.parquet(raw)
+    batch = spark.read.parquet(raw)
+    split = split_valid(batch, S.CAR_DATA, "r")
+    valid, bad = dicts(split.valid), dicts(split.quarantine.drop("quarantine_timestamp"))
+    routed = route_valid(batch, S.CAR_DATA, "r")
+    for side in (routed.valid, routed.quarantine):  # nothing reads the batch again
+        assert side.inputFiles() and not any(raw in f for f in side.inputFiles())
+    assert routed.counts == {"read": 3, "valid": len(valid), "quarantined": len(bad)}
+    assert dicts(routed.valid) == valid and routed.valid.dtypes == split.valid.dtypes
+    order = lambda r: str(r["extra"])
+    assert sorted(dicts(routed.quarantine.drop("quarantine_timestamp")), key=order) == sorted(bad, key=order)

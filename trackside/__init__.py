@@ -14,7 +14,7 @@ from trackside.plans.medallion import run_gold, run_medallion
 from trackside.session import configure
 from trackside.sources.archive import archive_json
 from trackside.sources.bronze import land_bronze, read_bronze
-from trackside.sources.lakehouse import publish, register_lakehouse, replace_partitions
+from trackside.sources.lakehouse import publish, published, register_lakehouse, replace_partitions
 
 __all__ = [
     "Measure",
@@ -34,6 +34,7 @@ __all__ = [
     "match_or_all",
     "predict_delta",
     "publish",
+    "published",
     "quality_report",
     "rank_rows",
     "read_bronze",

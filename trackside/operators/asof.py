@@ -30,15 +30,15 @@ def asof_join(
     off at each left row, instead of a join. Right rows travel as
     a struct, so that NULL fields inside a right row are kept. Among right rows of one
     instant the greatest ``tie_break`` wins, by default all right columns in turn. NULL keys
-    and times never match.
+    and times never match; such left rows are kept by ``left`` and left out by ``left_keyed``.
 
     A task has one key's rows of ``bucket_seconds``, so a key of any size is spread over tasks. The last right row
     of each bucket is carried forward over a table of one row per key and bucket. The plan is the same for
     any amount of data; dense series want shorter buckets, sparse ones longer. Rows of one key at one
     instant stay together.
     """
-    if how not in ("inner", "left"):
-        raise ValueError(f"how must be 'inner' or 'left', not {how!r}")
+    if how not in ("inner", "left", "left_keyed"):
+        raise ValueError(f"how must be 'inner', 'left' or 'left_keyed', not {how!r}")
     right_on = right_on or on
     if right_cols is None:
         right_cols = [c for c in right.columns if c not in (*by, right_on)]
@@ -61,31 +61,36 @@ def asof_join(
     left_side = left.where(usable_left).select(
         *by, F.col(on).alias(_TIME), F.lit(1).alias(_SIDE), F.struct(*(packed or [F.lit(0)])).alias(_LEFT)
     )
-    line = left_side.unionByName(right_side, allowMissingColumns=True)
-
     bucket = F.floor(micros(F.col(_TIME)) / F.lit(round(bucket_seconds * 1e6))).alias(_BUCKET)
     keys = [*by, _BUCKET]
-    # The newest right row of each bucket, and of all buckets before it that of those with left rows.
-    newest = right_side.groupBy(*by, bucket).agg(F.max_by(_RIGHT, F.struct(_TIME, *ties)).alias(_RIGHT))
-    asked = left_side.select(*by, bucket).distinct().withColumn("_asked", F.lit(True))
+    # Both readers of the line ask for all of its columns, so that they share one exchange and each side is read once.
+    line = left_side.unionByName(right_side, allowMissingColumns=True).withColumn(_BUCKET, bucket).repartition(*keys)
+    newest = F.max_by(_RIGHT, F.when(F.col(_SIDE) == 0, F.struct(_TIME, *ties)))
+    per_bucket = line.groupBy(*keys).agg(newest.alias("_newest"), F.count(_LEFT).alias("_asked"))
     earlier = Window.partitionBy(*by).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    # The newest right row of all buckets before, for the buckets with left rows.
     carried = (
-        newest.join(asked, keys, "full")
-        .withColumn(_RIGHT, F.last(_RIGHT, ignorenulls=True).over(earlier))
-        .where(F.col("_asked") & F.col(_RIGHT).isNotNull())
-        .select(*keys, F.lit(0).alias(_SIDE), _RIGHT)
+        per_bucket.withColumn("_carried", F.last("_newest", ignorenulls=True).over(earlier))
+        .where((F.col("_asked") > 0) & F.col("_carried").isNotNull())
+        .select(*keys, "_carried")
     )
-    line = line.withColumn(_BUCKET, bucket).unionByName(carried, allowMissingColumns=True)
     running = (
         Window.partitionBy(*keys)
         .orderBy(F.asc_nulls_first(_TIME), _SIDE, *[F.asc_nulls_first(t) for t in ties])
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    matched = line.withColumn("_match", F.last(_RIGHT, ignorenulls=True).over(running)).where(F.col(_SIDE) == 1)
+    matched = (
+        line.withColumn("_own", F.last(_RIGHT, ignorenulls=True).over(running))
+        .where(F.col(_SIDE) == 1)
+        .join(carried, keys, "left")
+        .withColumn("_match", F.coalesce("_own", "_carried"))
+    )
     own = [F.col(_TIME if c == on else c if c in by else f"{_LEFT}.{c}").alias(c) for c in left.columns]
     fields = [F.col(f"_match.{name}").alias(name) for name in renames.values()]
     if how == "inner":
         return matched.where(F.col("_match").isNotNull()).select(*own, *fields)
+    if how == "left_keyed":
+        return matched.select(*own, *fields)
     unmatched = left.where(~usable_left)
     return matched.select(*own, *fields).unionByName(unmatched, allowMissingColumns=True)
 

@@ -22,8 +22,10 @@ def order_number(df: DataFrame, column: str) -> Column:
     raise ValueError(f"{column} is no number or time, it can not be cut into buckets")
 
 
-def rank_rows(df: DataFrame, *, by: list[str], order: list[str], widths: list[float] | None = None) -> DataFrame:
-    """Add ``rn`` (1-based position in its key) and ``n`` (rows of the key).
+def rank_rows(
+    df: DataFrame, *, by: list[str], order: list[str], widths: list[float] | None = None, totals: bool = True
+) -> DataFrame:
+    """Add ``rn`` (1-based position in its key) and, with ``totals``, ``n`` (rows of the key).
 
     Without ``widths`` a key is numbered by one task. With them, keys of any size are spread over tasks: the first
     order column is cut into buckets as wide as the first of ``widths`` (microseconds for times), each bucket by the second
@@ -61,8 +63,9 @@ def rank_rows(df: DataFrame, *, by: list[str], order: list[str], widths: list[fl
         )
         placed = null_safe_join(placed, table.drop("_size"), [*by, *levels[:depth]], "inner")
         before = before + F.col(step)
-    totals = sizes.groupBy(*by).agg(F.sum("_size").alias("n"))
-    placed = null_safe_join(placed, totals, by, "inner") if by else placed.withColumn("n", totals.scalar())
+    if totals:
+        rows = sizes.groupBy(*by).agg(F.sum("_size").alias("n"))
+        placed = null_safe_join(placed, rows, by, "inner") if by else placed.withColumn("n", rows.scalar())
     dropped = [*levels, *[f"_before{d}" for d in range(1, len(levels) + 1)]]
     return placed.withColumn("rn", F.col("rn") + before).drop(*dropped)
 
@@ -84,7 +87,7 @@ def downsample(
     bounds the rows kept per key, in order. ``size`` names a column to take the key's row
     count from instead of counting the rows given. ``widths``: see :func:`rank_rows`.
     """
-    ranked = rank_rows(df, by=by, order=order, widths=widths)
+    ranked = rank_rows(df, by=by, order=order, widths=widths, totals=size is None)
     if size is not None:
         ranked = ranked.withColumn("n", F.col(size))
     ratio = F.col("n") / F.lit(float(target))

@@ -9,11 +9,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackside.constants import MIN_RELEVANCE
+from trackside.session import materialise
 
 # A token is two or more word characters.
 WORDS = r"(?U)\b\w\w+\b"
 ASCII_WORDS = r"[a-z0-9_]{2,}"
 SCORE_DIGITS = 12
+LEVELS = 4  # blocks of impact for each halving
+MARGIN = 1e-9  # more than sums of impacts differ by their order
 
 
 @cache
@@ -21,11 +24,6 @@ def english_stop_words() -> tuple[str, ...]:
     return tuple(StopWordsRemover.loadDefaultStopWords("english"))
 
 
-def _explode_words(df: DataFrame, keep: list[str], words: Column, stop_words) -> DataFrame:
-    exploded = df.select(*keep, F.explode(words).alias("term"))
-    return exploded.where(~F.col("term").isin(list(stop_words))) if stop_words else exploded
-
-
 def _words(text: str, pattern: str) -> Column:
     return F.regexp_extract_all(F.lower(F.col(text)), F.lit(pattern), F.lit(0))
 
@@ -34,11 +32,28 @@ def _corpus_size(docs: DataFrame, by: list[str], copies: Column) -> DataFrame:
     return docs.groupBy(*by).agg(F.sum(copies).alias("_docs"))
 
 
+def term_counts(docs: DataFrame, keys: list[str], words: Column, stop_words) -> DataFrame:
+    """(keys, term, tf) without an exchange: each row's words are sorted and counted as runs inside the row."""
+    rows = docs.select(*keys, F.sort_array(words).alias("_words")).where(F.size("_words") > 0)
+    begins = F.filter(F.sequence(F.lit(1), F.size("_words")), lambda i: (i == 1) | (F.get("_words", i - 1) != F.get("_words", i - 2)))
+    rows = rows.withColumn("_begins", begins)
+    runs = F.transform(
+        "_begins",
+        lambda i, k: F.struct(
+            F.get("_words", i - 1).alias("term"),
+            (F.coalesce(F.get("_begins", k + 1), F.size("_words") + 1) - i).cast("long").alias("tf"),
+        ),
+    )
+    counted = rows.select(*keys, F.inline(runs))
+    return counted.where(~F.col("term").isin(list(stop_words))) if stop_words else counted
+
+
 class Corpus:
     """Term statistics of a set of documents, separately per ``by`` group.
 
     ``id`` is unique within a group; keys are not NULL. ``copies`` names a column that says for how many equal
-    documents a row stands, so that repeated texts need to be tokenised only once.
+    documents a row stands, so that repeated texts need to be tokenised only once. Texts are tokenised where they
+    are read; postings are written to the shared folder once and every reader starts from them.
     """
 
     def __init__(
@@ -59,15 +74,8 @@ class Corpus:
         count = F.col(copies) if copies else F.lit(1)
         self.carry = [c for c in carry or [] if c not in (*self.by, id)]
         doc_keys = [*self.by, id, *self.carry]
-        # Texts move once, to a partition per document hash: large files are spread, counting
-        # terms and later the length of a document need no further exchange of their own. Every
-        # reader of the postings asks for the same columns, so that they share that exchange.
-        spread = docs.withColumn("_copies", count).select(*doc_keys, "_copies", text).repartition(*self.by, id)
-        self.postings = (
-            _explode_words(spread, [*doc_keys, "_copies"], _words(text, token_pattern), self.stop_words)
-            .groupBy(*doc_keys, "_copies", "term")
-            .agg(F.count(F.lit(1)).alias("tf"))
-        )
+        counted = term_counts(docs.withColumn("_copies", count), [*doc_keys, "_copies"], _words(text, token_pattern), self.stop_words)
+        self.postings = materialise(counted, "postings")
         frequency = self.postings.groupBy(*self.by, "term").agg(F.sum("_copies").alias("df"))
         size = _corpus_size(docs, self.by, count)
         if self.by:
@@ -83,29 +91,105 @@ class Corpus:
         length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(*keys)))
         return weighted.withColumn("weight", F.col("weight") / length)
 
-    def weights(self) -> DataFrame:
-        """(by, id, term, weight): one row per document and distinct term, L2-normalised.
+    def _weighted(self) -> DataFrame:
+        """Postings with tf * idf as ``weight``.
 
         The join runs on the term. A term found in a large share of the documents makes a
         skewed partition, which adaptive execution splits.
         """
         joined = self.postings.join(self.idf, [*self.by, "term"])
-        keys = [*self.by, self.id, *self.carry]
-        weighted = joined.select(*keys, "term", (F.col("tf") * F.col("idf")).alias("weight"))
-        return self._unit(weighted, [*self.by, self.id])
+        return joined.select(*self.by, self.id, *self.carry, "term", (F.col("tf") * F.col("idf")).alias("weight"))
+
+    def weights(self) -> DataFrame:
+        """(by, id, term, weight): one row per document and distinct term, L2-normalised."""
+        return self._unit(self._weighted(), [*self.by, self.id])
+
+    def lengths(self) -> DataFrame:
+        """(by, id, length) of the documents' vectors."""
+        square = F.sqrt(F.sum(F.col("weight") * F.col("weight")))
+        return self._weighted().groupBy(*self.by, self.id).agg(square.alias("length"))
 
     def question_weights(self, questions: DataFrame, q_id: str, q_text: str) -> DataFrame:
         """(by, q_id, term, q_weight) over known terms."""
-        terms = (
-            _explode_words(questions, [*self.by, q_id], _words(q_text, self.pattern), self.stop_words)
-            .groupBy(*self.by, q_id, "term")
-            .agg(F.count(F.lit(1)).alias("tf"))
-        )
+        terms = term_counts(questions, [*self.by, q_id], _words(q_text, self.pattern), self.stop_words)
         known = self.idf.join(terms, [*self.by, "term"])
         weighted = known.select(*self.by, q_id, "term", (F.col("tf") * F.col("idf")).alias("weight"))
         return self._unit(weighted, [*self.by, q_id]).withColumnRenamed("weight", "q_weight")
 
 
+class ImpactIndex:
+    """An inverted index of the terms that are asked for, and the search for documents that can be a question's best.
+
+    A posting's impact is its normalised weight. The postings of a term fall into blocks of nearly equal impact (``LEVELS`` for
+    each halving), of which the greatest impact is kept. A question is answered in steps, none of which loses its best document:
+
+    1. For each of its terms the document of greatest impact is scored exactly; the best of them is the least score to beat.
+    2. Its terms that, all together, stay below that score are optional: a better document has one of the others.
+    3. Blocks whose impact, with the greatest of all other terms, stays below it are skipped. The other blocks' postings are
+       added up per document, and documents that cannot reach it with all optional terms are dropped.
+    4. The best partial sum of each question is completed and raises the score to beat; what is left is completed.
+    """
+
+    def __init__(self, corpus: Corpus, asked: DataFrame, q_id: str):
+        by = self.by = corpus.by
+        self.id, self.q_id, self.carry = corpus.id, q_id, corpus.carry
+        asked = materialise(asked, "asked")
+        wanted = asked.select(*by, "term").distinct().join(corpus.idf, [*by, "term"])
+        impact = F.col("tf") * F.col("idf") / F.col("length")
+        postings = corpus.postings.join(wanted, [*by, "term"]).join(corpus.lengths(), [*by, corpus.id])
+        level = F.floor(-F.log2("impact") * LEVELS).cast("int")
+        postings = postings.select(*by, "term", corpus.id, *corpus.carry, impact.alias("impact")).withColumn("level", level)
+        self.postings = materialise(postings, "impacts")
+        blocks = self.postings.groupBy(*by, "term", "level").agg(F.max("impact").alias("most"), F.max_by(corpus.id, "impact").alias("top"))
+        self.blocks = materialise(blocks, "blocks")
+        tops = self.blocks.groupBy(*by, "term").agg(F.max("most").alias("most"), F.max_by("top", "most").alias("top"))
+        reach = F.col("q_weight") * F.col("most")
+        self.asked = materialise(asked.join(tops, [*by, "term"]).withColumn("reach", reach).drop("most"), "reaches")
+
+    def completed(self, pairs: DataFrame, terms: DataFrame) -> DataFrame:
+        """(by, q_id, id, part): what these terms of the questions add to the documents of ``pairs``."""
+        keys = [*self.by, self.q_id, self.id]
+        looked_up = pairs.select(*keys).join(terms.select(*self.by, self.q_id, "term", "q_weight"), [*self.by, self.q_id])
+        found = looked_up.join(self.postings.select(*self.by, "term", self.id, "impact"), [*self.by, "term", self.id])
+        return found.select(*keys, (F.col("q_weight") * F.col("impact")).alias("part"))
+
+    def planned(self) -> DataFrame:
+        """The questions' terms with the score to beat, whether a term is optional, and the greatest sum of those that are."""
+        by, question = self.by, [*self.by, self.q_id]
+        first = self.asked.select(*question, F.col("top").alias(self.id)).distinct()
+        sums = self.completed(first, self.asked).groupBy(*question, self.id).agg(F.sum("part").alias("part"))
+        beat = sums.groupBy(*question).agg((F.max("part") - MARGIN).alias("beat"))
+        each = Window.partitionBy(*question)
+        so_far = F.sum("reach").over(each.orderBy("reach", "term").rowsBetween(Window.unboundedPreceding, 0))
+        terms = self.asked.drop("top").join(beat, question).withColumn("optional", so_far < F.col("beat"))
+        rest = F.coalesce(F.sum(F.when(F.col("optional"), F.col("reach"))).over(each), F.lit(0.0))
+        return terms.withColumn("rest", rest).withColumn("others", F.sum("reach").over(each) - F.col("reach"))
+
+    def admitted(self, terms: DataFrame) -> DataFrame:
+        """Postings of the blocks that a better document may stand in, as parts of a score."""
+        blocks = self.blocks.join(terms.where(~F.col("optional")), [*self.by, "term"])
+        blocks = blocks.where(F.col("q_weight") * F.col("most") + F.col("others") >= F.col("beat"))
+        found = self.postings.join(blocks.select(*self.by, "term", "level", self.q_id, "q_weight", "rest", "beat"), [*self.by, "term", "level"])
+        return found.select(
+            *self.by, self.q_id, self.id, *self.carry, "rest", "beat", (F.col("q_weight") * F.col("impact")).alias("part")
+        )
+
+    def best(self) -> DataFrame:
+        """(by, q_id, id, carry, score) of documents that may be a question's best, the best among them."""
+        question = [*self.by, self.q_id]
+        keys = [*question, self.id, *self.carry]
+        terms = materialise(self.planned(), "terms")
+        sums = self.admitted(terms).groupBy(*keys).agg(F.sum("part").alias("part"), F.first("rest").alias("rest"), F.first("beat").alias("beat"))
+        able = materialise(sums.where(F.col("part") + F.col("rest") >= F.col("beat")), "candidates")
+        optional = terms.where("optional")
+        leader = able.groupBy(*question).agg(F.max_by(self.id, "part").alias(self.id), F.max("part").alias("part"))
+        whole = leader.select(*question, self.id, "part").unionByName(self.completed(leader, optional))
+        raised = whole.groupBy(*question).agg((F.sum("part") - MARGIN).alias("raised"))
+        able = able.join(raised, question).where(F.col("part") + F.col("rest") >= F.col("raised")).select(*keys, "part")
+        extra = self.completed(able, optional).groupBy(*question, self.id).agg(F.sum("part").alias("more"))
+        return able.join(extra, [*question, self.id], "left").select(*keys, (F.col("part") + F.coalesce("more", F.lit(0.0))).alias("score"))
+
+
 def tfidf(docs: DataFrame, **corpus) -> DataFrame:
     """L2-normalised TF-IDF weights; see ``Corpus`` for the arguments.
 
@@ -133,17 +217,13 @@ def tfidf_match(
     scores go to the first document in ``order``; a question that shares no term with any
     document gets the first document and score 0; a group without documents gives NULL.
 
-    Documents are already partitioned by document after normalisation and carry the columns of ``order``.
-    Where Spark finds the question terms small enough to broadcast, scores are added up in place, and only the
-    best candidate per question and task is shuffled.
+    Only documents that can still be a question's best are scored; see ``ImpactIndex``.
     """
     by = list(by or [])
     ranks = [c for c in order if c != id]
     stats = Corpus(docs, id=id, text=text, by=by, carry=ranks, **corpus)
     asked = stats.question_weights(questions, q_id, q_text)
-    shared = stats.weights().join(asked, [*by, "term"])
-    scored = shared.groupBy(*by, id, *stats.carry, q_id).agg(F.sum(F.col("weight") * F.col("q_weight")).alias("score"))
-    scored = scored.withColumn("score", F.round("score", SCORE_DIGITS))
+    scored = ImpactIndex(stats, asked, q_id).best().withColumn("score", F.round("score", SCORE_DIGITS))
     place = [part for c in [*ranks, id] for part in (F.col(c).isNull(), F.col(c))]
     best = scored.groupBy(*by, q_id).agg(
         F.min_by(F.struct(id, "score"), F.struct(-F.col("score"), *place)).alias("_best")

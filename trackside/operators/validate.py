@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trackside.functions.scalars import null_if_nan, parse_iso
+from trackside.session import scratch_path
 from trackside.specs import Field, TableSpec
 
 ERRORS, TYPED, _BAD = "_errors", "_typed", "_bad"
@@ -168,3 +169,41 @@ def split_valid(df: DataFrame, spec: TableSpec, reason: str) -> Validated:
         )
     )
     return Validated(valid, quarantine, counts, rejected)
+
+
+@dataclass
+class Routed:
+    """Both sides of a batch, read from where one pass over it has put them."""
+
+    valid: DataFrame
+    quarantine: DataFrame
+    counts: dict[str, int]
+
+
+def route_valid(df: DataFrame, spec: TableSpec, reason: str) -> Routed:
+    """The two sides of :func:`split_valid` from one evaluation of ``df``.
+
+    Every row is written once, to the folder of its route: as typed columns if it is valid, as it came with the reasons
+    if not. Both sides and the counters come from that; the batch is not read again.
+    """
+    typed, problems = _checks(df, spec)
+    names, counts = {f.name for f in spec.fields}, Observation(f"routed_{spec.name}")
+    bad = _any([condition for condition, _ in problems])
+    is_bad = F.col(_BAD)
+    kept = F.struct(*typed, *[c for c in df.columns if c not in names])
+    why = F.concat_ws("; ", *[F.when(condition, F.lit(text)) for condition, text in problems])
+    rows = df.select(F.struct(*df.columns).alias("raw"), kept.alias("kept"), why.alias("why"), bad.alias(_BAD)).observe(
+        counts, F.count(F.lit(1)).alias("read"), F.count_if(~is_bad).alias("valid"), F.count_if(is_bad).alias("quarantined")
+    )
+    routed = rows.select(
+        F.when(is_bad, F.col("raw")).alias("raw"), F.when(~is_bad, F.col("kept")).alias("kept"), F.when(is_bad, F.col("why")).alias("why"),
+        F.when(is_bad, F.lit("quarantine")).otherwise(F.lit("valid")).alias("route"),
+    )
+    path = scratch_path(df.sparkSession, "routed")
+    routed.write.partitionBy("route").parquet(path)
+    stored = df.sparkSession.read.schema(routed.schema).parquet(path)
+    quarantine = stored.where(F.col("route") == "quarantine").select(
+        "raw.*", F.col("why").alias("error_detail"), F.current_timestamp().cast("timestamp_ntz").alias("quarantine_timestamp"),
+        F.lit(reason).alias("quarantine_reason"),
+    )
+    return Routed(stored.where(F.col("route") == "valid").select("kept.*"), quarantine, counts.get)

@@ -14,10 +14,11 @@ from trackside.constants import FOCUS_DRIVERS, SEASON_FALLBACK
 from trackside.functions.scalars import clean_gear
 from trackside.operators.asof import asof_join
 from trackside.operators.tables import dedup_first, latest
-from trackside.operators.validate import split_valid
+from trackside.operators.validate import Routed, route_valid
 from trackside.plans import gold
+from trackside.session import materialise
 from trackside.sources import bronze
-from trackside.sources.lakehouse import publish, read_table, store, table_path
+from trackside.sources.lakehouse import publish, published, read_table, store, table_path
 from trackside.sources.runs import log_runs, run_record
 
 # Tables that are validated and stored one by one; car data and location are aligned after.
@@ -67,6 +68,7 @@ class SilverRun:
         self.focus, self.lenient = list(focus), lenient
         self.counts = {"read": 0, "valid": 0, "quarantined": 0}
         self._written: list[DataFrame] = []
+        self._sessions: DataFrame | None = None
         self.year = self._season(year)
 
     def _batch(self, kind: str) -> DataFrame:
@@ -78,7 +80,7 @@ class SilverRun:
                 return candidate
         raise FileNotFoundError(f"no bronze sessions for {year} / {self.gp or 'all events'} / {self.session}")
 
-    def _checked(self, spec: S.TableSpec):
+    def _checked(self, spec: S.TableSpec) -> Routed | None:
         """Validated rows of one record kind and its quarantine; None where nothing has landed."""
         if not bronze.has_bronze(self.spark, self.root, spec.bronze, self.year, self.gp, self.session):
             return None
@@ -89,14 +91,13 @@ class SilverRun:
                 rows = rows.withColumn("position", F.coalesce("position", F.lit(0)))
             if spec.name == S.DRIVERS.name:
                 rows = dedup_first(rows, ["driver_number"], _KEYS)
-        return split_valid(rows, spec, f"{spec.name}: contract not met")
+        return route_valid(rows, spec, f"{spec.name}: contract not met")
 
     def _finish(self, spec: S.TableSpec, checked) -> None:
         """Add up the counters of a written table and quarantine its bad rows, if any."""
-        found = checked.counters()
         for name in self.counts:
-            self.counts[name] += found[name]
-        if found["quarantined"]:
+            self.counts[name] += checked.counts[name]
+        if checked.counts["quarantined"]:
             bronze.write_quarantine(checked.quarantine, self.root, spec.bronze)
 
     def run(self) -> dict[str, int]:
@@ -122,7 +123,9 @@ class SilverRun:
         self._finish(S.LOCATION, location)
         self._count(S.LOCATION, location.valid)
         stored = read_table(self.spark, self.root, S.LOCATION)
-        batch = self._batch("location").select(F.col("session_key").try_cast("bigint")).distinct()
+        bad = location.quarantine.select(F.col("session_key").try_cast("bigint")) if "session_key" in location.quarantine.columns else None
+        batch = location.valid.select("session_key")
+        batch = (batch if bad is None else batch.unionAll(bad)).distinct()
         positions = stored.join(batch, "session_key", "left_semi")
         aligned = align_telemetry(positions, car.valid.where(followed))
         store(self.spark, self.root, S.TELEMETRY, aligned)
@@ -130,9 +133,11 @@ class SilverRun:
         self._count(S.TELEMETRY, aligned)
 
     def sessions(self) -> DataFrame:
-        """(session_key, _gp) of the batch."""
-        keys = self._batch("sessions").select(F.col("session_key").try_cast("bigint").alias("session_key"), "_gp")
-        return keys.where(F.col("session_key").isNotNull()).distinct()
+        """(session_key, _gp) of the batch; a row per session, read once."""
+        if self._sessions is None:
+            keys = self._batch("sessions").select(F.col("session_key").try_cast("bigint").alias("session_key"), "_gp")
+            self._sessions = materialise(keys.where(F.col("session_key").isNotNull()).distinct(), "sessions")
+        return self._sessions
 
     def _count(self, spec: S.TableSpec, valid: DataFrame) -> None:
         """Rows written of each session: read off the stored partitions; tables without a session key (drivers, a
@@ -158,7 +163,7 @@ def run_gold(spark: SparkSession, root: str, lap_times: DataFrame | None = None,
     )
     path = table_path(root, S.LAP_FEATURES.name)
     publish(spark, features, path)
-    stored = spark.read.parquet(path)
+    stored = published(spark, path)
     model = gold.train_regressor(stored, **forest)
     if model is not None:
         gold.save_model(model, f"{root.rstrip('/')}/models/lap_regressor")

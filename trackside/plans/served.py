@@ -14,6 +14,7 @@ from trackside import constants as K
 from trackside.functions.scalars import iso_micros, parse_with_format, pct_true
 from trackside.operators.asof import asof_join
 from trackside.operators.sampling import downsample
+from trackside.session import materialise
 
 Views = dict[str, DataFrame]
 BUCKET_MICROS = 600 * 1_000_000  # rows of a session and driver are numbered in pieces of ten minutes
@@ -159,15 +160,18 @@ def duel_location(
     measured = ["speed", "n_gear", "throttle", "brake"]
     aligned = asof_join(
         positions,
-        telemetry_rows.select(*key, "date", *measured),
+        telemetry_rows.select(*key, "date", *measured, F.lit(True).alias("_aligned")),
         by=key,
         on="date",
-        right_cols=measured,
+        right_cols=[*measured, "_aligned"],
         tie_break=measured,
+        how="left_keyed",
     )
-    counts = positions.groupBy(*key).agg(F.count(F.lit(1)).alias("_positions"))
+    # Read for the counts, the pieces and the rows: written once.
+    aligned = materialise(aligned, "aligned")
+    counts = aligned.groupBy(*key).agg(F.count(F.lit(1)).alias("_positions"))
     sampled = downsample(
-        aligned.join(counts, key),
+        aligned.where("_aligned").join(counts, key),
         by=key,
         order=["date", "x", "y"],
         target=points,

@@ -55,7 +55,7 @@ def archive_json(spark: SparkSession, root: str, dst: str | None = None) -> Data
     packed.observe(read, F.count(F.lit(1)).alias("files")).write.option("compression", "gzip").parquet(aside)
     if spark.read.parquet(aside).count() != read.get["files"]:
         raise RuntimeError("archive is incomplete, originals kept")
-    files.swap_in(spark, aside, batch)
+    files.rename(spark, aside, batch)
     stored = spark.read.parquet(batch)
     report = stored.groupBy("partition").agg(F.count(F.lit(1)).alias("files"))
     files.delete_files(spark, (row.path for row in stored.select("path").toLocalIterator()))

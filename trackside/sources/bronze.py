@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trackside.functions.scalars import int_or_zero, path_token
 from trackside.sources import files
 from trackside.sources.lakehouse import replace_partitions
+from trackside.sources.schemas import read_reconciled
 
 PARTITION = ["year", "gp", "session"]
 
@@ -76,20 +77,20 @@ def read_bronze(
 ) -> DataFrame:
     """The partitions asked for; their keys are ``_year``, ``_gp`` and ``_session``.
 
-    Only the folders named are listed, and columns are merged over their files alone.
+    Only the folders named are listed. A partition is one batch, so one footer of each tells its types; columns
+    that changed type from batch to batch are read as the type all agree on.
     """
-    found = (
-        spark.read.option("basePath", bronze_path(root, kind))
-        .option("mergeSchema", "true")
-        .parquet(_batches(root, kind, year, gp, session))
-    )
+    batches = files.matching(spark, _batches(root, kind, year, gp, session))
+    if not batches:
+        raise FileNotFoundError(f"no {kind} batches at {_batches(root, kind, year, gp, session)}")
+    found = read_reconciled(spark, batches, bronze_path(root, kind))
     keyed = found.withColumnsRenamed({k: f"_{k}" for k in PARTITION})
     return keyed.withColumnsRenamed({f"raw_{k}": k for k in PARTITION if f"raw_{k}" in found.columns})
 
 
 def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """One plan over many per-driver files."""
-    return spark.read.option("mergeSchema", "true").parquet(*paths)
+    """One plan over many per-driver files, whatever the types of their columns."""
+    return read_reconciled(spark, paths)
 
 
 def write_quarantine(df: DataFrame, root: str, kind: str) -> None:

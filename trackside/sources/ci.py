@@ -6,10 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 JOBS_SCHEMA = "array<struct<name:string,steps:array<struct<name:string,conclusion:string>>>>"
-REPORT_SCHEMA = (
-    "evaluated_run_id long, workflow_name string, status string, conclusion string, commit_sha string, "
-    "alert_triggered boolean, auto_healing_executed boolean, _corrupt string"
-)
+# The fields of a report and their types.
+REPORT_FIELDS = {
+    "evaluated_run_id": "bigint",
+    "workflow_name": "string",
+    "status": "string",
+    "conclusion": "string",
+    "commit_sha": "string",
+    "alert_triggered": "boolean",
+    "auto_healing_executed": "boolean",
+}
+REPORT_FILES = "ci_healing_report_*.json"
 
 
 def flatten_steps(df: DataFrame, jobs: str = "jobs") -> DataFrame:
@@ -25,18 +32,17 @@ def flatten_steps(df: DataFrame, jobs: str = "jobs") -> DataFrame:
     )
 
 
-def read_reports(spark: SparkSession, folder: str) -> DataFrame:
-    """Stored reports, newest run first; unreadable files are skipped, a missing id counts as 0."""
-    found = (
-        spark.read.schema(REPORT_SCHEMA)
-        .option("multiLine", "true")
-        .option("columnNameOfCorruptRecord", "_corrupt")
-        .option("pathGlobFilter", "ci_healing_report_*.json")
-        .json(folder)
-    )
-    return (
-        found.where(F.col("_corrupt").isNull())
-        .drop("_corrupt")
-        .withColumn("evaluated_run_id", F.coalesce("evaluated_run_id", F.lit(0).cast("bigint")))
-        .orderBy(F.desc("evaluated_run_id"))
-    )
+def read_reports(spark: SparkSession, folder: str, files: str = REPORT_FILES) -> DataFrame:
+    """Stored reports, one to a file, newest run first and equal runs by file name.
+
+    Columns: the known fields, NULL where a report lacks one or has it with another type (a missing id counts as 0),
+    ``actions`` as an array of variants, ``report``, the whole document as a variant with the fields nobody has
+    declared, and ``file``. Files that are no JSON object are skipped.
+    """
+    texts = spark.read.option("pathGlobFilter", files).text(folder, wholetext=True)
+    found = texts.select(F.try_parse_json("value").alias("report"), F.col("_metadata.file_name").alias("file"))
+    found = found.where(F.schema_of_variant("report").startswith("OBJECT"))
+    known = {name: F.try_variant_get("report", f"$.{name}", kind) for name, kind in REPORT_FIELDS.items()}
+    known["evaluated_run_id"] = F.coalesce(known["evaluated_run_id"], F.lit(0).cast("bigint"))
+    actions = F.coalesce(F.try_variant_get("report", "$.actions", "array<variant>"), F.array().cast("array<variant>"))
+    return found.withColumns({**known, "actions": actions}).select(*known, "actions", "report", "file").orderBy(F.desc("evaluated_run_id"), "file")

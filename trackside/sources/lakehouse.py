@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from trackside.operators.tables import upsert
-from trackside.sources import files
+from trackside.sources import files, snapshots
 from trackside.specs import CATALOG, TableSpec
 
 
@@ -21,17 +19,23 @@ def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+def _typed(spark: SparkSession, spec: TableSpec, folder: str | None) -> DataFrame:
+    if folder is None or not files.has_data(spark, folder):
+        return empty(spark, spec.schema)
+    extra = [f for f in spark.read.parquet(folder).schema.fields if f.name not in spec.schema.fieldNames()]
+    return spark.read.schema(T.StructType(spec.schema.fields + extra)).parquet(folder)
+
+
 def read_table(spark: SparkSession, root: str, spec: TableSpec) -> DataFrame:
     """The table with its declared types; typed and empty when nothing has been published.
 
     Declared columns are read by name from every file (NULL where a file lacks one); further
-    columns are those of the file Spark samples, so that no job has to open all footers.
+    columns are those of the file Spark samples, so that no job has to open all footers. Of a
+    table that is published whole, the newest version is read; it stays as it is under later ones.
     """
     path = table_path(root, spec.name)
-    if not files.has_data(spark, path):
-        return empty(spark, spec.schema)
-    extra = [f for f in spark.read.parquet(path).schema.fields if f.name not in spec.schema.fieldNames()]
-    return spark.read.schema(T.StructType(spec.schema.fields + extra)).parquet(path)
+    version = 0 if spec.partition_by else snapshots.current(spark, path)
+    return _typed(spark, spec, snapshots.folder_of(spark, path, version) if version else path if spec.partition_by else None)
 
 
 def replace_partitions(df: DataFrame, path: str, keys: list[str]) -> None:
@@ -51,10 +55,14 @@ def replace_partitions(df: DataFrame, path: str, keys: list[str]) -> None:
 
 
 def publish(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """Replace a whole table that ``df`` may itself be reading: write aside, then swap."""
-    staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"  # two writers never share it
-    df.write.parquet(staged)
-    files.swap_in(spark, staged, path)
+    """Replace a whole table by a new version, made from the newest one at most; ``df`` may read the table itself."""
+    snapshots.commit(spark, df, path, snapshots.current(spark, path))
+
+
+def published(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """A version of a table that is published whole, the newest by default."""
+    newest = snapshots.current(spark, path) if version is None else version
+    return spark.read.parquet(snapshots.folder_of(spark, path, newest))
 
 
 def store(spark: SparkSession, root: str, spec: TableSpec, df: DataFrame) -> None:
@@ -67,7 +75,8 @@ def store(spark: SparkSession, root: str, spec: TableSpec, df: DataFrame) -> Non
     if spec.partition_by:
         replace_partitions(df, path, list(spec.partition_by))
     elif spec.keys:
-        publish(spark, upsert(read_table(spark, root, spec), df, list(spec.keys)), path)
+        # Where another run has published meanwhile, the batch goes on top of what that has left.
+        snapshots.update(spark, path, lambda folder: upsert(_typed(spark, spec, folder), df, list(spec.keys)))
     else:
         publish(spark, df, path)
 

@@ -6,9 +6,9 @@ session is the earliest one, the driver the one with most events in it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackside.operators.numbering import numbered
 from trackside.plans import served
 from workload.registry import ORACLES, query
 from workload.serving import TELEMETRY_POINTS, TRAJECTORY_POINTS, RacingViews
@@ -19,12 +19,6 @@ DRIVER_SQL = f"({_BUSY} LIMIT 1)"
 PAIR_SQL = f"({_BUSY} LIMIT 2)"
 
 
-def as_served(df: DataFrame) -> DataFrame:
-    """Number the rows in the order in which they come."""
-    seen = df.withColumn("_seen", F.monotonically_increasing_id())
-    return seen.withColumn("position", F.row_number().over(Window.orderBy("_seen")).cast("bigint")).drop("_seen")
-
-
 def one_of(name: str, order: str, *, driver: bool = False, columns: str = "*") -> str:
     """The slice of an all-sessions counterpart, numbered in the documented order."""
     where = f"session_key = {SESSION_SQL}" + (f" AND driver_number = {DRIVER_SQL}" if driver else "")
@@ -49,63 +43,63 @@ class Asked:
     f"FROM ({ORACLES['served_sessions']}) AS served"
 )
 def slice_sessions(spark, sf_dir):
-    return as_served(served.sessions(RacingViews(spark, sf_dir)))
+    return numbered(served.sessions(RacingViews(spark, sf_dir)))
 
 
 @query(one_of("served_drivers", "team_name, driver_number"))
 def slice_drivers(spark, sf_dir):
     asked = Asked(spark, sf_dir)
-    return as_served(served.drivers(asked.views, asked.session))
+    return numbered(served.drivers(asked.views, asked.session))
 
 
 @query(one_of("served_intervals", "date", columns="date, gap_to_leader, interval"))
 def slice_intervals(spark, sf_dir):
     asked = Asked(spark, sf_dir)
-    return as_served(served.intervals(asked.views, asked.session)).select("date", "gap_to_leader", "interval", "position")
+    return numbered(served.intervals(asked.views, asked.session)).select("date", "gap_to_leader", "interval", "position")
 
 
 @query(one_of("served_pit_stops", "lap_number, pit_duration DESC NULLS LAST, date"))
 def slice_pit_stops(spark, sf_dir):
     asked = Asked(spark, sf_dir)
-    return as_served(served.pit_stops(asked.views, asked.session))
+    return numbered(served.pit_stops(asked.views, asked.session))
 
 
 @query(one_of("served_weather", "date"))
 def slice_weather(spark, sf_dir):
     asked = Asked(spark, sf_dir)
-    return as_served(served.weather(asked.views, asked.session))
+    return numbered(served.weather(asked.views, asked.session))
 
 
 @query(one_of("served_stints", "driver, stint_number", columns="driver, stint_number"))
 def slice_stints(spark, sf_dir):
     """Only the columns of the order: several stints share them."""
     asked = Asked(spark, sf_dir)
-    return as_served(served.stints(asked.views, asked.session)).select("driver", "stint_number", "position")
+    return numbered(served.stints(asked.views, asked.session)).select("driver", "stint_number", "position")
 
 
 @query(one_of("served_race_control", "date, message"))
 def slice_race_control(spark, sf_dir):
     asked = Asked(spark, sf_dir)
-    return as_served(served.race_control(asked.views, asked.session))
+    return numbered(served.race_control(asked.views, asked.session))
 
 
 @query(one_of("served_overtakes", "date", columns="overtaking_driver, overtaken_driver, date"))
 def slice_overtakes(spark, sf_dir):
     asked = Asked(spark, sf_dir)
-    return as_served(served.overtakes(asked.views, asked.session))
+    return numbered(served.overtakes(asked.views, asked.session))
 
 
 @query(one_of("served_lap_predictions", "stint_number", driver=True, columns="stint_number"))
 def slice_lap_predictions(spark, sf_dir):
     asked = Asked(spark, sf_dir)
     rows = served.lap_predictions(asked.views, asked.session, asked.drivers[0])
-    return as_served(rows).select("stint_number", "position")
+    return numbered(rows).select("stint_number", "position")
 
 
 @query(one_of("served_telemetry", "date", driver=True))
 def slice_telemetry(spark, sf_dir):
     asked = Asked(spark, sf_dir)
-    return as_served(served.telemetry(asked.views, asked.session, asked.drivers[0], points=TELEMETRY_POINTS))
+    return numbered(served.telemetry(asked.views, asked.session, asked.drivers[0], points=TELEMETRY_POINTS))
 
 
 _TRAJECTORY = ORACLES["served_duel_location"].replace("driver_number, x, y, speed", "driver_number, rn, x, y, speed")
@@ -117,7 +111,7 @@ _TRAJECTORY = ORACLES["served_duel_location"].replace("driver_number, x, y, spee
 )
 def slice_duel_location(spark, sf_dir):
     asked = Asked(spark, sf_dir)
-    return as_served(served.duel_location(asked.views, asked.session, asked.drivers[0], points=TRAJECTORY_POINTS))
+    return numbered(served.duel_location(asked.views, asked.session, asked.drivers[0], points=TRAJECTORY_POINTS))
 
 
 @query(

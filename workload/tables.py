@@ -16,6 +16,7 @@ from trackside.functions.scalars import (
     path_token,
     pct_true,
 )
+from trackside.operators.numbering import numbered
 from trackside.operators.quality import any_value, mean_within, quality_report, within
 from trackside.operators.tables import dedup_first, expand_range, union_all, upsert
 from trackside.operators.validate import split_valid
@@ -25,9 +26,10 @@ from trackside.plans.season import list_sessions, resolve_session
 from trackside.plans.served import run_history
 from trackside.session import scratch_path
 from trackside.sources.archive import archive_json, read_archive
-from trackside.sources.bronze import land_bronze, read_bronze
-from trackside.sources.ci import JOBS_SCHEMA, flatten_steps
-from trackside.sources.lakehouse import publish, read_table, replace_partitions
+from trackside.sources.bronze import land_bronze, read_bronze, read_files
+from trackside.sources.ci import JOBS_SCHEMA, flatten_steps, read_reports
+from trackside.sources.files import names
+from trackside.sources.lakehouse import publish, published, read_table, replace_partitions
 from trackside.sources.runs import log_runs, run_record
 from trackside.specs import DOUBLE, LONG, RUNS, TEXT, TIME, Field, TableSpec
 from workload.registry import query, table
@@ -512,8 +514,8 @@ def upsert_dim(spark, sf_dir):
     columns = ["c_custkey", "c_name", "c_acctbal"]
     publish(spark, table(spark, sf_dir, "customer").select(*columns), path)
     batch = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal").toDF(*columns)
-    publish(spark, upsert(spark.read.parquet(path), batch, ["c_custkey"]), path)
-    return spark.read.parquet(path)
+    publish(spark, upsert(published(spark, path), batch, ["c_custkey"]), path)
+    return published(spark, path)
 
 
 @query(
@@ -626,6 +628,61 @@ def json_steps_flatten(spark, sf_dir):
     return flatten_steps(parsed)
 
 
+@query(
+    """
+    WITH c AS (SELECT conv_id, count(*) AS turns, list({'chars': length(text), 'role': role} ORDER BY turn) AS actions
+               FROM conversations GROUP BY conv_id),
+    r AS (SELECT *, conv_id = (SELECT min(conv_id) FROM c) AS corrupt FROM c)
+    SELECT CASE WHEN turns % 5 = 0 THEN 0 ELSE conv_id END AS evaluated_run_id, 'conversation' AS workflow_name,
+      turns % 2 = 0 AS alert_triggered, to_json(actions)::VARCHAR AS actions, turns AS attempts,
+      row_number() OVER (ORDER BY CASE WHEN turns % 5 = 0 THEN 0 ELSE conv_id END DESC) AS position
+    FROM r WHERE NOT corrupt QUALIFY evaluated_run_id > 0
+    """
+)
+def stored_reports(spark, sf_dir):
+    """A report for each conversation, one to a file; the first is cut in two, some have no id, all have a field of their own."""
+    folder = scratch_path(spark, "reports")
+    said = F.struct(F.length("text").alias("chars"), "role")
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
+        F.count(F.lit(1)).alias("attempts"), F.array_sort(F.collect_list(F.struct("turn", said.alias("said")))).alias("turns")
+    )
+    report = F.to_json(
+        F.struct(
+            F.when(F.col("attempts") % 5 != 0, F.col("conv_id")).alias("evaluated_run_id"), F.lit("conversation").alias("workflow_name"),
+            (F.col("attempts") % 2 == 0).alias("alert_triggered"), F.col("turns.said").alias("actions"), "attempts",
+        )
+    )
+    text = F.when(F.col("conv_id") == turns.agg(F.min("conv_id")).scalar(), F.left(report, F.lit(20))).otherwise(report)
+    turns.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    found = numbered(read_reports(spark, folder, "part-*")).where("evaluated_run_id > 0")
+    return found.select(
+        "evaluated_run_id", "workflow_name", "alert_triggered", F.to_json(F.variant_get("report", "$.actions", "variant")).alias("actions"),
+        F.variant_get("report", "$.attempts", "bigint").alias("attempts"), "position",
+    )
+
+
+@query(
+    """
+    SELECT event_id, user_id, event_type, value, CASE WHEN user_id % 11 % 3 = 0 THEN props END AS props,
+      CASE WHEN user_id % 11 % 2 = 1 THEN NULL ELSE user_id % 11 END AS lane
+    FROM events
+    """
+)
+def mixed_type_files(spark, sf_dir):
+    """Files of eleven groups of users in one plan: ``value`` is text in some and a number in others, ``lane`` a short or a long
+    number or missing, ``props`` only in every third."""
+    root = scratch_path(spark, "files")
+    rows = table(spark, sf_dir, "events").withColumn("part", F.pmod("user_id", F.lit(11))).select("event_id", "user_id", "event_type", "value", "props", "part")
+    for remainder in range(6):
+        some = rows.where(F.col("part") % 6 == remainder)
+        some = some.withColumn("lane", F.col("part").cast("smallint" if remainder else "bigint")) if remainder % 2 == 0 else some
+        some = some.withColumn("value", F.col("value").cast("string")) if remainder % 2 else some
+        some = some if remainder % 3 == 0 else some.drop("props")
+        some.write.mode("append").partitionBy("part").parquet(root)
+    found = read_files(spark, [f"{root}/{name}" for name in names(spark, root) if name.startswith("part=")])
+    return found.withColumns({"value": F.col("value").cast("double"), "lane": F.col("lane").cast("bigint")})
+
+
 def _runs(spark, sf_dir):
     turn = F.col("turn")
     return table(spark, sf_dir, "conversations").select(

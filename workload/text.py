@@ -64,8 +64,6 @@ def tfidf_top_match(spark, sf_dir):
     return found.select("item_id", "doc_id", F.round("score", 8).alias("score"), "matched")
 
 
-# The documents fall into the first week, so that is the session asked about.
-_SESSION = 9001
 _HYBRID_HOURS = 6
 
 
@@ -82,37 +80,55 @@ _HYBRID_HOURS = 6
             FROM tf JOIN size USING (session_key) GROUP BY session_key, term, n),
     w AS (SELECT session_key, id, term, tf * idf AS w FROM tf JOIN idf USING (session_key, term)),
     u AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY session_key, id)) AS weight FROM w),
-    q AS (SELECT item_id, CAST({_SESSION} AS BIGINT) AS session_key, text AS question FROM benchmark),
+    q AS (SELECT item_id, session_key, text AS question FROM benchmark CROSS JOIN dim_sessions),
     qtf AS ({_tokens_sql('q', 'session_key, item_id', 'question')}),
     qw AS (SELECT session_key, item_id, term, tf * idf AS w FROM qtf JOIN idf USING (session_key, term)),
     qu AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY session_key, item_id)) AS weight FROM qw),
     s AS (SELECT session_key, item_id, id, round(sum(qu.weight * u.weight), 12) AS score
           FROM qu JOIN u USING (session_key, term) GROUP BY session_key, item_id, id),
-    b AS (SELECT s.*, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, d.date, s.id) AS rn
+    b AS (SELECT s.*, row_number() OVER (PARTITION BY s.session_key, item_id ORDER BY score DESC, d.date, s.id) AS rn
           FROM s JOIN docs d USING (session_key, id)),
-    h AS (SELECT q.item_id, q.session_key, q.question, coalesce(b.score, 0.0) AS score, d.*  EXCLUDE (session_key)
-          FROM q JOIN b ON b.item_id = q.item_id AND b.rn = 1
-          JOIN detail d ON d.session_key = q.session_key AND d.id = b.id WHERE b.score >= 0.02),
-    own AS (SELECT h.item_id, avg(t.speed) AS avg_speed, max(t.rpm) AS max_rpm, min(t.n_gear) AS min_gear
-            FROM h JOIN fact_car_telemetry t ON t.session_key = h.session_key AND t.driver_number = h.driver_number
-             AND h.driver_number <> 0 AND t.date BETWEEN h.date AND h.date + INTERVAL {_HYBRID_HOURS} HOURS GROUP BY h.item_id),
-    field AS (SELECT h.item_id, avg(t.speed) AS avg_speed, min(t.speed) AS min_speed
-              FROM h JOIN fact_car_telemetry t ON t.session_key = h.session_key AND coalesce(h.driver_number, 0) = 0
-               AND t.date BETWEEN h.date AND h.date + INTERVAL {_HYBRID_HOURS} HOURS GROUP BY h.item_id)
-    SELECT h.item_id, h.session_key, h.message, strftime(h.date, '%Y-%m-%dT%H:%M:%S.%f') AS date, h.category, h.flag,
-           h.driver_number, round(h.score, 8) AS relevance,
-           CASE WHEN coalesce(h.driver_number, 0) = 0 THEN 'N/A'
-                ELSE d.full_name || ' (' || d.team_name || ')' END AS driver_name,
-           round(coalesce(own.avg_speed, field.avg_speed), 1) AS avg_speed, own.max_rpm, own.min_gear, field.min_speed
-    FROM h LEFT JOIN dim_drivers d ON d.driver_number = h.driver_number
-    LEFT JOIN own ON own.item_id = h.item_id LEFT JOIN field ON field.item_id = h.item_id
+    opening AS (SELECT session_key, arg_min(id, (date, id)) AS id FROM docs GROUP BY session_key),
+    h AS (SELECT q.item_id, q.session_key, coalesce(b.score, 0.0) AS score, coalesce(b.score, 0.0) >= 0.02 AS matched,
+                 d.* EXCLUDE (session_key)
+          FROM q LEFT JOIN b ON b.session_key = q.session_key AND b.item_id = q.item_id AND b.rn = 1
+          LEFT JOIN opening o ON o.session_key = q.session_key
+          LEFT JOIN detail d ON d.session_key = q.session_key AND d.id = coalesce(b.id, o.id)),
+    near AS (SELECT h.item_id, h.session_key, t.* EXCLUDE (session_key, driver_number), t.driver_number = h.driver_number AS own
+             FROM h JOIN fact_car_telemetry t ON t.session_key = h.session_key AND h.matched
+              AND t.date BETWEEN h.date AND h.date + INTERVAL {_HYBRID_HOURS} HOURS
+              AND (coalesce(h.driver_number, 0) = 0 OR t.driver_number = h.driver_number)),
+    seen AS (SELECT item_id, session_key, avg(speed) AS avg_speed, max(rpm) AS max_rpm, min(n_gear) AS min_gear, min(speed) AS min_speed
+             FROM near GROUP BY ALL),
+    r AS (SELECT h.*, d.full_name || ' (' || d.team_name || ')' AS named, coalesce(h.driver_number, 0) = 0 AS all_cars,
+                 round(avg_speed, 1) AS speed, max_rpm, min_gear, round(min_speed, 1) AS slowest
+          FROM h LEFT JOIN dim_drivers d ON d.driver_number = h.driver_number
+          LEFT JOIN seen ON seen.item_id = h.item_id AND seen.session_key = h.session_key)
+    SELECT item_id, session_key, round(score, 8) AS relevance,
+      CASE WHEN id IS NULL THEN 'No messages were recorded for this session.'
+        WHEN NOT matched THEN 'No relevant message was found. Closest (' || printf('%.2f', score * 100) || '%): ' || message
+        ELSE 'Message: ' || message || chr(10) || 'Time: ' || strftime(date, '%Y-%m-%dT%H:%M:%S.%f') || chr(10)
+          || 'Category: ' || coalesce(category, 'N/A') || ' | Flag: ' || coalesce(flag, 'N/A') || chr(10)
+          || 'About: ' || CASE WHEN all_cars THEN 'all cars' ELSE coalesce(named, 'N/A') END || chr(10)
+          || 'Relevance: ' || printf('%.2f', score * 100) || '%' || chr(10) || 'Telemetry: '
+          || CASE WHEN speed IS NULL THEN 'no telemetry in the window'
+               WHEN all_cars THEN printf('field average speed %.1f km/h, lowest %.1f km/h', speed, slowest::DOUBLE)
+               ELSE printf('average speed %.1f km/h, top rpm %d, lowest gear %d', speed, max_rpm, min_gear) END END AS answer,
+      CASE WHEN matched THEN message END AS message, CASE WHEN matched THEN strftime(date, '%Y-%m-%dT%H:%M:%S.%f') END AS date,
+      CASE WHEN matched THEN category END AS category, CASE WHEN matched THEN flag END AS flag,
+      CASE WHEN matched THEN driver_number END AS driver_number,
+      CASE WHEN matched THEN CASE WHEN all_cars THEN 'N/A' ELSE coalesce(named, 'N/A') END END AS driver_name, speed AS avg_speed,
+      CASE WHEN NOT all_cars THEN max_rpm END AS max_rpm, CASE WHEN NOT all_cars THEN min_gear END AS min_gear,
+      CASE WHEN all_cars THEN slowest END AS min_speed
+    FROM r
     """
 )
 def hybrid_answers(spark, sf_dir):
-    """Each benchmark item asked about the first week's messages, answered with the six hours after the match."""
+    """Each benchmark item asked about every session, answered with the six hours after the match."""
     v = RacingViews(spark, sf_dir)
+    sessions = v["dim_sessions"].agg(F.collect_set("session_key").alias("sessions")).scalar()  # one number a session
     questions = table(spark, sf_dir, "benchmark").select(
-        "item_id", F.lit(_SESSION).cast("bigint").alias("session_key"), F.col("text").alias("question")
+        "item_id", F.explode(sessions).alias("session_key"), F.col("text").alias("question")
     )
     found = hybrid_search(
         questions,
@@ -123,4 +139,4 @@ def hybrid_answers(spark, sf_dir):
         after_seconds=_HYBRID_HOURS * 3600,
         **CORPUS,
     )
-    return found.where(F.col("message").isNotNull()).drop("question", "answer").withColumn("relevance", F.round("relevance", 8))
+    return found.drop("question").withColumn("relevance", F.round("relevance", 8))
