@@ -37,6 +37,7 @@ THRESHOLD = 85
 BLOCK_SHINGLES = 400_000
 KEYS_PER_FLUSH = 2_000_000
 PAIRED = 32
+RARE_SHARE = 4
 SMALL = 40
 FANOUT = 8
 HUB_ROUNDS = 4
@@ -146,15 +147,18 @@ def _groups(key, node):
     return key, node, first, np.diff(np.append(first, len(key))), marked
 
 
-def candidate_edges(rows: DataFrame, shingle: int, threshold: int) -> DataFrame:
-    """(a, b): set digests that share enough keys.
+def candidate_edges(rows: DataFrame, sizes: DataFrame, shingle: int, threshold: int) -> DataFrame:
+    """(a, b): set digests that share enough keys. ``sizes``: (node, n) of all sets.
 
-    Of the c keys that linked sets share, at least half are frequent (in more than ``PAIRED`` sets) or at least half are not. Pairs are
-    counted within the others; from frequent keys, those sets that have enough of them are connected to
-    the key's smallest, so the number of rows stays in proportion to the sets. A task that finds a key frequent sends its sets
-    past the key's partition, with one row, marked in its lowest bit, that tells it.
+    A set of n shingles differs from a linked one in at most n (100 - t) / t of them, so it shares c keys or more, c from n.
+    Of these at least x (the level's least c / ``RARE_SHARE``) are in few sets (at most ``PAIRED``), or more than c - x are
+    frequent. Pairs are counted within the former. From frequent keys, a set takes part if it has m = c - x + 1 of
+    them; two that share m share one of the rarest F - m + 1 of each, F being its number of them, and only by these it is connected to
+    the key's smallest. So sets with a common passage stay apart, and the number of rows stays in proportion to the sets. A task
+    that finds a key frequent sends its sets past the key's partition, with one row, marked in its lowest bit, that tells it.
     """
     _, _, common_at = level_bounds(threshold)
+    rare_at = np.maximum(common_at // RARE_SHARE, 1)
     one = np.uint64(1)
 
     def reduced(held):
@@ -196,7 +200,7 @@ def candidate_edges(rows: DataFrame, shingle: int, threshold: int) -> DataFrame:
         key, node, first, size, marked = _groups(*(np.concatenate(x) for x in zip(*held)))
         held.clear()
         level = np.minimum(key[first] >> np.uint64(58), len(common_at) - 1).astype(np.int64)
-        worth = 1.0 / ((common_at[level] + 1) // 2)
+        worth = 1.0 / rare_at[level]
         frequent = marked | (size > PAIRED)
         if frequent.any():
             every = spread(first[frequent], size[frequent])
@@ -221,10 +225,18 @@ def candidate_edges(rows: DataFrame, shingle: int, threshold: int) -> DataFrame:
     pairs = few(pairs.where("worth > 0.999999").select("a", "b"))
     frequent = few(shared.where("worth = 0").select(F.col("a").alias("key"), F.col("b").alias("node")).distinct())
     level = F.shiftrightunsigned("key", 58)
-    enough = F.array(*[F.lit(int(c) // 2 + 1) for c in common_at])[level.cast("int")]
-    often = frequent.groupBy("node", level.alias("level"), enough.alias("enough")).agg(F.count(F.lit(1)).alias("n"))
-    often = few(often.where("n >= enough").select("node", "level"))
-    left = few(frequent.withColumn("level", level).join(often, ["node", "level"]).select("key", "node"))
+    _, filled_at, _ = level_bounds(threshold)
+    tables = {name: F.array(*[F.lit(int(v)) for v in values]) for name, values in (("filled", filled_at), ("common", common_at), ("rare", rare_at))}
+    filled, common, rare = (tables[k][F.col("level").cast("int")] for k in tables)
+    differ = F.least(filled - common, F.floor(F.col("size_of") * (100 - threshold) / threshold))
+    need = F.when(filled == 0, F.greatest(common, F.ceil(F.col("size_of") * threshold / 100))).otherwise(filled - differ)
+    often = few(frequent.groupBy("node", level.alias("level")).agg(F.count(F.lit(1)).alias("n")))
+    often = few(often.where(F.col("n") > common - rare).join(sizes.groupBy("node").agg(F.max("n").alias("size_of")), "node"))
+    often = often.select("node", "level", "n", (need - rare + 1).alias("enough")).where("n >= enough")
+    spread_of = few(frequent.groupBy("key").agg(F.count(F.lit(1)).alias("size")))
+    held = few(few(frequent.withColumn("level", level).join(often, ["node", "level"])).join(spread_of, "key"))
+    nth = F.row_number().over(Window.partitionBy("node", "level").orderBy("size", "key"))  # at most the groups of a set
+    left = few(held.withColumn("nth", nth).where(F.col("nth") <= F.col("n") - F.col("enough") + 1).select("key", "node"))
     stars = few(left.join(few(left.groupBy("key").agg(F.min("node").alias("least"))), "key")).select(
         F.col("least").alias("a"), F.col("node").alias("b")
     )
@@ -456,7 +468,8 @@ def classified(
     info = stored(in_arrow(rows, describe, "did long, th long, n long, h1 long, h2 long"), "sets")
     classes = info.where("n > 0").groupBy("h1", "h2", "n").agg(F.min(F.struct("did", "th")).alias("rep"))
     classes = stored(few(classes).select("h1", "h2", "n", F.xxhash64("h1", "h2", "n").alias("set"), "rep.did", "rep.th"), "classes")
-    blocks = components(candidate_edges(rows, shingle, threshold), "blocks")
+    node = F.col("h1").bitwiseAND(F.lit(-2)).alias("node")
+    blocks = components(candidate_edges(rows, classes.select(node, "n"), shingle, threshold), "blocks")
 
     in_block = F.col("h1").bitwiseAND(F.lit(-2)) == F.col("node")
     members = few(classes.join(blocks.select("node", F.col("component").alias("block")), in_block)).drop("node")
