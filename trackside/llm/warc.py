@@ -193,7 +193,9 @@ def read_archives(spark: SparkSession, archives: DataFrame, folder: str) -> Data
                 names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
                 yield batch(**{n: pa.array(c, k) for n, c, k in zip(names, zip(*rows), kinds)})
 
-    return archives.repartition("path").mapInArrow(run, RESULT)
+    # A fixed number: a row is small and stands for an archive, so partitions must not be merged by their size.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return archives.repartition(parts, "path").mapInArrow(run, RESULT)
 
 
 def archived(pages: DataFrame, folder: str | None = None, **options) -> DataFrame:
