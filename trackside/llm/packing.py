@@ -19,6 +19,7 @@ Repeated rows are packed each. Extra columns do not matter. Without rows there i
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from bisect import bisect_right
@@ -35,14 +36,14 @@ from trackside.llm.common import batch, in_arrow, prepare, stored
 LENGTH = 2048
 END_ID = 1
 TOKENIZER = "byte_bpe_50k"
-LONG_RUN = re.compile(r"\S{10000}|\s{10000}")
+LONG_RUN = r"\S{10000}|\s{10000}"
 
 
 class Encoder:
     """Ids of texts by a public vocabulary.
 
     The rank file of the same vocabulary gives the same ids several times faster than the JSON file; texts with
-    very long runs go through the JSON file's tokenizer. Special tokens' strings count as ordinary text.
+    very long runs, or with a special token's string, go through the JSON file's tokenizer, which gives that token's id.
     """
 
     def __init__(self, name: str):
@@ -53,18 +54,20 @@ class Encoder:
 
         self.json = public_tokenizers.path(f"{name}.json")
         self.slow = None
+        with open(self.json, encoding="utf-8") as file:
+            special = [t["content"] for t in json.load(file)["added_tokens"]]
+        self.careful = re.compile("|".join([LONG_RUN, *map(re.escape, special)]))
         with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> list[int]:
-        if len(text) < 10000 or not LONG_RUN.search(text):
+        if not self.careful.search(text):
             return self.fast.encode_ordinary(text)
         if self.slow is None:
             from tokenizers import Tokenizer
 
             self.slow = Tokenizer.from_file(self.json)
-            self.slow.encode_special_tokens = True
         return self.slow.encode(text, add_special_tokens=False).ids
 
 
