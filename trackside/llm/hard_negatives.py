@@ -193,7 +193,9 @@ def met(blocks: DataFrame, count: Column, anchors: DataFrame, solve, schema: str
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names)
 
-    dealt = both.repartition("dimension", "block").sortWithinPartitions("dimension", "block", "side")
+    # A fixed number: what a block costs is not its size, so partitions must not be merged by that.
+    parts = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = both.repartition(parts, "dimension", "block").sortWithinPartitions("dimension", "block", "side")
     return dealt.mapInArrow(run, schema)
 
 
