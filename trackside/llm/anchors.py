@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ from trackside.llm.textscan import chunks, encoded, mix, window_argmin
 
 RUNS_PER_FLUSH = 200_000
 PAYLOAD_PER_FLUSH = 24 << 20
+PAYLOAD_SLICE = 4 << 20
 LAST_ID = (1 << 63) - 1
 SENT = "key long, did long, th long, start int, n int, payload binary"
 
@@ -107,8 +109,12 @@ def candidates(rows: DataFrame, shape: Shape, shared) -> DataFrame:
             head, tail = s.windows[first], s.windows[first + size - 1]
             key = np.where(hot[run], mix(head), key[run])
             length = size + shape.extra
-            payload = s.data[spread(first, length)]
-            yield key, head, tail, did[i + doc], th[i + doc], first - s.origin[doc], size, length, payload
+            # Few at a time: in a repetitive text every window is a run, with a payload of its own.
+            part = np.cumsum(length) // PAYLOAD_SLICE
+            for a, z in pairwise([0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(first)]):
+                payload = s.data[spread(first[a:z], length[a:z])]
+                of = doc[a:z]
+                yield key[a:z], head[a:z], tail[a:z], did[i + of], th[i + of], first[a:z] - s.origin[of], size[a:z], length[a:z], payload
 
     def out(key, did, th, start, size, payload):
         return batch(key=signed(key), did=did, th=th, start=start.astype(np.int32), n=size.astype(np.int32), payload=payload)

@@ -19,6 +19,7 @@ are not earlier than one another. Other columns are ignored by the search and ke
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 from itertools import compress
 
 import numpy as np
@@ -27,119 +28,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackside.llm import sketch as cms
-from trackside.llm.common import batch, blobs, joined, prepare, signed, unsigned
-from trackside.llm.textscan import chunks, encoded, gram_hashes, mix, scan_words, window_argmin
+from trackside.llm.anchors import LAST_ID, Scan, Shape, candidates, covered, keyed, keys_of, spread, with_spans
+from trackside.llm.common import batch, joined, prepare, unsigned
+from trackside.llm.textscan import encoded, gram_hashes, scan_words
 
 WINDOW = 20
 ANCHOR = 8
 WIDTH_BITS = 27  # cells per row of the sketch: 2 rows + 1, 48 MB in all
 HOT = 2000
-RUNS_PER_FLUSH = 200_000
-LAST_ID = (1 << 63) - 1
 
 
-def _anchored(texts: list[bytes], window: int, anchor: int):
-    """Words, and for each window inside a text: its start and its anchor's start; plus hashes by start."""
+def scan_windows(window: int, anchor: int, texts: list[bytes]) -> Scan:
+    """In units of words; the payload of a run are its windows' hashes."""
     words = scan_words(texts)
     inside = np.flatnonzero(words.whole_runs(window))
-    grams = gram_hashes(words.hashes, anchor)
-    at = window_argmin(grams, window - anchor + 1)
-    return words, inside, at[inside] if len(inside) else inside, grams
-
-
-def _runs(words, inside, at):
-    """First places, in ``inside``, of runs of windows with one anchor in one text; and their lengths."""
-    if not len(inside):
-        return inside, inside
-    owner = words.owner[inside]
-    new = np.ones(len(inside), bool)
-    new[1:] = (at[1:] != at[:-1]) | (owner[1:] != owner[:-1])
-    first = np.flatnonzero(new)
-    return first, np.diff(np.append(first, len(inside)))
-
-
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("did"), F.xxhash64(text).alias("th"), text.alias("text")
-    )
+    hashes = gram_hashes(words.hashes, window)
+    return Scan(gram_hashes(words.hashes, anchor), hashes, inside, words.owner[inside], words.first[:-1], hashes)
 
 
 def repeated_spans(rows: DataFrame, window: int, anchor: int, width_bits: int, hot: int) -> DataFrame:
-    """(did, th, spans): word ranges [from, to) to remove, flattened, per document that has any."""
-
-    def keys_of(b):
-        texts = encoded(b.column(0).to_pylist())
-        for i, j in chunks(texts):
-            words, inside, at, grams = _anchored(texts[i:j], window, anchor)
-            first, _ = _runs(words, inside, at)
-            yield grams[at[first]]
-
-    sketch = cms.build(rows.select("text"), keys_of, width_bits, hot)
-    shared = rows.sparkSession.sparkContext.broadcast(sketch)
-
-    def found_in(b):
-        """Columns of flagged runs: key, did, th, start, windows' hashes and their number."""
-        did, th = (np.asarray(b.column(i), np.int64) for i in (0, 1))
-        texts = encoded(b.column(2).to_pylist())
-        for i, j in chunks(texts):
-            words, inside, at, grams = _anchored(texts[i:j], window, anchor)
-            first, size = _runs(words, inside, at)
-            if not len(first):
-                continue
-            key = grams[at[first]]
-            keep = shared.value.is_repeated(key)
-            first, size, key = first[keep], size[keep], key[keep]
-            very = shared.value.is_hot(key)
-            hashes = gram_hashes(words.hashes, window)
-            # a very frequent anchor: one row per window
-            split = np.where(very, size, 1)
-            run = np.repeat(np.arange(len(first)), split)
-            step = np.arange(len(run)) - np.repeat(np.cumsum(split) - split, split)
-            first, key = first[run] + step, key[run]
-            size = np.where(very[run], 1, size[run])
-            take = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
-            wh = hashes[inside[take]]
-            lead = np.cumsum(size) - size
-            key = np.where(very[run], mix(wh[lead] if len(lead) else key), key)
-            doc = words.owner[inside[first]]
-            start = inside[first] - words.first[doc]
-            yield key, did[i + doc], th[i + doc], start, size, wh
-
-    def out(key, did, th, start, size, hashes):
-        return batch(
-            key=signed(key), did=did, th=th, start=start.astype(np.int32), n=size.astype(np.int32), hashes=hashes
-        )
-
-    def reduced(held):
-        key, did, th, start, size, wh = (np.concatenate(x) for x in zip(*held))
-        end = np.cumsum(size)
-        lead = end - size
-        # Runs are shorter than a window, so first and last window together hold all their words.
-        order = np.lexsort((start, did, size, wh[end - 1], wh[lead], key))
-        a, b = order[1:], order[:-1]
-        same = np.zeros(len(key), bool)
-        same[1:] = (key[a] == key[b]) & (wh[lead[a]] == wh[lead[b]]) & (wh[end[a] - 1] == wh[end[b] - 1]) & (size[a] == size[b])
-        head = np.maximum.accumulate(np.where(same, 0, np.arange(len(key))))
-        e = order[head]  # the earliest equal run
-        later = same & ((did[order] != did[e]) | (start[order] != start[e]))
-        gone, sent = order[later], np.sort(order[~same])
-        if len(gone):  # known to go: passes through
-            yield out(key[gone], did[gone], th[gone], start[gone], size[gone], pa.nulls(len(gone), pa.binary()))
-        take = np.repeat(lead[sent], size[sent]) + np.arange(size[sent].sum()) - np.repeat(np.cumsum(size[sent]) - size[sent], size[sent])
-        yield out(key[sent], did[sent], th[sent], start[sent], size[sent], blobs(wh[take], size[sent]))
-
-    def flagged(batches):
-        held, n = [], 0
-        for b in batches:
-            for x in found_in(b):
-                held.append(x)
-                n += len(x[0])
-                if n >= RUNS_PER_FLUSH:
-                    yield from reduced(held)
-                    held, n = [], 0
-        if n:
-            yield from reduced(held)
+    """(did, th, start, stop): word ranges to remove; those of one document may overlap."""
+    shape = Shape(partial(scan_windows, window, anchor), window, anchor, 0)
+    sketch = cms.build(rows.select("text"), keys_of(shape, 0), width_bits, hot)
+    sent = candidates(rows, shape, rows.sparkSession.sparkContext.broadcast(sketch))
 
     def ranges(did, th, start, n):
         return batch(did=did, th=th, start=start.astype(np.int32), stop=(start + n + window - 1).astype(np.int32))
@@ -152,19 +63,18 @@ def repeated_spans(rows: DataFrame, window: int, anchor: int, width_bits: int, h
             if known.any():
                 yield ranges(did[known], th[known], start[known], n[known])
             if not known.all():
-                wh, size = joined(b.column(5).filter(pa.array(~known)), np.uint64)
-                held.append((unsigned(np.asarray(b.column(0)))[~known], did[~known], th[~known], start[~known], size, wh))
+                hashes, size = joined(b.column(5).filter(pa.array(~known)), np.uint64)
+                held.append((unsigned(np.asarray(b.column(0)))[~known], did[~known], th[~known], start[~known], size, hashes))
         if not held:
             return
-        key, did, th, start, size, wh = (np.concatenate(x) for x in zip(*held))
+        key, did, th, start, size, hashes = (np.concatenate(x) for x in zip(*held))
         row = np.repeat(np.arange(len(key)), size)
-        pos = start[row] + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-        order = np.lexsort((pos, did[row], wh, key[row]))
+        pos = spread(start, size)
+        order = np.lexsort((pos, did[row], hashes, key[row]))
         r = row[order]
         same = np.zeros(len(order), bool)
-        same[1:] = (key[r[1:]] == key[r[:-1]]) & (wh[order[1:]] == wh[order[:-1]])
-        head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-        e = order[head]
+        same[1:] = (key[r[1:]] == key[r[:-1]]) & (hashes[order[1:]] == hashes[order[:-1]])
+        e = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
         later = same & ((did[r] != did[row[e]]) | (pos[order] != pos[e]))
         gone = np.sort(order[later])
         if len(gone):
@@ -174,10 +84,7 @@ def repeated_spans(rows: DataFrame, window: int, anchor: int, width_bits: int, h
             n = np.diff(np.append(first, len(gone)))
             yield ranges(did[row[gone[first]]], th[row[gone[first]]], pos[gone[first]], n)
 
-    sent = rows.mapInArrow(flagged, "key long, did long, th long, start int, n int, hashes binary")
-    spans = sent.repartition("key").mapInArrow(grouped, "did long, th long, start int, stop int")
-    # All ranges of one document: bounded by its own length.
-    return spans.groupBy("did", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    return sent.repartition("key").mapInArrow(grouped, "did long, th long, start int, stop int")
 
 
 def remove_repeated_windows(
@@ -192,11 +99,7 @@ def remove_repeated_windows(
     """Per row of ``docs``: id_col, n_words, n_removed, kept_text (kept words joined by a space), kept_sha256."""
     prepare(docs.sparkSession)
     rows = keyed(docs, id_col, text_col)
-    spans = repeated_spans(rows, window, anchor, width_bits, hot)
-    marked = (
-        rows.join(spans, ["did", "th"], "left")
-        .select("did", "text", F.col("spans.start").alias("start"), F.col("spans.stop").alias("stop"))
-    )
+    marked = with_spans(rows, repeated_spans(rows, window, anchor, width_bits, hot))
 
     def kept(batches):
         for b in batches:
@@ -205,11 +108,9 @@ def remove_repeated_windows(
             for i, text in enumerate(texts):
                 words = text.split()  # ASCII white space only, as bytes
                 words_in.append(len(words))
-                if b.column(2)[i].is_valid:
-                    edge = np.zeros(len(words) + 1, np.int32)
-                    np.add.at(edge, np.asarray(b.column(2)[i].values), 1)
-                    np.add.at(edge, np.asarray(b.column(3)[i].values), -1)
-                    words = list(compress(words, np.cumsum(edge[:-1]) == 0))
+                gone = covered(len(words), b.column(2)[i], b.column(3)[i])
+                if gone is not None:
+                    words = list(compress(words, ~gone))
                 removed.append(words_in[-1] - len(words))
                 text = b" ".join(words)
                 digests.append(hashlib.sha256(text).hexdigest())
