@@ -2,6 +2,7 @@ from conftest import at, dicts
 from pyspark.sql import functions as F
 
 from trackside.operators.quality import any_value, mean_within, quality_report, telemetry_rules
+from trackside.operators.numbering import numbered
 from trackside.operators.tables import dedup_first, expand_range, latest, match_or_all, union_all, upsert
 from trackside.plans.season import list_sessions, resolve_session
 
@@ -89,3 +90,11 @@ def test_list_sessions(spark):
 
     assert keys("race") == [1, 3]
     assert keys("Practice") == [3, 4, 1, 2]
+
+
+def test_numbered_along_its_order(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v")).repartition(5).orderBy(F.desc("v"))
+    found = numbered(df)
+    assert "SinglePartition" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.position, r.v) for r in found.collect()) == [(k + 1, 999 - k) for k in range(1000)]
+    assert numbered(df.where("v < 0")).collect() == [] and numbered(df, "n").columns == ["v", "n"]

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 
@@ -6,7 +7,7 @@ import pytest
 from conftest import day, dicts
 from pyspark.sql import functions as F
 
-from trackside.operators.textsearch import english_stop_words, tfidf, tfidf_match
+from trackside.operators.textsearch import ASCII_WORDS, Corpus, ImpactIndex, english_stop_words, term_counts, tfidf, tfidf_match
 from trackside.plans.gold import lap_features, train_regressor
 from trackside.plans.hybrid import hybrid_search
 from trackside import specs as S
@@ -144,3 +145,43 @@ def test_lap_features(spark, views):
 def test_too_few_rows_to_train(spark, views):
     stints = spark.createDataFrame([(10014, 44, 1, "SOFT", 1, 4, 2)], S.STINTS.schema)
     assert train_regressor(lap_features(stints, views["fact_car_telemetry"])) is None
+
+
+@pytest.mark.parametrize("pruned", [False, True])
+def test_best_match_against_all_scores(spark, pruned):
+    """Random texts with common and rare words, ties and copies."""
+    rnd = random.Random(9)
+    words = [f"w{n}" for n in range(60)]
+    text = lambda n: " ".join(rnd.choices(words, weights=[1 / (k + 1) for k in range(60)], k=n))
+    docs = [(i, "a" if i % 3 else "b", text(rnd.randint(1, 30))) for i in range(300)]
+    docs += [(i, g, t) for i, (_, g, t) in zip(range(300, 330), docs)]
+    questions = [(q, "ab"[q % 2], text(rnd.randint(1, 8))) for q in range(40)]
+    got = ask(spark, questions, docs, stop_words=[], pruned=pruned)
+    for q, group, asked in questions:
+        weights, idf = brute({i: t for i, g, t in docs if g == group})
+        v = {t: n * idf[t] for t, n in Counter(asked.split()).items() if t in idf}
+        length = math.sqrt(sum(x * x for x in v.values())) or 1.0
+        scores = {i: round(sum(x / length * w.get(t, 0) for t, x in v.items()), 12) for i, w in weights.items()}
+        best = min(i for i in scores if scores[i] == max(scores.values()))
+        assert got[q][0] == best and got[q][1] == pytest.approx(scores[best], abs=1e-9)
+
+
+def test_few_postings_are_scored(spark):
+    """Rows that reach the score's aggregates, against all (question, posting) pairs."""
+    base = "/root/testdata/sf0.01"
+    corpus = Corpus(spark.read.parquet(f"{base}/documents.parquet"), id="doc_id", text="text", token_pattern=ASCII_WORDS)
+    asked = corpus.question_weights(spark.read.parquet(f"{base}/benchmark.parquet"), "item_id", "text")
+    pairs = corpus.postings.join(asked, "term").count()
+    index = ImpactIndex(corpus, asked, "item_id")
+    scored = index.admitted(index.planned()).count()
+    assert scored < pairs / 2
+
+
+def test_texts_are_never_exchanged(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    counted = term_counts(docs, ["doc_id"], F.split("text", " "), ())
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate") == 1 and "Exchange" not in plan[plan.index("Generate") :]  # postings alone are exchanged
+    rows = [("b a b", 1), ("", 2), (None, 3), ("c", 4)]
+    found = term_counts(spark.createDataFrame(rows, "text string, id long"), ["id"], F.split("text", " "), ["c"])
+    assert sorted(map(tuple, found.collect())) == [(1, "a", 1), (1, "b", 2), (2, "", 1)]

@@ -33,19 +33,11 @@ def _corpus_size(docs: DataFrame, by: list[str], copies: Column) -> DataFrame:
 
 
 def term_counts(docs: DataFrame, keys: list[str], words: Column, stop_words) -> DataFrame:
-    """(keys, term, tf) without an exchange: each row's words are sorted and counted as runs inside the row."""
-    rows = docs.select(*keys, F.sort_array(words).alias("_words")).where(F.size("_words") > 0)
-    begins = F.filter(F.sequence(F.lit(1), F.size("_words")), lambda i: (i == 1) | (F.get("_words", i - 1) != F.get("_words", i - 2)))
-    rows = rows.withColumn("_begins", begins)
-    runs = F.transform(
-        "_begins",
-        lambda i, k: F.struct(
-            F.get("_words", i - 1).alias("term"),
-            (F.coalesce(F.get("_begins", k + 1), F.size("_words") + 1) - i).cast("long").alias("tf"),
-        ),
-    )
-    counted = rows.select(*keys, F.inline(runs))
-    return counted.where(~F.col("term").isin(list(stop_words))) if stop_words else counted
+    """(keys, term, tf): words are taken where the texts are read and counted before anything is exchanged."""
+    exploded = docs.select(*keys, F.explode(words).alias("term"))
+    if stop_words:
+        exploded = exploded.where(~F.col("term").isin(list(stop_words)))
+    return exploded.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 class Corpus:
@@ -53,7 +45,7 @@ class Corpus:
 
     ``id`` is unique within a group; keys are not NULL. ``copies`` names a column that says for how many equal
     documents a row stands, so that repeated texts need to be tokenised only once. Texts are tokenised where they
-    are read; postings are written to the shared folder once and every reader starts from them.
+    are read, only postings are exchanged; they are written to the shared folder once and every reader starts from them.
     """
 
     def __init__(
@@ -74,7 +66,10 @@ class Corpus:
         count = F.col(copies) if copies else F.lit(1)
         self.carry = [c for c in carry or [] if c not in (*self.by, id)]
         doc_keys = [*self.by, id, *self.carry]
-        counted = term_counts(docs.withColumn("_copies", count), [*doc_keys, "_copies"], _words(text, token_pattern), self.stop_words)
+        rows = docs.withColumn("_copies", count).select(*doc_keys, "_copies", text)
+        if len(docs.inputFiles()) < docs.sparkSession.sparkContext.defaultParallelism:
+            rows = rows.repartition(*self.by, id)  # a few files would keep a few cores busy
+        counted = term_counts(rows, [*doc_keys, "_copies"], _words(text, token_pattern), self.stop_words)
         self.postings = materialise(counted, "postings")
         frequency = self.postings.groupBy(*self.by, "term").agg(F.sum("_copies").alias("df"))
         size = _corpus_size(docs, self.by, count)
@@ -117,6 +112,17 @@ class Corpus:
         return self._unit(weighted, [*self.by, q_id]).withColumnRenamed("weight", "q_weight")
 
 
+def all_scores(corpus: Corpus, asked: DataFrame, q_id: str) -> DataFrame:
+    """(by, q_id, id, carry, score) of every document that shares a term with a question.
+
+    Terms are looked up before anything else is joined, so only postings that are asked for meet the documents' lengths.
+    """
+    wanted = asked.join(corpus.idf, [*corpus.by, "term"]).select(*corpus.by, "term", q_id, (F.col("q_weight") * F.col("idf")).alias("_factor"))
+    keys = [*corpus.by, q_id, corpus.id, *corpus.carry]
+    sums = corpus.postings.join(wanted, [*corpus.by, "term"]).groupBy(*keys).agg(F.sum(F.col("tf") * F.col("_factor")).alias("_sum"))
+    return sums.join(corpus.lengths(), [*corpus.by, corpus.id]).select(*keys, (F.col("_sum") / F.col("length")).alias("score"))
+
+
 class ImpactIndex:
     """An inverted index of the terms that are asked for, and the search for documents that can be a question's best.
 
@@ -209,6 +215,7 @@ def tfidf_match(
     order: list[str],
     by: list[str] | None = None,
     min_score: float = MIN_RELEVANCE,
+    pruned: bool = False,
     **corpus,
 ) -> DataFrame:
     """For every question the most similar document of its group by cosine of TF-IDF weights.
@@ -217,13 +224,16 @@ def tfidf_match(
     scores go to the first document in ``order``; a question that shares no term with any
     document gets the first document and score 0; a group without documents gives NULL.
 
-    Only documents that can still be a question's best are scored; see ``ImpactIndex``.
+    ``pruned`` scores only documents that can still be a question's best (see ``ImpactIndex``): the same answers
+    with several passes over the postings asked for, which pays where questions meet very many documents.
     """
     by = list(by or [])
     ranks = [c for c in order if c != id]
     stats = Corpus(docs, id=id, text=text, by=by, carry=ranks, **corpus)
+    stats.idf = materialise(stats.idf, "idf")  # read for the questions, their terms and the documents' lengths
     asked = stats.question_weights(questions, q_id, q_text)
-    scored = ImpactIndex(stats, asked, q_id).best().withColumn("score", F.round("score", SCORE_DIGITS))
+    found = ImpactIndex(stats, asked, q_id).best() if pruned else all_scores(stats, asked, q_id)
+    scored = found.withColumn("score", F.round("score", SCORE_DIGITS))
     place = [part for c in [*ranks, id] for part in (F.col(c).isNull(), F.col(c))]
     best = scored.groupBy(*by, q_id).agg(
         F.min_by(F.struct(id, "score"), F.struct(-F.col("score"), *place)).alias("_best")

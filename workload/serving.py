@@ -360,9 +360,9 @@ def served_duel_location(spark, sf_dir):
     over_views(
         """
         SELECT t.session_key, t.driver_number, max(speed) AS max_speed, max(rpm) AS max_rpm,
-               round(avg(CASE WHEN throttle > 90 THEN 1.0 ELSE 0.0 END) * 100, 1) AS full_throttle_pct,
-               round(avg(CASE WHEN brake > 50 THEN 1.0 ELSE 0.0 END) * 100, 1) AS heavy_brake_pct,
-               round(avg(CASE WHEN drs > 0 THEN 1.0 ELSE 0.0 END) * 100, 1) AS drs_pct,
+               round(100.0 * count(*) FILTER (WHERE throttle > 90) / count(*), 1) AS full_throttle_pct,
+               round(100.0 * count(*) FILTER (WHERE brake > 50) / count(*), 1) AS heavy_brake_pct,
+               round(100.0 * count(*) FILTER (WHERE drs > 0) / count(*), 1) AS drs_pct,
                any_value(p.best_pit) AS best_pit
         FROM fact_car_telemetry t
         LEFT JOIN (SELECT session_key, driver_number, min(pit_duration) AS best_pit FROM fact_pit_stops GROUP BY ALL) p
@@ -478,8 +478,8 @@ def silver_alignment(spark, sf_dir):
 
 _FEATURES_SQL = """
     , base AS (SELECT session_key, driver_number, CAST(max(speed) AS DOUBLE) AS max_speed, CAST(max(rpm) AS DOUBLE) AS max_rpm,
-                      avg(CASE WHEN throttle > 90 THEN 1.0 ELSE 0.0 END) * 100 AS throttle_intensity_pct,
-                      avg(CASE WHEN brake > 50 THEN 1.0 ELSE 0.0 END) * 100 AS brake_intensity_pct
+                      100.0 * count(*) FILTER (WHERE throttle > 90) / count(*) AS throttle_intensity_pct,
+                      100.0 * count(*) FILTER (WHERE brake > 50) / count(*) AS brake_intensity_pct
                FROM fact_car_telemetry GROUP BY ALL),
     ends AS (SELECT *, CASE WHEN coalesce(lap_end, lap_start + 10) < lap_start THEN lap_start + 5
                             ELSE coalesce(lap_end, lap_start + 10) END AS stop FROM dim_stints),

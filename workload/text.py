@@ -137,6 +137,7 @@ def hybrid_answers(spark, sf_dir):
         v["fact_car_telemetry"],
         question_id="item_id",
         after_seconds=_HYBRID_HOURS * 3600,
+        pruned=True,
         **CORPUS,
     )
     return found.drop("question").withColumn("relevance", F.round("relevance", 8))
