@@ -69,7 +69,26 @@ def op9_countmin_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_windows(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
-@query()
+STRINGS_ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS i FROM d)),
+gone AS (SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1),
+runs AS (SELECT *, i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100, -1) AS opens FROM gone),
+numbered AS (SELECT doc_id, i, count_if(opens) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM runs),
+spans AS (SELECT doc_id, run, min(i) AS a, max(i) + 100 AS z FROM numbered GROUP BY ALL),
+cut AS (SELECT *, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS kept_from FROM spans),
+kept AS (
+  SELECT doc_id, string_agg(substr(h, 2 * kept_from + 1, 2 * (a - kept_from)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS h,
+    count(*) AS n_spans, sum(z - a) AS n_removed
+  FROM cut JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT d.doc_id, (length(d.h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query(STRINGS_ORACLE)
 def op10_suffix_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_strings(table(spark, sf_dir, "documents")).drop("kept")
 
