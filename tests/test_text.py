@@ -7,7 +7,8 @@ import pytest
 from conftest import day, dicts
 from pyspark.sql import functions as F
 
-from trackside.operators.textsearch import ASCII_WORDS, Corpus, ImpactIndex, english_stop_words, term_counts, tfidf, tfidf_match
+from trackside.operators import textsearch
+from trackside.operators.textsearch import ASCII_WORDS, Corpus, ImpactIndex, all_scores, english_stop_words, term_counts, tfidf, tfidf_match
 from trackside.plans.gold import lap_features, train_regressor
 from trackside.plans.hybrid import hybrid_search
 from trackside import specs as S
@@ -185,3 +186,16 @@ def test_texts_are_never_exchanged(spark):
     rows = [("b a b", 1), ("", 2), (None, 3), ("c", 4)]
     found = term_counts(spark.createDataFrame(rows, "text string, id long"), ["id"], F.split("text", " "), ["c"])
     assert sorted(map(tuple, found.collect())) == [(1, "a", 1), (1, "b", 2), (2, "", 1)]
+
+
+@pytest.mark.parametrize("pruned", [False, True])
+def test_common_terms_and_groups_of_questions(spark, monkeypatch, pruned):
+    """Where few terms are looked up without an exchange, and questions come in several groups, the answers are the same."""
+    rnd = random.Random(3)
+    text = lambda n: " ".join(rnd.choices([f"w{k}" for k in range(30)], weights=[1 / (k + 1) for k in range(30)], k=n))
+    docs = [(i, "ab"[i % 2], text(12)) for i in range(60)]
+    questions = [(q, "ab"[q % 2], text(4)) for q in range(12)]
+    usual = ask(spark, questions, docs, stop_words=[], pruned=pruned)
+    monkeypatch.setattr(textsearch, "COMMON", 9)
+    monkeypatch.setattr(textsearch, "ASKED", 16)
+    assert ask(spark, questions, docs, stop_words=[], pruned=pruned) == {q: (i, pytest.approx(s), m) for q, (i, s, m) in usual.items()}

@@ -31,13 +31,13 @@ def hybrid_search(
     earliest of them is the one reported. The distinct messages and the hits are written to
     the shared folder, because several branches read them.
     """
-    place = [part for c in _DETAIL for part in (F.col(c).isNull(), F.col(c))]
+    order = [part for c in _DETAIL for part in (F.col(c).isNull(), F.col(c))]
     texts = (
         messages.where(F.col("message").isNotNull())
         .groupBy("session_key", "message")
         .agg(
             F.count(F.lit(1)).alias("copies"),
-            F.min_by(F.struct(*_DETAIL), F.struct(*place)).alias("_detail"),
+            F.min_by(F.struct(*_DETAIL), F.struct(*order)).alias("_detail"),
         )
         .select("session_key", "message", F.md5("message").alias("message_id"), "copies", "_detail.*")
     )
@@ -53,9 +53,14 @@ def hybrid_search(
         by=["session_key"],
         min_score=min_score,
         copies="copies",
+        unique=True,
         **corpus,
     )
-    detailed = found.join(texts.drop("copies"), ["session_key", "message_id"], "left")
+    found = materialise(found, "found")
+    place = ["session_key", "message_id"]
+    # One message for each question is looked up: the others are left where they are.
+    answering = texts.drop("copies").join(found.select(*place).distinct(), place, "left_semi")
+    detailed = found.join(answering, place, "left")
     names = drivers.select(
         "driver_number", F.format_string("%s (%s)", "full_name", "team_name").alias("_named")
     )
