@@ -354,3 +354,12 @@ def test_triage(spark):
     assert [r.id for r in pick_run(runs, ["id"], ["status"]).collect()] == [999]
     assert [r.id for r in pick_run(runs, ["id"], ["status"], run_id=777).collect()] == [777]
     assert [r.id for r in pick_run(runs, ["id"], ["status"], run_id=5).collect()] == [999]
+
+
+def test_reports_are_opened_once(spark, tmp_path):
+    """Sorting reads its rows twice: the second time they come from the shared folder, not from the many files."""
+    for n in range(3):
+        (tmp_path / f"ci_healing_report_{n}.json").write_text(json.dumps({"evaluated_run_id": n}))
+    found = read_reports(spark, str(tmp_path))
+    assert found.inputFiles() and all(f.endswith(".parquet") for f in found.inputFiles())
+    assert [r.evaluated_run_id for r in found.collect()] == [2, 1, 0]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackside.session import materialise
+
 JOBS_SCHEMA = "array<struct<name:string,steps:array<struct<name:string,conclusion:string>>>>"
 # The fields of a report and their types.
 REPORT_FIELDS = {
@@ -37,11 +39,13 @@ def read_reports(spark: SparkSession, folder: str, files: str = REPORT_FILES) ->
 
     Columns: the known fields, NULL where a report lacks one or has it with another type (a missing id counts as 0),
     ``actions`` as an array of variants, ``report``, the whole document as a variant with the fields nobody has
-    declared, and ``file``. Files that are no JSON object are skipped.
+    declared, and ``file``. Files that are no JSON object are skipped. Every file is opened once: what they hold is kept in the
+    shared folder, as sorting takes a sample first.
     """
     texts = spark.read.option("pathGlobFilter", files).text(folder, wholetext=True)
+    texts = texts.coalesce(int(spark.conf.get("spark.sql.shuffle.partitions")))  # small files: a task opens many
     found = texts.select(F.try_parse_json("value").alias("report"), F.col("_metadata.file_name").alias("file"))
-    found = found.where(F.schema_of_variant("report").startswith("OBJECT"))
+    found = materialise(found.where(F.schema_of_variant("report").startswith("OBJECT")), "found")
     known = {name: F.try_variant_get("report", f"$.{name}", kind) for name, kind in REPORT_FIELDS.items()}
     known["evaluated_run_id"] = F.coalesce(known["evaluated_run_id"], F.lit(0).cast("bigint"))
     actions = F.coalesce(F.try_variant_get("report", "$.actions", "array<variant>"), F.array().cast("array<variant>"))

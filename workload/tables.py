@@ -653,7 +653,10 @@ def stored_reports(spark, sf_dir):
         )
     )
     text = F.when(F.col("conv_id") == turns.agg(F.min("conv_id")).scalar(), F.left(report, F.lit(20))).otherwise(report)
-    turns.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    # Small rows but many files: dealt out, as few bytes would come to few tasks, which also put their own files in place.
+    dealt = turns.select(text.alias("value"), "conv_id").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("conv_id"))
+    files = dealt.select("value").write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    files.text(folder)
     found = numbered(read_reports(spark, folder, "part-*")).where("evaluated_run_id > 0")
     return found.select(
         "evaluated_run_id", "workflow_name", "alert_triggered", F.to_json(F.variant_get("report", "$.actions", "variant")).alias("actions"),
