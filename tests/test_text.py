@@ -199,3 +199,12 @@ def test_common_terms_and_groups_of_questions(spark, monkeypatch, pruned):
     monkeypatch.setattr(textsearch, "COMMON", 9)
     monkeypatch.setattr(textsearch, "ASKED", 16)
     assert ask(spark, questions, docs, stop_words=[], pruned=pruned) == {q: (i, pytest.approx(s), m) for q, (i, s, m) in usual.items()}
+
+
+def test_pairs_are_never_exchanged(spark):
+    """Scores are added up where a document's postings are: nothing is exchanged by question."""
+    docs, asked = "/root/testdata/sf0.001/documents.parquet", [(1, "the one"), (2, "that thing")]
+    corpus = Corpus(spark.read.parquet(docs), id="doc_id", text="text", token_pattern=ASCII_WORDS)
+    terms = corpus.question_weights(spark.createDataFrame(asked, "q long, text string"), "q", "text")
+    plan = all_scores(corpus, textsearch.materialise(terms, "asked"), "q")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(q#" not in plan and "hashpartitioning(doc_id#" in plan
