@@ -188,6 +188,15 @@ def test_texts_are_never_exchanged(spark):
     assert sorted(map(tuple, found.collect())) == [(1, "a", 1), (1, "b", 2), (2, "", 1)]
 
 
+def test_a_row_for_each_document(spark):
+    """Words are counted inside the row; rows that repeat an id are one document."""
+    rows = [(1, "b a b c"), (1, "a"), (2, ""), (3, None), (4, "the")]
+    corpus = Corpus(spark.createDataFrame(rows, "id long, text string"), id="id", text="text", stop_words=["the"], token_pattern="[a-z]+")
+    found = {r.id: [tuple(t) for t in r.terms] for r in corpus.rows.collect()}
+    assert found == {1: [("a", 2), ("b", 2), ("c", 1)], 2: [], 3: [], 4: []}
+    assert {r.term: r.idf for r in corpus.idf.collect()} == {t: pytest.approx(math.log(6 / 2) + 1) for t in "abc"}
+
+
 @pytest.mark.parametrize("pruned", [False, True])
 def test_common_terms_and_groups_of_questions(spark, monkeypatch, pruned):
     """Where few terms are looked up without an exchange, and questions come in several groups, the answers are the same."""
