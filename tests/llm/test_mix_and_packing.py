@@ -140,3 +140,11 @@ def test_encoder_is_the_tokenizer(odd_rows):
 
 def test_packing_nothing(nothing):
     assert packed(nothing).collect() == []
+
+
+def test_which_texts_need_the_slow_tokenizer():
+    """A special token's string anywhere, or a run of 10,000; shorter texts are not searched for runs."""
+    use = Encoder("byte_bpe_50k")
+    (special,) = use.special
+    assert use.careful(f"a {special} b") and use.careful("x" * 10000) and use.careful("a " + " " * 10000) and use.careful("b " * 6000 + "y" * 10000)
+    assert not use.careful("") and not use.careful("x" * 9999) and not use.careful("ab " * 5000) and not use.careful(special[:-1])

@@ -36,7 +36,8 @@ from trackside.llm.common import batch, in_arrow, prepare, stored
 LENGTH = 2048
 END_ID = 1
 TOKENIZER = "byte_bpe_50k"
-LONG_RUN = r"\S{10000}|\s{10000}"
+LONG = 10000
+LONG_RUN = re.compile(rf"\S{{{LONG}}}|\s{{{LONG}}}")
 
 
 class Encoder:
@@ -55,14 +56,16 @@ class Encoder:
         self.json = public_tokenizers.path(f"{name}.json")
         self.slow = None
         with open(self.json, encoding="utf-8") as file:
-            special = [t["content"] for t in json.load(file)["added_tokens"]]
-        self.careful = re.compile("|".join([LONG_RUN, *map(re.escape, special)]))
+            self.special = [t["content"] for t in json.load(file)["added_tokens"]]
         with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    def careful(self, text: str) -> bool:
+        return any(t in text for t in self.special) or len(text) >= LONG and LONG_RUN.search(text) is not None
+
     def ids(self, text: str) -> list[int]:
-        if not self.careful.search(text):
+        if not self.careful(text):
             return self.fast.encode_ordinary(text)
         if self.slow is None:
             from tokenizers import Tokenizer
