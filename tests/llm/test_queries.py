@@ -1,10 +1,14 @@
 """The registered queries of this subpackage against SQL, and the pipeline stage by stage."""
 
+import random
+
+import numpy as np
 import pytest
 
 import check
 import corpus_pipeline
-from trackside.llm.common import components, may_contain, stored
+from trackside.llm import common
+from trackside.llm.common import components, contracted, may_contain, stored
 from trackside.llm.nbsvm import quality
 from trackside.llm.queries import ORACLES, QUERIES
 
@@ -69,6 +73,31 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(51), 0), 90: 90, 95: 90, 100: 90, **dict.fromkeys(range(300, 340), 300)}
 
 
+def test_edges_are_contracted_before_the_rounds(spark, monkeypatch):
+    """A long path is one star in each task, so that the driver plans few rounds."""
+    labels = []
+    monkeypatch.setattr(common, "stored", lambda df, label: [stored(df, label), labels.append(label)][0])
+    at = random.Random(4).sample(range(3000), 3000)
+    path = spark.createDataFrame(list(zip(at, at[1:])) + [(7, 7), (5000, 4000)], "a long, b long").repartition(3)
+    got = {r.node: r.component for r in components(path, "t").collect()}
+    assert got == {**dict.fromkeys(range(3000), 0), 4000: 4000, 5000: 4000}
+    assert labels.count("t-round") <= 4
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_contracted(seed):
+    rnd = np.random.default_rng(seed)
+    a, b = rnd.integers(-60, 60, (2, 70))
+    low, high = contracted(a, b)
+    assert (low < high).all() and len(np.unique(high)) == len(high) and not np.isin(low, high).any()
+    known = {x: {x} for x in range(-60, 60)}
+    for x, y in zip(a, b):
+        both = known[x] | known[y]
+        known.update(dict.fromkeys(both, both))
+    smallest = dict(zip(high.tolist(), low.tolist()))
+    assert all(smallest.get(x, x) == min(known[x]) for x in known)
+
+
 def test_filter_keeps_what_it_holds(spark):
     df = spark.range(5000)
     some = df.where("id % 50 = 0")
