@@ -217,3 +217,28 @@ def test_pairs_are_never_exchanged(spark):
     terms = corpus.question_weights(spark.createDataFrame(asked, "q long, text string"), "q", "text")
     plan = all_scores(corpus, textsearch.materialise(terms, "asked"), "q")._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(q#" not in plan and "hashpartitioning(doc_id#" in plan
+
+
+def numbered_words(n):
+    rnd = random.Random(8)
+    words = [f"w{k}" for k in range(400)]
+    return [(i, " ".join(rnd.choices(words, weights=[1 / (k + 1) for k in range(400)], k=20))) for i in range(n)]
+
+
+def test_a_task_sorts_no_more_with_more_documents(spark, monkeypatch):
+    """Texts, rare postings and weights are dealt over partitions that follow their numbers; postings are exchanged as rows of documents."""
+    docs = spark.createDataFrame(numbered_words(600), "id long, text string")
+    options = {"id": "id", "text": "text", "stop_words": [], "token_pattern": ASCII_WORDS}
+    usual = {(r.id, r.term): r.weight for r in tfidf(docs, **options).collect()}
+    for name, value in (("TASK_ROWS", 1000), ("TASK_BYTES", 4000), ("COMMON", 20)):
+        monkeypatch.setattr(textsearch, name, value)
+    corpus = Corpus(docs, **options)
+    assert len(corpus.rows.inputFiles()) > 5  # the session says 3 partitions
+    assert corpus.parts == -(-len(usual) // 1000) > 3
+    weights = corpus.weights()
+    plan = weights._jdf.queryExecution().executedPlan().toString()
+    assert set(re.findall(r"hashpartitioning\(\w+#\d+L?, (\d+)\)", plan)) == {str(corpus.parts)}
+    assert "Exchange" not in plan[plan.index("Window") : plan.index("Union")]
+    found = weights.withColumn("task", F.spark_partition_id()).collect()
+    assert max(Counter(r.task for r in found).values()) < 2 * 1000
+    assert {(r.id, r.term): r.weight for r in found} == {k: pytest.approx(v) for k, v in usual.items()}

@@ -21,6 +21,7 @@ COMMON = 1 << 16  # at most so many terms, the most frequent, are looked up with
 STEPS = 4  # steps of document frequency for each doubling
 ASKED = 1 << 18  # at most so many terms of questions are searched at once, or those of one question
 TASK_ROWS = 1 << 20  # postings in a partition where they are sorted
+TASK_BYTES = 1 << 26  # of texts in a partition where rows of one id are brought together
 
 
 @cache
@@ -32,8 +33,8 @@ def _words(text: str, pattern: str) -> Column:
     return F.regexp_extract_all(F.lower(F.col(text)), F.lit(pattern), F.lit(0))
 
 
-def _corpus_size(docs: DataFrame, by: list[str], copies: Column) -> DataFrame:
-    return docs.groupBy(*by).agg(F.sum(copies).alias("_docs"))
+def _session_parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def term_counts(docs: DataFrame, keys: list[str], words: Column, stop_words) -> DataFrame:
@@ -84,9 +85,13 @@ class Corpus:
         count = F.col(copies) if copies else F.lit(1)
         self.carry = [c for c in carry or [] if c not in (*self.by, id)]
         keys = [*self.by, id, *self.carry, "_copies"]
+        sizes = [F.sum(count).alias("_docs"), F.sum(F.octet_length(text)).alias("_bytes")]
+        self.sizes = materialise(docs.groupBy(*self.by).agg(*sizes), "sizes")
         rows = docs.withColumn("_copies", count).select(*keys, F.col(text).alias("_text"))
         if not unique or len(docs.inputFiles()) < docs.sparkSession.sparkContext.defaultParallelism:
-            rows = rows.repartition(*self.by, id)  # a few files would keep a few cores busy
+            dealt = -(-(self.sizes.agg(F.sum("_bytes")).first()[0] or 0) // TASK_BYTES)
+            more = [dealt] if dealt > _session_parts(docs) else []
+            rows = rows.repartition(*more, *self.by, id)  # a few files would keep a few cores busy
         if unique:
             words = F.coalesce(_words("_text", token_pattern), F.array().cast("array<string>"))
         else:
@@ -98,9 +103,9 @@ class Corpus:
         words, ends, terms = counted_words(words)
         rows = rows.select(*keys, words.alias("_words")).select("*", ends.alias("_ends")).select(*keys, terms.alias("terms"))
         self.rows = materialise(rows, "postings")
-        self.postings = self.rows.select(*keys, F.explode("terms").alias("_t")).select(*keys, "_t.term", "_t.tf")
+        self.postings = self._postings(self.rows)
         frequency = self.postings.groupBy(*self.by, "term").agg(F.sum("_copies").alias("df"))
-        size = _corpus_size(docs, self.by, count)
+        size = self.sizes.select(*self.by, "_docs")
         if self.by:
             counted = frequency.join(size, self.by)
         else:
@@ -109,11 +114,20 @@ class Corpus:
         self._frequencies = materialise(counted.select(*self.by, "term", idf, F.floor(F.log2("df") * STEPS).alias("step")), "idf")
         self.idf = self._frequencies.drop("step")
 
+    def _postings(self, rows: DataFrame) -> DataFrame:
+        keys = [c for c in rows.columns if c != "terms"]
+        return rows.select(*keys, F.explode("terms").alias("_t")).select(*keys, "_t.term", "_t.tf")
+
     @cached_property
     def parts(self) -> int:
         """How many partitions postings are dealt over where a task sorts them: as the session says, or more where they are many."""
         n = self.rows.agg(F.sum(F.size("terms"))).first()[0] or 0
-        return max(int(self.rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // TASK_ROWS))
+        return max(_session_parts(self.rows), -(-n // TASK_ROWS))
+
+    @property
+    def many(self) -> bool:
+        """Whether postings need more partitions than the session says."""
+        return self.parts > _session_parts(self.rows)
 
     @cached_property
     def common(self) -> DataFrame:
@@ -132,22 +146,27 @@ class Corpus:
         length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(*keys)))
         return weighted.withColumn("weight", F.col("weight") / length)
 
-    def _weighted(self) -> DataFrame:
-        """Postings with tf * idf as ``weight``.
+    def _weighted(self, dealt: list[str] | None = None) -> DataFrame:
+        """Postings with tf * idf as ``weight``, in ``parts`` partitions of the columns ``dealt`` if given.
 
         Frequent terms, which are most postings, are looked up in a table of bounded size where the postings are read;
         only postings of the others are exchanged by term, and none of their terms makes a skewed partition.
         """
         term = [*self.by, "term"]
         common = F.broadcast(self.common)
-        rare = self.postings.join(common.select(*term), term, "left_anti").join(self.idf, term)
-        joined = self.postings.join(common, term).unionByName(rare)
+        # Rows of documents are shorter than their postings, which are dealt by opening them where the row is.
+        postings = self._postings(self.rows.repartition(self.parts, *dealt)) if dealt else self.postings
+        rare, idf = postings.join(common.select(*term), term, "left_anti"), self.idf
+        if self.many:  # sorted for the join
+            rare, idf = rare.repartition(self.parts, *term), idf.repartition(self.parts, *term)
+        rare = rare.join(idf, term)
+        joined = postings.join(common, term).unionByName(rare.repartition(self.parts, *dealt) if dealt else rare)
         return joined.select(*self.by, self.id, *self.carry, "term", (F.col("tf") * F.col("idf")).alias("weight"))
 
     def weights(self) -> DataFrame:
         """(by, id, term, weight): one row per document and distinct term, L2-normalised."""
         keys = [*self.by, self.id]
-        return self._unit(self._weighted().repartition(self.parts, *keys), keys)
+        return self._unit(self._weighted(keys), keys)
 
     def lengths(self) -> DataFrame:
         """(by, id, length) of the documents' vectors."""
