@@ -225,6 +225,25 @@ def numbered_words(n):
     return [(i, " ".join(rnd.choices(words, weights=[1 / (k + 1) for k in range(400)], k=20))) for i in range(n)]
 
 
+def test_pairs_of_a_task_are_bounded(spark, monkeypatch):
+    """Pairs of documents and questions are added up in as many partitions as hold ``TASK_PAIRS`` each, also where lengths are in fewer."""
+    docs = spark.createDataFrame(numbered_words(400), "id long, text string")
+    corpus = Corpus(docs, id="id", text="text", stop_words=[], token_pattern=ASCII_WORDS)
+    questions = spark.createDataFrame([(q, t) for q, (_, t) in enumerate(numbered_words(12))], "q long, text string")
+    asked = textsearch.materialise(corpus.question_weights(questions, "q", "text"), "asked")
+    usual = {(r.q, r.id): r.score for r in all_scores(corpus, asked, "q").collect()}
+    monkeypatch.setattr(textsearch, "TASK_PAIRS", 400)
+    parts = corpus.pair_parts(asked, "q")
+    assert parts == 12  # 400 documents and 12 questions, which have more postings in common
+    found = all_scores(corpus, asked, "q").withColumn("task", F.spark_partition_id()).collect()
+    held = Counter(r.task for r in found)
+    assert len(held) == parts and max(held.values()) < 2 * 400
+    assert {(r.q, r.id): r.score for r in found} == {k: pytest.approx(v) for k, v in usual.items()}
+    assert corpus.pair_parts(asked.where("q < 0"), "q") == corpus.parts
+    few = corpus.pair_parts(asked.where("term = 'w399' and q = 0"), "q")
+    assert few == corpus.parts  # bounded by the postings that the terms meet
+
+
 def test_a_task_sorts_no_more_with_more_documents(spark, monkeypatch):
     """Texts, rare postings and weights are dealt over partitions that follow their numbers; postings are exchanged as rows of documents."""
     docs = spark.createDataFrame(numbered_words(600), "id long, text string")

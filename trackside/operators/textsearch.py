@@ -21,6 +21,7 @@ COMMON = 1 << 16  # at most so many terms, the most frequent, are looked up with
 STEPS = 4  # steps of document frequency for each doubling
 ASKED = 1 << 18  # at most so many terms of questions are searched at once, or those of one question
 TASK_ROWS = 1 << 20  # postings in a partition where they are sorted
+TASK_PAIRS = 1 << 19  # at most so many pairs of documents and questions in a partition where they are added up
 TASK_BYTES = 1 << 26  # of texts in a partition where rows of one id are brought together
 
 
@@ -85,7 +86,7 @@ class Corpus:
         count = F.col(copies) if copies else F.lit(1)
         self.carry = [c for c in carry or [] if c not in (*self.by, id)]
         keys = [*self.by, id, *self.carry, "_copies"]
-        sizes = [F.sum(count).alias("_docs"), F.sum(F.octet_length(text)).alias("_bytes")]
+        sizes = [F.sum(count).alias("_docs"), F.count(F.lit(1)).alias("_rows"), F.sum(F.octet_length(text)).alias("_bytes")]
         self.sizes = materialise(docs.groupBy(*self.by).agg(*sizes), "sizes")
         rows = docs.withColumn("_copies", count).select(*keys, F.col(text).alias("_text"))
         if not unique or len(docs.inputFiles()) < docs.sparkSession.sparkContext.defaultParallelism:
@@ -111,8 +112,8 @@ class Corpus:
         else:
             counted = frequency.withColumn("_docs", size.scalar())
         idf = (F.log((1 + F.col("_docs")) / (1 + F.col("df"))) + F.lit(1.0)).alias("idf")
-        self._frequencies = materialise(counted.select(*self.by, "term", idf, F.floor(F.log2("df") * STEPS).alias("step")), "idf")
-        self.idf = self._frequencies.drop("step")
+        self._frequencies = materialise(counted.select(*self.by, "term", idf, "df", F.floor(F.log2("df") * STEPS).alias("step")), "idf")
+        self.idf = self._frequencies.drop("df", "step")
 
     def _postings(self, rows: DataFrame) -> DataFrame:
         keys = [c for c in rows.columns if c != "terms"]
@@ -129,6 +130,17 @@ class Corpus:
         """Whether postings need more partitions than the session says."""
         return self.parts > _session_parts(self.rows)
 
+    def pair_parts(self, asked: DataFrame, q_id: str) -> int:
+        """How many partitions hold at most about ``TASK_PAIRS`` pairs of a document and a question each, ``parts`` at least.
+
+        Pairs are at most all of a group, and at most the postings that the questions' terms meet.
+        """
+        asking = asked.groupBy(*self.by).agg(F.count_distinct(q_id).alias("_n"))
+        together = asking.join(self.sizes, self.by) if self.by else asking.crossJoin(F.broadcast(self.sizes))
+        every = together.agg(F.sum(F.col("_n") * F.col("_rows"))).first()[0] or 0
+        met = asked.join(self._frequencies, [*self.by, "term"]).agg(F.sum("df")).first()[0] or 0
+        return max(self.parts, int(-(-min(every, met) // TASK_PAIRS)))
+
     @cached_property
     def common(self) -> DataFrame:
         """``idf`` of the most frequent terms: whole steps of document frequency, ``COMMON`` terms at most."""
@@ -139,7 +151,7 @@ class Corpus:
             if sum_ > COMMON:
                 break
             least = step
-        return self._frequencies.where(F.col("step") >= least if least is not None else F.lit(False)).drop("step")
+        return self._frequencies.where(F.col("step") >= least if least is not None else F.lit(False)).drop("df", "step")
 
     def _unit(self, weighted: DataFrame, keys: list[str]) -> DataFrame:
         """Scale ``weight`` to length 1 per document or question."""
@@ -173,7 +185,7 @@ class Corpus:
         square = F.sqrt(F.sum(F.col("weight") * F.col("weight")))
         return self._weighted().groupBy(*self.by, self.id).agg(square.alias("length"))
 
-    def asked_rows(self, terms: DataFrame) -> DataFrame:
+    def asked_rows(self, terms: DataFrame, parts: int | None = None) -> DataFrame:
         """(by, id, carry, number, tf, length) of the postings of ``terms``, dealt by document.
 
         ``terms`` (by, term, number) are few (see ``tfidf_match``), so other postings are never exchanged.
@@ -181,7 +193,8 @@ class Corpus:
         doc = [*self.by, self.id]
         rows = self.postings.join(F.broadcast(terms.select(*self.by, "term", "number")), [*self.by, "term"])
         rows = rows.select(*doc, *self.carry, "number", F.col("tf").cast("int").alias("tf"))
-        return rows.repartition(self.parts, *doc).join(self.lengths(), doc)
+        parts = parts or self.parts
+        return rows.repartition(parts, *doc).join(self.lengths().repartition(parts, *doc), doc)  # else the lengths' partitions decide
 
     def question_weights(self, questions: DataFrame, q_id: str, q_text: str) -> DataFrame:
         """(by, q_id, term, q_weight) over known terms."""
@@ -193,8 +206,8 @@ class Corpus:
 
 def numbered_terms(corpus: Corpus, asked: DataFrame) -> DataFrame:
     """(by, term, idf, number) of the terms asked for, ``ASKED`` at most."""
-    terms = asked.select(*corpus.by, "term").distinct().join(corpus.idf, [*corpus.by, "term"])
-    return materialise(terms.coalesce(1).withColumn("number", F.monotonically_increasing_id().cast("int")), "terms")
+    terms = corpus.idf.join(F.broadcast(asked.select(*corpus.by, "term").distinct()), [*corpus.by, "term"])
+    return materialise(terms.repartition(1).withColumn("number", F.monotonically_increasing_id().cast("int")), "terms")
 
 
 def _impact() -> Column:
@@ -204,11 +217,12 @@ def _impact() -> Column:
 def all_scores(corpus: Corpus, asked: DataFrame, q_id: str) -> DataFrame:
     """(by, q_id, id, carry, score) of every document that shares a term with a question.
 
-    Postings asked for are exchanged once, by document; the pairs of documents and questions are made and added up there.
+    Postings asked for are exchanged once, by document; the pairs of documents and questions are made and added up there, in as many
+    partitions as keep them in memory.
     """
     terms = numbered_terms(corpus, asked)
     asks = terms.join(asked, [*corpus.by, "term"]).select("number", "idf", q_id, "q_weight")
-    pairs = corpus.asked_rows(terms).join(F.broadcast(asks), "number")
+    pairs = corpus.asked_rows(terms, corpus.pair_parts(asked, q_id)).join(F.broadcast(asks), "number")
     return pairs.groupBy(*corpus.by, q_id, corpus.id, *corpus.carry).agg(F.sum(F.col("q_weight") * _impact()).alias("score"))
 
 
