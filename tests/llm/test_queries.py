@@ -84,6 +84,25 @@ def test_edges_are_contracted_before_the_rounds(spark, monkeypatch):
     assert labels.count("t-round") <= 4
 
 
+def test_edges_left_for_the_rounds_do_not_follow_the_tasks(spark, monkeypatch):
+    """Large components over many tasks: about an edge a node is joined in each round, not one for each task that met the node."""
+    kept = []
+    monkeypatch.setattr(common, "stored", lambda df, label: [out := stored(df, label), kept.append((label, out.count()))][0])
+    rnd = random.Random(8)
+    edges = [(x, y) for x, y in (rnd.sample(range(600), 2) for _ in range(6000)) if x % 2 == y % 2]
+    settings = {"spark.sql.shuffle.partitions": "128", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(16), "t").collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {x: x % 2 for edge in edges for x in edge}
+    assert [n for label, n in kept if label == "t-edges"][-1] <= 1.5 * len(got)
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_contracted(seed):
     rnd = np.random.default_rng(seed)
